@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, sharding
+from . import bpe, line_dedup, mixing, ngram_join, sharding
 
 QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op3_sharding": sharding.op3_sharding,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLE_SQL = {
+    "op4_line_dedup": line_dedup.OP4_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
