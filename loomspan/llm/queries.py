@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, mixing, ngram_join, sharding
+from . import bpe, line_dedup, mixing, ngram_join, quality, sharding
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op3_sharding": sharding.op3_sharding,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op8_quality": quality.op8_quality,
     "op9_mixing": mixing.op9_mixing,
     "op10_bpe": bpe.op10_bpe,
 }
