@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, mixing, ngram_join, quality, sharding
+from . import bpe, line_dedup, mixing, ngram_join, quality, sharding, topk
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op3_sharding": sharding.op3_sharding,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_exact_top_k": topk.op5_exact_top_k,
     "op8_quality": quality.op8_quality,
     "op9_mixing": mixing.op9_mixing,
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLE_SQL = {
     "op4_line_dedup": line_dedup.OP4_SQL,
+    "op5_exact_top_k": topk.OP5_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
