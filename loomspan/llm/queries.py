@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, mixing, ngram_join, quality, sharding, topk
+from . import ann, bpe, line_dedup, mixing, ngram_join, quality, sharding, topk
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op3_sharding": sharding.op3_sharding,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_exact_top_k": topk.op5_exact_top_k,
+    "op6_nearest": ann.op6_nearest,
     "op8_quality": quality.op8_quality,
     "op9_mixing": mixing.op9_mixing,
     "op10_bpe": bpe.op10_bpe,
