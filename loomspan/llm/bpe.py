@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 #: Bounds of a task's memory: states of the transducer, remembered pieces, and bytes of pieces that are remembered.
-MAX_STATES, MAX_PIECES, MAX_PIECE = 150_000, 400_000, 64
+MAX_STATES, MAX_PIECES, MAX_PIECE = 250_000, 800_000, 64
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -43,6 +43,8 @@ class Transducer:
             self.vocabulary[k] = token
         self.prefixes = {token[:n] for token in ranks for n in range(1, len(token))}
         self._pairs: dict[tuple[int, int], bool] = {}
+        self._heads: dict[int, list[tuple[bytes, int]]] = {}
+        self._tails: dict[int, list[tuple[bytes, int]]] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -55,46 +57,86 @@ class Transducer:
             found = self.states[live] = _State(live, next(pending for _, pending, part in live if not part))
         return found
 
-    def merge(self, data: bytes) -> list[int]:
+    def merge(self, data: bytes, below: int | None = None) -> list[bytes]:
         """The merges themselves: join the adjacent pair of lowest rank, the leftmost first, until none is a token."""
+        ranks, none = self.ranks, len(self.vocabulary)
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
-            best = min(((self.ranks.get(parts[i] + parts[i + 1], len(self.vocabulary)), i) for i in range(len(parts) - 1)))
-            if best[0] == len(self.vocabulary):
+            best, i = min((ranks.get(parts[i] + parts[i + 1], none), i) for i in range(len(parts) - 1))
+            if best == none or below is not None and best >= below:
                 break
-            i = best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
+        return parts
+
+    def _edge(self, token: int, side: int, memo: dict) -> list[tuple[bytes, int]]:
+        """What stands at one end of a token while its bytes are merged: each part, and the rank that ends it."""
+        found = memo.get(token)
+        if found is None:
+            data = self.vocabulary[token]
+            if len(data) == 1:
+                found = [(data, 1 << 40)]
+            else:
+                part = self.merge(data, token)[side]
+                inner = self._edge(self.ranks[part], side, memo)
+                found = [*inner[:-1], (part, token), (data, 1 << 40)]
+            memo[token] = found
+        return found
 
     def _fits(self, left: int, right: int) -> bool:
-        """Whether the two tokens side by side are the encoding of their bytes."""
+        """Whether the two tokens side by side are the encoding of their bytes.
+
+        Their own merges go on as if each stood alone, by rank, until a merge over the boundary comes first; of equal
+        ranks the leftmost goes first.
+        """
         if left < 0:
             return True
         found = self._pairs.get((left, right))
         if found is None:
             if len(self._pairs) >= self.max_states * 4:
                 self._pairs.clear()
-            found = self._pairs[left, right] = self.merge(self.vocabulary[left] + self.vocabulary[right]) == [left, right]
+            tail, head = self._edge(left, -1, self._tails), self._edge(right, 0, self._heads)
+            i = j = 0
+            ranks = self.ranks
+            while True:
+                (a, a_ends), (b, b_ends) = tail[i], head[j]
+                over = ranks.get(a + b)
+                if over is not None and over < a_ends and over <= b_ends:
+                    found = False
+                    break
+                if i + 1 == len(tail) and j + 1 == len(head):
+                    found = True
+                    break
+                if a_ends <= b_ends:
+                    i += 1
+                else:
+                    j += 1
+            self._pairs[left, right] = found
         return found
 
     def _step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
         more = bytes((byte,))
+        prefixes, ranks = self.prefixes, self.ranks
         live, done = [], None
-        for last, pending, part in state.live:
+        for path in state.live:
+            last, pending, part = path
             grown = part + more
-            if grown in self.prefixes:
+            if grown in prefixes:
                 live.append((last, pending, grown))
-            if done is None and (token := self.ranks.get(grown)) is not None and self._fits(pending[-1] if pending else last, token):
+            if done is None and (token := ranks.get(grown)) is not None and self._fits(pending[-1] if pending else last, token):
                 done = (last, (*pending, token), b"")
         if done is None:
             raise ValueError("the vocabulary isn't closed under its merges")
         live.append(done)
-        shared = 0
-        least = min(len(pending) for _, pending, _ in live)
-        while shared < least and len({pending[shared] for _, pending, _ in live}) == 1:
+        emitted: tuple[int, ...] = ()
+        first = live[0][1]
+        shared, least = 0, min(len(path[1]) for path in live)
+        while shared < least and all(path[1][shared] == first[shared] for path in live):
             shared += 1
-        emitted = live[0][1][:shared]
-        live = tuple((emitted[-1] if shared else last, pending[shared:], part) for last, pending, part in live)
+        if shared:
+            emitted = first[:shared]
+        # the token before the pending ones matters only while there are none
+        end = emitted[-1] if shared else None
+        live = tuple((-1 if len(pending) > shared else last if end is None else end, pending[shared:], part) for last, pending, part in live)
         if len(self.states) >= self.max_states:
             self._reset()
         to = self._state(live)
