@@ -10,7 +10,10 @@ made when first reached (lazy determinisation) and dropped when there are too ma
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -41,20 +44,35 @@ class Transducer:
         self.vocabulary = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, k in ranks.items():
             self.vocabulary[k] = token
-        self.prefixes = {token[:n] for token in ranks for n in range(1, len(token))}
+        # trie of the tokens: node << 8 | byte to node, a node's token (-1: none), and whether longer tokens follow
+        self.children: dict[int, int] = {}
+        self.token_at, self.inner = [-1], [True]
+        for token, k in ranks.items():
+            node = 0
+            for byte in token:
+                self.inner[node] = True
+                key = node << 8 | byte
+                node = self.children.get(key, -1)
+                if node < 0:
+                    node = self.children[key] = len(self.token_at)
+                    self.token_at.append(-1)
+                    self.inner.append(False)
+            self.token_at[node] = k
         self._pairs: dict[tuple[int, int], bool] = {}
         self._heads: dict[int, list[tuple[bytes, int]]] = {}
         self._tails: dict[int, list[tuple[bytes, int]]] = {}
         self._reset()
 
     def _reset(self) -> None:
+        for state in getattr(self, "states", {}).values():
+            state.next.clear()  # states refer to each other; so they go without the garbage collector
         self.states: dict[tuple, _State] = {}
-        self.start = self._state(((-1, (), b""),))
+        self.start = self._state(((-1, (), 0),))
 
     def _state(self, live: tuple) -> _State:
         found = self.states.get(live)
         if found is None:
-            found = self.states[live] = _State(live, next(pending for _, pending, part in live if not part))
+            found = self.states[live] = _State(live, live[-1][1])
         return found
 
     def merge(self, data: bytes, below: int | None = None) -> list[bytes]:
@@ -114,32 +132,39 @@ class Transducer:
         return found
 
     def _step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
-        more = bytes((byte,))
-        prefixes, ranks = self.prefixes, self.ranks
-        live, done = [], None
-        for path in state.live:
-            last, pending, part = path
-            grown = part + more
-            if grown in prefixes:
+        children, token_at, inner = self.children, self.token_at, self.inner
+        live, done, fits = [], None, self._fits
+        for last, pending, node in state.live:
+            grown = children.get(node << 8 | byte)
+            if grown is None:
+                continue
+            if inner[grown]:
                 live.append((last, pending, grown))
-            if done is None and (token := ranks.get(grown)) is not None and self._fits(pending[-1] if pending else last, token):
-                done = (last, (*pending, token), b"")
+            if done is None and (token := token_at[grown]) >= 0 and fits(pending[-1] if pending else last, token):
+                done = (last, (*pending, token), 0)
         if done is None:
             raise ValueError("the vocabulary isn't closed under its merges")
+        first = done[1]
+        shared = len(first)
+        for _, pending, _ in live:
+            n = 0
+            for x, y in zip(pending, first):  # noqa: B905
+                if x != y:
+                    break
+                n += 1
+            if n < shared:
+                shared = n
         live.append(done)
-        emitted: tuple[int, ...] = ()
-        first = live[0][1]
-        shared, least = 0, min(len(path[1]) for path in live)
-        while shared < least and all(path[1][shared] == first[shared] for path in live):
-            shared += 1
-        if shared:
-            emitted = first[:shared]
+        emitted = first[:shared]
         # the token before the pending ones matters only while there are none
-        end = emitted[-1] if shared else None
-        live = tuple((-1 if len(pending) > shared else last if end is None else end, pending[shared:], part) for last, pending, part in live)
+        if shared:
+            last = emitted[-1]
+            to_live = tuple([(-1 if len(pending) > shared else last, pending[shared:], node) for _, pending, node in live])
+        else:
+            to_live = tuple([(-1 if pending else last, pending, node) for last, pending, node in live])
         if len(self.states) >= self.max_states:
             self._reset()
-        to = self._state(live)
+        to = self.states.get(to_live) or self._state(to_live)
         state.next[byte] = (to, emitted)
         return to, emitted
 
@@ -164,7 +189,7 @@ class _Pieces(dict):
         self.transducer = transducer
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.transducer.encode(piece.encode()), "<u4").tobytes()
+        ids = array("I", self.transducer.encode(piece.encode())).tobytes()
         if len(piece) <= MAX_PIECE:
             if len(self) >= MAX_PIECES:
                 self.clear()
@@ -211,6 +236,7 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        assert sys.byteorder == "little" and array("I").itemsize == 4
         return b"".join(map(self.pieces.__getitem__, self.find(text)))
 
     def decode(self, ids: bytes) -> bytes:
@@ -253,6 +279,14 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
     def run(batches):
         own = codec(path, pattern)
+        # the collector would walk all states again and again; nothing here leaves cycles behind
+        gc.disable()
+        try:
+            yield from encoded(own, batches)
+        finally:
+            gc.enable()
+
+    def encoded(own, batches):
         for batch in batches:
             counts, hashes, back, held = [], [], [], []
             for text in batch.column(1):
