@@ -109,7 +109,8 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -
     did, thash = _identity()
     cols = [c for c in docs.columns if c != "removed_runs"]
     own = docs.select(F.struct(*[F.col(c) for c in cols]).alias("row_"), did, thash, F.col("text").alias("text_"))
-    joined = own.join(cut, ["did", "thash"], "left")
+    # the same plan at any size: whole texts move once, and a partition's cuts are its hash table
+    joined = own.join(cut.hint("shuffle_hash"), ["did", "thash"], "left")
     kept = F.array_join(F.filter(F.split("text_", "\n"), lambda x, i: ~F.exists("removed_runs", lambda r: i.between(r["first"], r["last"]))), "\n")
     text = F.when(F.col("removed_runs").isNull(), F.col("text_")).otherwise(kept)
     return joined.select(*[(text if c == "text" else F.col(f"row_.{c}")).alias(c) for c in cols], "removed_runs")
