@@ -51,9 +51,12 @@ def _numbered(lines: DataFrame, scratch: Scratch) -> DataFrame:
     return sorted_.withColumn("part", part).join(F.broadcast(offsets), "part").select("did", "thash", (F.col("offset") + F.col("m").bitwiseAND((1 << 33) - 1)).alias("ix"))
 
 
-def _intervals(rows: DataFrame, by: list[str]) -> DataFrame:
-    """(pos, rank) of the rows whose ``by`` is at several positions; the rank is the first of these."""
-    several = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("pos").alias("first")).where("n > 1").drop("n")
+def _intervals(rows: DataFrame, by: list[str], scratch: Scratch) -> DataFrame:
+    """(pos, rank) of the rows whose ``by`` is at several positions; the rank is the first of these.
+
+    The intervals are written before the join, whose large partitions can then be split: a frequent line is one row there.
+    """
+    several = scratch.keep(rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("pos").alias("first")).where("n > 1").drop("n"), "intervals")
     return rows.join(several, by).select("pos", F.col("first").alias("rank"))
 
 
@@ -63,11 +66,12 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
     known = lines.dropDuplicates(["did", "thash", "seq"]).join(_numbered(lines, scratch), ["did", "thash"])
     placed = scratch.keep(known.select((F.shiftleft("ix", LINE_BITS) + F.col("seq")).alias("pos"), "did", "thash", "line", "h1", "h2", "w"), "placed")
     scratch.drop(lines)
-    level = scratch.keep(_intervals(placed.select("pos", "h1", "h2"), ["h1", "h2"]), "ranks")
+    level = scratch.keep(_intervals(placed.select("pos", "h1", "h2"), ["h1", "h2"], scratch), "ranks")
     levels, k = level.withColumn("k", F.lit(0)), 0
     while (2 << k) <= min_words:
         after = level.select((F.col("pos") - F.lit(1 << k)).alias("pos"), F.col("rank").alias("next"))
-        level = scratch.keep(_intervals(level.join(after, "pos"), ["rank", "next"]), "ranks")
+        doubled = scratch.keep(level.join(after, "pos"), "doubled")
+        level = scratch.keep(_intervals(doubled, ["rank", "next"], scratch), "ranks")
         k += 1
         if not level.limit(1).count():
             break
@@ -90,7 +94,8 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
     runs = runs.withColumn("k", depth).withColumn("tail", F.col("pos") + F.col("len") - F.expr("shiftleft(1L, k)"))
     runs = runs.join(levels.select("k", "pos", F.col("rank").alias("head_rank")), ["k", "pos"]).join(levels.select("k", F.col("pos").alias("tail"), F.col("rank").alias("tail_rank")), ["k", "tail"])
     runs = scratch.keep(runs.select("pos", "len", "head_rank", "tail_rank"), "runs")
-    copies = runs.join(runs.groupBy("head_rank", "tail_rank", "len").agg(F.min("pos").alias("first")), ["head_rank", "tail_rank", "len"]).where("pos > first")
+    firsts = scratch.keep(runs.groupBy("head_rank", "tail_rank", "len").agg(F.min("pos").alias("first")), "firsts")
+    copies = runs.join(firsts, ["head_rank", "tail_rank", "len"]).where("pos > first")
     gone = copies.select(F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("len") - 1)).alias("pos")).distinct().join(placed.select("pos", "did", "thash", "line", "w"), "pos")
     gone = gone.withColumn("run", F.col("pos") - F.row_number().over(of_doc))
     return scratch.keep(gone.groupBy("did", "thash", "run").agg(F.min("line").alias("first"), F.max("line").alias("last"), F.count("*").alias("lines"), F.sum("w").alias("words")).drop("run"), "gone")

@@ -125,7 +125,8 @@ def kd_shards(docs: DataFrame, scratch: Scratch, n_shards: int = 24, id_col: str
     pieces = F.when(F.col("n") * F.col("size") > F.lit(WHOLE * target), F.ceil(F.col("n") * F.col("size") / F.lit(max(1.0, target / 64)))).otherwise(F.lit(1)).cast("long")
     top = F.lit((1 << COORD_BITS) - 1)
     spread = F.ln(F.lit(float(max(9, total["most"] or 9)) / 8))
-    groups = groups.withColumn("pieces", F.least(pieces, F.col("n")))
+    # written before the join, whose large partitions can then be split: a frequent text is one row there
+    groups = scratch.keep(groups.withColumn("pieces", F.least(pieces, F.col("n"))), "groups")
     pieced = rows.join(groups.select(*same, "pieces", *[F.col(f"v_{d}").alias(f"g_{d}") for d in dims]), same)
     piece = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.col("pieces"))
     tie = F.shiftrightunsigned(F.xxhash64("h", "text_crc32", "size", "piece"), 64 - TIE_BITS)
