@@ -26,6 +26,8 @@ from .common import table
 
 #: Bounds of a task's memory: states of the transducer, remembered pieces, and bytes of pieces that are remembered.
 MAX_STATES, MAX_PIECES, MAX_PIECE = 250_000, 800_000, 64
+#: Rows of a batch of results.
+OUT_ROWS = 1000
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -287,21 +289,18 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
             gc.enable()
 
     def encoded(own, batches):
-        for batch in batches:
-            counts, hashes, back, held = [], [], [], []
-            for text in batch.column(1):
-                packed = own.encode(text.as_py() or "")
-                counts.append(len(packed) // 4)
-                hashes.append(hashlib.sha256(packed).hexdigest())
-                back.append(hashlib.sha256(own.decode(packed)).hexdigest())
+        for whole in batches:
+            for i in range(0, whole.num_rows, OUT_ROWS):
+                batch = whole.slice(i, OUT_ROWS)
+                packed = [own.encode(text.as_py() or "") for text in batch.column(1)]
+                counts = np.array([len(x) // 4 for x in packed], np.int64)
+                columns = [batch.column(0), pa.array(counts), pa.array([hashlib.sha256(x).hexdigest() for x in packed]), pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in packed])]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    held.append(np.frombuffer(packed, "<i4"))
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(back, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns.append(pa.array(held, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+                    flat = pa.Array.from_buffers(pa.int32(), int(counts.sum()), [None, pa.py_buffer(b"".join(packed))])
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), flat))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {key}, n_tokens long, ids_sha256 string, decoded_sha256 string{ids}")
 
