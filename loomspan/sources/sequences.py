@@ -25,7 +25,7 @@ def fasta_names(spark: SparkSession, path: str) -> DataFrame:
 
 def read_fasta_folder(spark: SparkSession, path: str) -> DataFrame:
     """FASTA files of a folder (.fa, .fasta, .fna, gzip too) with the sample named by the file."""
-    rows = spark.read.option("pathGlobFilter", "*.{fa,fasta,fna,fa.gz,fasta.gz,fna.gz}").text(path, lineSep=">").withColumn("file", F.input_file_name()).where(F.length(F.trim("value")) > 0)
+    rows = spark.read.text(path, lineSep=">", pathGlobFilter="*.{fa,fasta,fna,fa.gz,fasta.gz,fna.gz}").withColumn("file", F.input_file_name()).where(F.length(F.trim("value")) > 0)
     split = F.split("value", "\n", 2)
     sample = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.(fa|fasta|fna)(\.gz)?$", "")
     return rows.select(sample.alias("sample"), F.regexp_extract(F.element_at(split, 1), r"^(\S+)", 1).alias("name"), F.regexp_replace(F.coalesce(F.try_element_at(split, F.lit(2)), F.lit("")), r"\s", "").alias("seq"))
@@ -60,5 +60,5 @@ def agp_rows(df: DataFrame, gap: int) -> DataFrame:
 def write_agp(df: DataFrame, gap: int, path: str) -> None:
     cols = [F.col("object"), *[F.col(c).cast("string") for c in ("beg", "stop", "part_number", "kind")]]
     hole = F.col("kind") == "N"
-    line = F.concat_ws("\t", *cols, F.when(hole, F.lit(str(gap))).otherwise(F.col("component")), F.when(hole, "gap").otherwise("1"), F.when(hole, str(gap)).otherwise(F.col("b")), F.col("strand"))
+    line = F.concat_ws("\t", *cols, F.when(hole, "gap").otherwise(F.col("component")), F.lit("1"), F.when(hole, str(gap)).otherwise(F.col("b")), F.col("strand"))
     agp_rows(df, gap).orderBy("object", "part_number").select(line.alias("value")).write.text(path)
