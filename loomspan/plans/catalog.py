@@ -442,13 +442,13 @@ def combinatorics(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", X.choose(n, F.lit(2)).alias("pairs"), X.multichoose(n, F.lit(3)).alias("multi"), X.triangular(n).cast("long").alias("triangle"))
 
 
-@query(f"WITH e AS ({ENDS_SQL}), w AS (SELECT sample, contig, \"start\" AS s FROM e) SELECT a.sample AS a, b.sample AS b, CAST(sum((a.s <> b.s)::INT) AS BIGINT) AS distance FROM w a JOIN w b ON a.contig = b.contig AND a.sample < b.sample AND b.sample <= 12 GROUP BY ALL HAVING count(*) = 6")
+@query(f"""WITH e AS ({ENDS_SQL}), w AS (SELECT sample, list("start" ORDER BY contig) AS x FROM e GROUP BY sample), n AS (SELECT sample AS a, lead(sample) OVER (ORDER BY sample) AS b, x, lead(x) OVER (ORDER BY sample) AS y FROM w)
+SELECT a, b, CAST(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] <> y[i])::INT)) AS BIGINT) AS distance FROM n WHERE len(x) = len(y)""")
 def hamming(spark, d):
-    states = ends(spark, d).groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("contig", "start"))).alias("x")).where(F.size("x") == 6)
-    few = states.where("sample <= 12").select(F.col("sample").alias("b"), F.col("x").alias("y"))
-    both = few.select(F.col("b").alias("a"), F.col("y").alias("x")).join(F.broadcast(few), F.col("a") < F.col("b"))
-    start = lambda c: F.transform(c, lambda z: z["start"])
-    return both.select("a", "b", X.hamming(start(F.col("x")), start(F.col("y"))).cast("long").alias("distance"))
+    states = ends(spark, d).groupBy("sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("contig", "start"))), lambda z: z["start"]).alias("x"))
+    after = Window.orderBy("sample")
+    both = states.select(F.col("sample").alias("a"), F.lead("sample").over(after).alias("b"), "x", F.lead("x").over(after).alias("y"))
+    return both.where(F.size("x") == F.size("y")).select("a", "b", X.hamming(F.col("x"), F.col("y")).cast("long").alias("distance"))
 
 
 # sequences
@@ -472,10 +472,10 @@ def polyn_join(spark, d):
     return assemble(rows, 5)
 
 
-@query("SELECT doc_id, i AS piece, substr(text, 1 + 100 * (i - 1), 100) AS part FROM documents, (SELECT unnest(range(1, 4)) AS i) WHERE n_chars >= 300")
+@query("SELECT doc_id, i AS piece, substr(text, 1 + 1000 * (i - 1), 1000) AS part FROM (SELECT doc_id, text, unnest(range(1, 2 + (length(text) - 1) // 1000)) AS i FROM documents WHERE length(text) > 0)")
 def breakpoint_chunks(spark, d):
-    spans = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct((1 + 100 * i).alias("start"), (100 + 100 * i).alias("stop")))
-    return J.pieces(table(spark, d, "documents").where("n_chars >= 300"), spans, "text").select("doc_id", F.col("piece").cast("long").alias("piece"), "part")
+    spans = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 1000).cast("int")), lambda i: F.struct((1 + 1000 * i).alias("start"), (1000 + 1000 * i).alias("stop")))
+    return J.pieces(table(spark, d, "documents").where(F.length("text") > 0), spans, "text").select("doc_id", F.col("piece").cast("long").alias("piece"), "part")
 
 
 @query("SELECT page_id, CAST(len(list_filter(range(1, length(url)), lambda i: substr(url, i, 2) = 'th')) AS BIGINT) AS sites FROM pages")
@@ -509,3 +509,101 @@ def linkage_components(spark, d):
     # rank of the 0.9 discrete quantile
     cut = p.agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY common)").alias("cut"))
     return connected_components(p.join(F.broadcast(cut)).where("common >= cut").select("a", "b"))
+
+
+@query("""WITH c AS (SELECT l_partkey AS site, l_suppkey AS sample, sum((l_linestatus = 'F')::INT) AS a, sum((l_linestatus = 'O')::INT) AS b FROM lineitem GROUP BY ALL),
+p AS (SELECT *, a * log10(0.99) + b * log10(0.01) AS l0, a * log10(0.5) + b * log10(0.5) AS l1, a * log10(0.01) + b * log10(0.99) AS l2 FROM c)
+SELECT site, sample, CASE WHEN l0 >= l1 AND l0 >= l2 THEN '0/0' WHEN l1 >= l2 THEN '0/1' ELSE '1/1' END AS gt FROM p""")
+def genotype_calls(spark, d):
+    from loomspan.operators.segregation import called_dosage, genotype_text
+
+    of = lambda status: F.sum((F.col("l_linestatus") == status).cast("int"))
+    c = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("site"), F.col("l_suppkey").alias("sample")).agg(of("F").alias("a"), of("O").alias("b"))
+    return c.select("site", "sample", genotype_text(called_dosage(F.col("a"), F.col("b"), 2), 2).alias("gt"))
+
+
+# kernels: no SQL can state these; tests hold them against enumeration and planted truth
+
+
+def _event_pairs(spark, d):
+    pairs = twopoint.two_state(ends(spark, d), "contig", "sample", "start", "stop")
+    return pairs.withColumns({c: F.concat(F.lit("c"), F.col(c).cast("string")) for c in "ab"})
+
+
+def _event_contigs(spark, d):
+    return markers(spark, d).select(F.concat(F.lit("c"), F.col("contig").cast("string")).alias("contig")).distinct()
+
+
+@query()
+def dag_path(spark, d):
+    from loomspan.operators import mapping
+
+    near = J.band(W.forward_bound(_numbered(spark, d), ["sample"], "pos", 3, 20000), ["sample"], "ix", "last", ["value", "pos", "m"])
+    rf = F.least(F.abs(F.col("value_u") - F.col("value_v")) / 1000, F.lit(0.5))
+    return mapping.marker_paths(near.select(F.col("sample").cast("string").alias("contig"), "u", "v", rf.alias("rf"), F.abs(F.col("pos_v") - F.col("pos_u")).cast("double").alias("bp"), F.col("m_u").alias("m")))
+
+
+@query()
+def nn_join(spark, d):
+    from loomspan.operators import mapping
+
+    return mapping.superscaffolds(_event_pairs(spark, d), _event_contigs(spark, d), 0.85)
+
+
+@query()
+def linkage_groups(spark, d):
+    from loomspan.operators import mapping
+
+    return mapping.linkage_groups(_event_pairs(spark, d), _event_contigs(spark, d), 1.0, -1e9)
+
+
+@query()
+def order_groups(spark, d):
+    from loomspan.operators import mapping
+
+    pairs = _event_pairs(spark, d)
+    return mapping.ordered_groups(pairs, _event_contigs(spark, d).withColumn("lg", F.lit(1).cast("long")))
+
+
+@query()
+def assembled_map(spark, d):
+    from loomspan.operators import mapping
+
+    lengths = _event_contigs(spark, d).withColumn("own_cm", F.lit(10.0))
+    return mapping.assembled_map(order_groups(spark, d), lengths)
+
+
+@query()
+def simulate_population(spark, d):
+    from loomspan.plans import programs
+
+    chromosomes = table(spark, d, "region").select(F.col("r_name").alias("chrom"), F.lit(40_000).cast("long").alias("length"))
+    return programs.popsimulation(spark, chromosomes, 12, 4, 3)
+
+
+@query()
+def simulate_reads(spark, d):
+    from loomspan.operators import simulate
+
+    letters = F.regexp_replace(F.translate(F.lower("s_name"), "abcdefghijklmnopqrstuvwxyz0123456789#", "ACGTACGTACGTACGTACGTACGTACGTACGTACGTAC"), "[^ACGT]", "")
+    seqs = table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.concat(F.repeat(letters, 30), F.lit("GCAGC"), F.repeat(letters, 20)).alias("seq"))
+    return simulate.reads(simulate.fragments(seqs, "ApeKI"), 2, 1, "ACTG", 7)
+
+
+@query()
+def hmm_fit(spark, d):
+    from loomspan.operators import simulate
+    from loomspan.plans import programs
+
+    chromosomes = table(spark, d, "region").select(F.col("r_name").alias("chrom"), F.lit(15_000).cast("long").alias("length"))
+    truth = programs.popsimulation(spark, chromosomes, 34, 2, 3)
+    return programs.haplotyper(simulate.depths(truth, 10, 3), ["P1", "P2"], 2, repeats=2, seed=5, max_iter=20).select("contig", "rep", "loglik", "sample", "dosage")
+
+
+@query()
+def segregation_test(spark, d):
+    from loomspan.operators import segregation
+
+    counts = segregation_counts(spark, d)
+    sites = counts.select("site", F.array("class_0", "class_1", "class_2").alias("counts"), F.lit(1).alias("dosage_a"), F.lit(1).alias("dosage_b"))
+    return segregation.segregation_test(sites, 2).select("site", *micro("p"))
