@@ -103,6 +103,20 @@ def contig_lengths(maps: DataFrame) -> DataFrame:
     return maps.select("contig", F.explode("rf").alias("r")).groupBy("contig").agg(F.sum(X.centimorgan(F.col("r"))).alias("own_cm"))
 
 
+def neighbour_scaffolds(pairs: DataFrame, neighbours: int = 3) -> DataFrame:
+    """cluster, ord, contig, reversed, cm: each contig with its nearest ones (ties included), clusters inside another gone,
+    the rest in the order of their shortest walk. A contig can be in several clusters."""
+    from loomspan.operators.joins import subsets_removed
+
+    both = pairs.select("a", "b", "rf_min").union(pairs.select("b", "a", "rf_min"))
+    near = W.with_ties(both, ["a"], F.col("rf_min"), neighbours).select("a", "b")
+    sets = near.union(near.select("a", F.col("a").alias("b"))).distinct()
+    kept = sets.join(subsets_removed(sets, "a", "b").select("a"), "a", "left_semi").select(F.col("a").alias("cluster"), F.col("b").alias("contig"))
+    ids = kept.select("cluster").distinct().withColumn("lg", F.row_number().over(Window.orderBy("cluster")).cast("long"))
+    ordered = ordered_groups(pairs, kept.join(ids, "cluster").select("contig", "lg"))
+    return ordered.join(ids, "lg").select("cluster", "ord", "contig", "reversed", "cm")
+
+
 def pseudomolecules(linkage_map: DataFrame, sequences: DataFrame, errors: DataFrame | None = None, gap: int = 1000, trim_gaps: bool = False) -> tuple[DataFrame, DataFrame]:
     """(object, seq) and parts for AGP. Contigs with errors are cut at them first: the stretch between the two markers of an
     error goes, or, with ``trim_gaps``, only the run of N in it if it has one."""

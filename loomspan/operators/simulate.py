@@ -150,3 +150,56 @@ def key_file(samples: DataFrame, flowcell: str, lane: str, enzyme: str) -> DataF
     from loomspan.functions.scalar import well
 
     return samples.select(F.lit(flowcell).alias("Flowcell"), F.lit(lane).alias("Lane"), F.col("barcode").alias("Barcode"), F.col("sample").alias("Sample"), F.substring(well(F.col("ix")), 1, 1).alias("Row"), F.substring(well(F.col("ix")), 2, 2).alias("Col"), F.lit(enzyme).alias("Enzyme"))
+
+
+def genomes(sequences: DataFrame, truth: DataFrame) -> DataFrame:
+    """sample, haplotype (from 1), name, seq: each individual's copies of the reference (name, seq) with its alleles in place.
+
+    One task a chromosome and sample; a chromosome's sequence is its unit of work.
+    """
+    rows = truth.groupBy("chrom", "sample").agg(F.array_sort(F.collect_list(F.struct("pos", "ref", "alt", "alleles"))).alias("m"))
+    units = rows.join(sequences.select(F.col("name").alias("chrom"), "seq"), "chrom").repartition("chrom", "sample")
+
+    def one(batches):
+        for pdf in batches:
+            out = []
+            for chrom, sample, m, seq in zip(pdf.chrom, pdf["sample"], pdf.m, pdf.seq, strict=True):
+                for h in range(len(m[0]["alleles"])):
+                    letters = bytearray(seq.encode())
+                    for x in m:
+                        if x["pos"] <= len(letters):
+                            letters[x["pos"] - 1] = ord(x["alt"] if x["alleles"][h] else x["ref"])
+                    out.append((sample, h + 1, chrom, letters.decode()))
+            yield pd.DataFrame(out, columns=["sample", "haplotype", "name", "seq"])
+
+    return units.mapInPandas(one, "sample string, haplotype int, name string, seq string")
+
+
+def pedigree_lines(family: DataFrame) -> DataFrame:
+    """Name and parents of each individual; founders have NA."""
+    parent = lambda p: F.when(F.col("role") < 2, "NA").otherwise(p)
+    rows = family.select("sample_ix", F.concat_ws("\t", "sample", parent("P1"), parent("P2")).alias("value"))
+    return _headed(rows, "Name\tParent1\tParent2", "sample_ix")
+
+
+def chromosome_lines(chromosomes: DataFrame, centromere: float = 0.4) -> DataFrame:
+    """Genetic length in centimorgans at 1 cM a million base pairs, and the centromere's place."""
+    cm = F.col("length") / (MORGAN_BP / 100)
+    rows = chromosomes.select("chrom", F.concat_ws("\t", "chrom", F.format_number(cm, 6), F.format_number(cm * centromere, 6)).alias("value"))
+    return _headed(rows, "chromosome\tlength\tcentromere", "chrom")
+
+
+def marker_lines(sites: DataFrame) -> DataFrame:
+    """Map positions in centimorgans."""
+    rows = sites.select("chrom", "pos", F.concat_ws("\t", F.concat_ws("_", "chrom", F.col("pos").cast("string")), "chrom", F.format_number(F.col("pos") / (MORGAN_BP / 100), 6)).alias("value"))
+    return _headed(rows, "marker\tchromosome\tposition", "chrom", "pos")
+
+
+def founder_lines(sites: DataFrame) -> DataFrame:
+    rows = sites.select("chrom", "pos", F.concat_ws("\t", F.concat_ws("_", "chrom", F.col("pos").cast("string")), F.array_join(F.transform("founders", lambda x: x.cast("string")), "\t")).alias("value"))
+    return _headed(rows, "marker", "chrom", "pos")
+
+
+def _headed(rows: DataFrame, head: str, *order: str) -> DataFrame:
+    first = rows.sparkSession.range(1).select(F.lit(0).alias("_n"), *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in order], F.lit(head).alias("value"))
+    return first.union(rows.select(F.lit(1).alias("_n"), *order, "value")).orderBy("_n", *order).select("value")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomspan.functions.scalar import lod
+from loomspan.functions.sequences import wrap
 from loomspan.operators import evaluate, mapping, phasing, simulate, singlepoint, twopoint
 from loomspan.sources import sequences, storage, tables, vcf
 
@@ -89,7 +91,7 @@ def gbssimulation(seqs: DataFrame, enzyme: str, mean: float, sd: float, barcode:
     return simulate.reads(simulate.fragments(seqs, enzyme, seed=seed), mean, sd, barcode, seed)
 
 
-def gembler(spark: SparkSession, path: str, parents: list[str], ploidy: int, repeats: int = 30, seed: int = 0, seqs: DataFrame | None = None, rf_threshold: float = 0.1, min_progeny: int = 30, **limits) -> dict[str, DataFrame]:
+def endtoend(spark: SparkSession, path: str, parents: list[str], ploidy: int, repeats: int = 30, seed: int = 0, seqs: DataFrame | None = None, rf_threshold: float = 0.1, min_progeny: int = 30, **limits) -> dict[str, DataFrame]:
     """The whole way: preparation, phasing, misjoin repair and re-phasing, fractions, maps, pseudomolecules."""
     sites, calls, samples = datapreparation(spark, path, **limits)
     sites = _kept(spark, sites)
@@ -134,14 +136,71 @@ def _scaffold(spark, a):
     tables.scaffold_lines(superscaffold(pairs)).write.text(a.output)
 
 
-PROGRAMS: dict[str, Callable] = {"datapreparation": _prepare, "haplotyper": _phase, "twopoint": _rf, "singlepoint": _single, "superscaffold": _scaffold}
+def _errors(spark, a):
+    samples = vcf.header(spark, a.calls)
+    errors, broken = asmerr(spark.read.parquet(a.input), vcf.narrowed(vcf.read_vcf(spark, a.calls)), a.parents.split(":"), a.ploidy)
+    errors.select("contig", "left", "right", "rf").write.csv(f"{a.output}.err", sep="\t")
+    vcf.write_vcf(broken, samples, f"{a.output}.vcf")
+
+
+def _map(spark, a):
+    rows = tables.read_rf(spark, a.input)
+    pairs = rows.select("a", "b", "n", "rf_min", *[F.col(f"rf{i}").alias(x) for i, x in enumerate(mapping.RF)], lod(F.col("rf_min"), F.col("n")).alias("lod"))
+    tables.linkage_map_lines(linkage_map(pairs, tables.read_contig_map(spark, a.maps))).write.text(a.output)
+
+
+def _chromosomes(spark, a):
+    errors = tables.read_errors(spark, a.errors).select("contig", F.explode("errors").alias("e")).select("contig", "e.*") if a.errors else None
+    molecules, agp = chromosomer(tables.read_linkage_map(spark, a.input), sequences.read_fasta(spark, a.sequences), errors)
+    sequences.write_fasta(molecules.withColumnRenamed("object", "name"), f"{a.output}.fa")
+    agp.write.parquet(f"{a.output}.agp")
+
+
+def _evaluate(spark, a):
+    evaluator(spark.read.parquet(a.truth), spark.read.parquet(a.input), a.ploidy).write.csv(a.output, header=True)
+
+
+def _whole(spark, a):
+    seqs = sequences.read_fasta(spark, a.sequences) if a.sequences else None
+    limits = {k: getattr(a, k) for k in ("min_qual", "min_depth", "max_depth", "min_maf", "max_missing")}
+    for name, df in endtoend(spark, a.input, a.parents.split(":"), a.ploidy, a.repeats, a.seed, seqs, min_progeny=a.min_progeny, **limits).items():
+        df.write.parquet(f"{a.output}/{name}")
+
+
+def _population(spark, a):
+    seqs = sequences.read_fasta(spark, a.input)
+    chromosomes = seqs.select(F.col("name").alias("chrom"), F.col("length").cast("long").alias("length"))
+    sites = _kept(spark, simulate.markers(chromosomes, a.ploidy, a.seed))
+    family = simulate.pedigree(spark, a.size)
+    truth = simulate.genotypes(sites, family, a.ploidy, a.seed)
+    truth.write.parquet(f"{a.output}/truth")
+    for name, lines in (("ped", simulate.pedigree_lines(family)), ("chrom", simulate.chromosome_lines(chromosomes)), ("map", simulate.marker_lines(sites)), ("gen", simulate.founder_lines(sites))):
+        lines.write.text(f"{a.output}/{name}")
+    genome = simulate.genomes(seqs.select("name", "seq"), truth)
+    genome.select("sample", F.concat(F.lit(">"), "name", F.lit("_"), F.col("haplotype").cast("string"), F.lit("\n"), wrap(F.col("seq"))).alias("value")).write.partitionBy("sample").text(f"{a.output}/genomes")
+
+
+def _reads(spark, a):
+    seqs = sequences.read_fasta(spark, a.input).select("name", "seq")
+    simulate.fastq_lines(gbssimulation(seqs, a.enzyme, a.depth, a.depth_sd, a.barcode, a.seed)).write.option("compression", "gzip").text(a.output)
+
+
+PROGRAMS: dict[str, Callable] = {
+    "datapreparation": _prepare, "haplotyper": _phase, "asmerr": _errors, "singlepoint": _single, "twopoint": _rf, "superscaffold": _scaffold, "map": _map,
+    "chromosomer": _chromosomes, "evaluator": _evaluate, "endtoend": _whole, "popsimulation": _population, "gbssimulation": _reads,
+}
+FLAGS = (
+    ("--input", str, None), ("--output", str, None), ("--calls", str, ""), ("--maps", str, ""), ("--errors", str, ""), ("--sequences", str, ""), ("--truth", str, ""), ("--parents", str, "P1:P2"), ("--ploidy", int, 2), ("--repeats", int, 30),
+    ("--seed", int, 0), ("--size", int, 192), ("--enzyme", str, "ApeKI"), ("--depth", float, 10), ("--depth-sd", float, 5), ("--barcode", str, "ACGT"), ("--min-progeny", int, 30), ("--min-qual", float, 0), ("--min-depth", float, 0),
+    ("--max-depth", float, float("inf")), ("--min-maf", float, 0), ("--max-missing", float, 1),
+)
 
 
 def main(argv: list[str] | None = None) -> int:
     """Run a program by its name, in any case; unknown names and options are errors."""
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("program", type=str.lower, choices=sorted(PROGRAMS))
-    for flag, kind, value in (("--input", str, None), ("--output", str, None), ("--parents", str, "P1:P2"), ("--ploidy", int, 2), ("--repeats", int, 30), ("--seed", int, 0), ("--min-progeny", int, 30), ("--min-qual", float, 0), ("--min-depth", float, 0), ("--max-depth", float, float("inf")), ("--min-maf", float, 0), ("--max-missing", float, 1)):
+    for flag, kind, value in FLAGS:
         parser.add_argument(flag, type=kind, default=value, required=value is None)
     args = parser.parse_args(argv)
     PROGRAMS[args.program](SparkSession.builder.getOrCreate(), args)
