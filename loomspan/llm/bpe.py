@@ -22,12 +22,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import small_batches, table
 
-#: Bounds of a task's memory: states of the transducer, remembered pieces, and bytes of pieces that are remembered.
-MAX_STATES, MAX_PIECES, MAX_PIECE = 250_000, 800_000, 64
+#: Bounds of a task's memory: states of the transducer, remembered pairs and pieces, and bytes of pieces that are remembered.
+MAX_STATES, MAX_PAIRS, MAX_PIECES, MAX_PIECE = 200_000, 400_000, 500_000, 64
 #: Rows of a batch of results.
-OUT_ROWS = 1000
+OUT_ROWS = 500
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -112,7 +112,7 @@ class Transducer:
             return True
         found = self._pairs.get((left, right))
         if found is None:
-            if len(self._pairs) >= self.max_states * 4:
+            if len(self._pairs) >= MAX_PAIRS:
                 self._pairs.clear()
             tail, head = self._edge(left, -1, self._tails), self._edge(right, 0, self._heads)
             i = j = 0
@@ -276,6 +276,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     ``path`` is a rank file that every executor has. Null and empty texts have no tokens. Repeated rows are encoded each;
     other columns are left out. The ids come as a list of integers if ``with_ids``.
     """
+    small_batches(docs.sparkSession)
     ids = ", ids array<int>" if with_ids else ""
     key = docs.schema[id_col].dataType.simpleString()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -10,7 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a numpy kernel hashes at once; a longer text is hashed alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+#: Rows of an Arrow batch: what a Python worker and the JVM hold of a task's input at once.
+ARROW_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long, so the usual 10,000 rows a batch would take too much of an executor's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, ARROW_ROWS)
+
+
 class Scratch:
     """Written intermediate tables. They cut lineage and survive lost executors; ``drop`` frees one that is used up."""
 
     def __init__(self, spark: SparkSession, label: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
@@ -46,6 +57,11 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{self.n:03d}-{name}"
 
+    def settle(self) -> None:
+        """Let go of the shuffle files of steps whose results are written: Spark deletes them as their plans are collected."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()

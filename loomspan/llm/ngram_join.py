@@ -2,11 +2,13 @@
 
 1. Every text becomes a set of 64-bit shingle hashes. Equal sets are one class, so copies cost one set.
 2. The global order puts shingles that many documents share last and orders the rest by hash. A class posts the shingles
-   of its prefix: two classes that reach the similarity share one of them. Postings travel packed, in buckets whose size
-   is set by the count of postings; shingles posted once can link nothing and are dropped.
-3. Candidates come from the classes that share a posted shingle and whose lengths and places allow the overlap. The
-   classes that share most are pivots first; later rounds take only pairs that no link connects so far, and the last
-   round takes all of them, so no link between components is lost, yet a group of near copies isn't paired up in full.
+   of its prefix, extended by a tenth of the set: two classes that reach the similarity share as many of them. Postings
+   travel packed, in buckets whose size is set by the count of postings; shingles posted once can link nothing and go, and
+   so do classes with too few shared ones.
+3. Candidates come from the classes that share a posted shingle and whose sizes allow the overlap. First, of each shingle
+   the class that shares most is a pivot for the others; the last round takes all pairs that no link connects so far, so
+   no link between components is lost, yet a group of near copies isn't paired up in full. Signatures of the sets bound a
+   pair's overlap from above; most pairs that only share a passage end there.
 4. A pivot's candidates are stored as a trie (sequences in lexicographic order with their common prefixes); the walk
    counts the overlap with the pivot once for a shared path and leaves a path when what remains can't reach the bound.
 """
@@ -24,22 +26,32 @@ from .components import components
 SHINGLE = 5
 #: Similarity as a ratio of integers: 100 * intersection >= 75 * union.
 NUM, DEN = 75, 100
-#: A shingle in at least this part of the classes goes last in the order; at most so many are broadcast (8 bytes each).
-HEAVY_PART, HEAVY_LEAST, MAX_HEAVY = 1 / 500, 32, 1 << 18
-#: Shingles between two counts of a task's heavy ones.
-WINDOW = 1_000_000
+#: Prefixes are longer by this percentage of the set, so that a class must share as many more shingles to link with any.
+EXTENSION = 10
+#: A shingle goes last in the order if classes that share it with one nearby (in a window of so many shingles of a task)
+#: come to this many; of more than the bound the most frequent ones (8 bytes each are broadcast). The order is the same for
+#: all sets whatever is in it, so it bears on speed alone.
+HEAVY_LEAST, MAX_HEAVY, WINDOW = 24, 1 << 18, 1_000_000
 #: Postings of a bucket, postings that a task holds before it sends them, members of a salted group of a heavy shingle.
-BUCKET, FLUSH, GROUP = 400_000, 1_000_000, 200_000
+BUCKET, FLUSH, GROUP = 400_000, 500_000, 200_000
 #: Shingles of a pivot's candidates in one trie.
 TRIE_TOKENS = 200_000
 #: Pivots of a group in the rounds before the last, and the block of members that the last round pairs at once.
-PIVOTS, BLOCK = (1, 8), 1000
+PIVOTS, BLOCK = (1,), 1000
+#: Least and most bits of a set's signature, two a shingle between; an upper bound of two sets' overlap follows from them.
+SIGNATURE = (512, 1 << 17)
+PAIRS = "a long, b long, least long, met long"
 #: Bits of the fixed-size filter that picks the texts whose sets are needed; a full filter only costs time.
 FILTER_BITS = 1 << 23
 
 
+def extension(n):
+    """Shingles that two classes share in their extended prefixes, by the smaller one's size."""
+    return np.maximum(1, n * EXTENSION // 100)
+
+
 def prefix_length(n):
-    return n - (NUM * n + DEN - 1) // DEN + 1
+    return n - (NUM * n + DEN - 1) // DEN + extension(n)
 
 
 def required(n, m):
@@ -80,26 +92,46 @@ def fingerprints(r: np.ndarray, h: np.ndarray, n_rows: int) -> tuple[np.ndarray,
     return n, fp.astype(np.int64)
 
 
+def signatures(r: np.ndarray, h: np.ndarray, n_rows: int) -> list[bytes]:
+    """Bitmaps of the sets' hashes. The bits in which two differ each stand for a shingle that only one of them has."""
+    n = np.bincount(r, minlength=n_rows)
+    ends = np.cumsum(n)
+    size = np.clip(2 ** np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64), *SIGNATURE)
+    spot = mix(h)
+    out: list[bytes] = [b""] * n_rows
+    for bits in np.unique(size):
+        rows = np.flatnonzero(size == bits)
+        for i in range(0, len(rows), 4096):
+            part = rows[i : i + 4096]
+            table_ = np.zeros((len(part), bits), bool)
+            for k, row in enumerate(part.tolist()):
+                table_[k, (spot[ends[row] - n[row] : ends[row]] % np.uint64(bits)).astype(np.int64)] = True
+            for row, x in zip(part.tolist(), np.packbits(table_, axis=1), strict=True):
+                out[row] = x.tobytes()
+    return out
+
+
 def _scan(batches):
-    """Documents' fingerprints, and counts of the shingles that are frequent in a window of the task's classes."""
-    seen, held, classes, size = set(), [], 0, 0
+    """Documents' fingerprints and signatures, and counts of the shingles that are frequent in a window of the task's classes."""
+    seen, held, size = set(), [], 0
 
     def flush():
         h, counts = np.unique(np.concatenate(held), return_counts=True)
-        often = counts >= max(2, int(HEAVY_PART * classes))
+        often = counts >= 2
         return h[often].view(np.int64), counts[often]
 
-    def out(ids, fp, n, shingle, count):
+    def out(ids, fp, n, signs, shingle, count):
         k = len(shingle)
         return pa.RecordBatch.from_arrays(
             [
                 pa.concat_arrays([ids, pa.nulls(k, ids.type)]),
                 pa.array(np.concatenate((fp, np.zeros(k, np.int64)))),
                 pa.array(np.concatenate((n, np.zeros(k, np.int64)))),
+                pa.array([*signs, *[None] * k], pa.binary()),
                 pa.array(np.concatenate((np.zeros(len(fp), np.int64), shingle))),
                 pa.array(np.concatenate((np.zeros(len(fp), np.int64), count.astype(np.int64)))),
             ],
-            ["doc_id", "fp", "n", "shingle", "count"],
+            ["doc_id", "fp", "n", "sign", "shingle", "count"],
         )
 
     none = np.zeros(0, np.int64)
@@ -110,16 +142,15 @@ def _scan(batches):
             k = len(rows) - 1
             r, h = shingle_sets(data, rows)
             n, fp = fingerprints(r, h, k)
-            yield out(batch.column(0).slice(at, k), fp, n, none, none)
+            yield out(batch.column(0).slice(at, k), fp, n, signatures(r, h, k), none, none)
             fresh = _fresh(fp, n, seen)
             held.append(h[fresh[r]])
-            classes += int(fresh.sum())
             size += len(held[-1])
             if size >= WINDOW:
-                yield out(batch.column(0).slice(0, 0), none, none, *flush())
-                held, classes, size = [], 0, 0
+                yield out(batch.column(0).slice(0, 0), none, none, [], *flush())
+                held, size = [], 0
     if held:
-        yield out(last.slice(0, 0), none, none, *flush())
+        yield out(last.slice(0, 0), none, none, [], *flush())
 
 
 def _fresh(fp: np.ndarray, n: np.ndarray, seen: set) -> np.ndarray:
@@ -205,9 +236,16 @@ def _possible(np_a: np.ndarray, np_b: np.ndarray) -> np.ndarray:
     return (NUM * np.maximum(n, m) <= DEN * np.minimum(n, m)) & (most >= required(n, m))
 
 
+def _least(place_a: np.ndarray, place_b: np.ndarray) -> np.ndarray:
+    """Shingles that a pair must share in its extended prefixes."""
+    return extension(np.minimum(place_a >> 32, place_b >> 32))
+
+
 def _pairs_batch(pairs: list[np.ndarray]):
-    if pairs and (rows := np.unique(np.concatenate(pairs), axis=0)).size:
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(2)], ["a", "b"])
+    """Distinct (a, b, least) with the shingles at which they were met."""
+    if pairs and (all_ := np.concatenate(pairs)).size:
+        rows, met = np.unique(all_, axis=0, return_counts=True)
+        yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(rows[:, i])) for i in range(3)], pa.array(met.astype(np.int64))], ["a", "b", "least", "met"])
 
 
 def _stars(pivots: int):
@@ -229,7 +267,7 @@ def _stars(pivots: int):
                 use = np.flatnonzero((at < index) & (index >= lead))
                 a, b = rows[at[use]], rows[use]
                 use = (a[:, 4] != b[:, 4]) & _possible(a[:, 3], b[:, 3])
-                held.append(np.stack((a[use, 2], b[use, 2]), axis=1))
+                held.append(np.stack((a[use, 2], b[use, 2], _least(a[use, 3], b[use, 3])), axis=1))
                 size += int(use.sum())
             carry = rows[head[-1] : head[-1] + pivots]
             if size >= 500_000:
@@ -241,44 +279,89 @@ def _stars(pivots: int):
 
 
 def _blocks(batches):
-    """All pairs of a group's two blocks whose labels differ. Rows: key, s, t, side, fp, place, label; sorted so."""
+    """Pairs of a group's two blocks with different labels, whose sizes and signatures allow the similarity.
+
+    Rows: pivot, s, t, side, fp, label, n, sign; sorted by the first five.
+    """
     held, size = [], 0
-    for rows in _groups(batches, 3):
-        left, right = rows[rows[:, 3] == 0], rows[rows[:, 3] == 1]
+    for rows, signs in _groups(batches):
         inside = rows[0, 1] == rows[0, 2]
-        right = left if inside else right
-        for i in range(0, len(left), 256):
-            a = left[i : i + 256]
-            ok = (a[:, None, 6] != right[None, :, 6]) & _possible(a[:, None, 5], right[None, :, 5])
-            if inside:
-                ok &= np.arange(len(a))[:, None] + i < np.arange(len(right))[None, :]
-            x, y = np.nonzero(ok)
-            held.append(np.stack((a[x, 4], right[y, 4]), axis=1))
-            size += len(x)
-            if size >= 500_000:
-                yield from _pairs_batch(held)
-                held, size = [], 0
-    yield from _pairs_batch(held)
+        words_ = np.array([len(x) // 8 for x in signs])
+        for w in np.unique(words_):
+            # sizes of a link differ by a third at most, so their signatures are as long or one is twice as long
+            left, twice = np.flatnonzero(words_ == w), np.flatnonzero(words_ == 2 * w)
+            own = np.stack([np.frombuffer(signs[i], np.uint64) for i in left])
+            if len(twice):
+                longer = np.stack([np.frombuffer(signs[i], np.uint64) for i in twice])
+                both, bits = np.concatenate((left, twice)), np.concatenate((own, longer[:, :w] | longer[:, w:]))
+            else:
+                both, bits = left, own
+            step = max(1, (1 << 19) // (len(both) * int(w)))
+            for i in range(0, len(left), step):
+                x = left[i : i + step]
+                n, m = rows[x, 6][:, None], rows[both, 6][None, :]
+                ok = (rows[x, 5][:, None] != rows[both, 5][None, :]) & (NUM * np.maximum(n, m) <= DEN * np.minimum(n, m))
+                # of equally long signatures each pair once; of two blocks only pairs across
+                ok &= (rows[x, 4][:, None] < rows[both, 4][None, :]) | (np.arange(len(both)) >= len(left))[None, :]
+                if not inside:
+                    ok &= rows[x, 3][:, None] != rows[both, 3][None, :]
+                u, v = np.nonzero(ok)
+                for k in range(0, len(u), max(1, (1 << 20) // int(w))):
+                    p, q = u[k : k + max(1, (1 << 20) // int(w))], v[k : k + max(1, (1 << 20) // int(w))]
+                    apart = np.bitwise_count(own[i + p] ^ bits[q]).sum(axis=1, dtype=np.int64)
+                    n1, n2 = rows[x[p], 6], rows[both[q], 6]
+                    use = (n1 + n2 - apart) // 2 >= required(n1, n2)
+                    f, g = rows[x[p[use]], 4], rows[both[q[use]], 4]
+                    held.append(np.stack((np.minimum(f, g), np.maximum(f, g)), axis=1))
+                    size += int(use.sum())
+        if size >= 200_000:
+            yield _distinct(held)
+            held, size = [], 0
+    if size:
+        yield _distinct(held)
+
+
+def _distinct(pairs: list[np.ndarray]):
+    rows = np.unique(np.concatenate(pairs), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(2)], ["a", "b"])
+
+
+def _groups(batches, keys: int = 3):
+    """Runs of rows that agree in their first ``keys`` columns: the numbers, and the last column's bytes."""
+    held: list[tuple[np.ndarray, list[bytes]]] = []
 
+    def done():
+        return np.concatenate([x for x, _ in held]), [y for _, part in held for y in part]
 
-def _groups(batches, keys: int):
-    """Runs of rows that agree in their first ``keys`` columns, of sorted numeric batches."""
-    held: list[np.ndarray] = []
     for batch in batches:
-        rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
-        if not len(rows):
+        if not batch.num_rows:
             continue
-        cuts = np.flatnonzero((rows[1:, :keys] != rows[:-1, :keys]).any(axis=1)) + 1
-        parts = np.split(rows, cuts)
-        if held and (held[-1][0, :keys] != parts[0][0, :keys]).any():
-            yield np.concatenate(held)
-            held = []
-        held.append(parts[0])
-        for part in parts[1:]:
-            yield np.concatenate(held)
-            held = [part]
+        rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]], axis=1)
+        signs = batch.column(batch.num_columns - 1).to_pylist()
+        cuts = [0, *(np.flatnonzero((rows[1:, :keys] != rows[:-1, :keys]).any(axis=1)) + 1).tolist(), len(rows)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and (held[-1][0][0, :keys] != rows[lo, :keys]).any():
+                yield done()
+                held = []
+            held.append((rows[lo:hi], signs[lo:hi]))
     if held:
-        yield np.concatenate(held)
+        yield done()
+
+
+def _near(batches):
+    """Pairs whose signatures allow the similarity. Rows: a, b, sizes and signatures of both."""
+    for batch in batches:
+        n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+        x, y = ([np.frombuffer(v.as_buffer(), np.uint8) for v in batch.column(i)] for i in (4, 5))
+        apart = np.zeros(len(n), np.int64)
+        for i, (u, v) in enumerate(zip(x, y, strict=True)):
+            # the longer bitmap folds to the shorter: places are hashes modulo powers of two
+            if len(u) > len(v):
+                u = np.bitwise_or.reduce(u.reshape(-1, len(v)), axis=0)
+            elif len(v) > len(u):
+                v = np.bitwise_or.reduce(v.reshape(-1, len(u)), axis=0)
+            apart[i] = np.bitwise_count((u ^ v).view(np.uint64)).sum(dtype=np.int64)
+        yield batch.select(["a", "b"]).filter(pa.array((n + m - apart) // 2 >= required(n, m)))
 
 
 def trie_join(pivot: np.ndarray, sets: list[np.ndarray]) -> list[int]:
@@ -363,16 +446,17 @@ def _needed_sets(docs: DataFrame, wanted: DataFrame, heavy_held) -> DataFrame:
     held = spark.sparkContext.broadcast(words_.view(np.uint64))
 
     def run(batches):
-        heavy, filled = heavy_held.value, held.value
+        heavy, filled, seen = heavy_held.value, held.value, set()
         for batch in batches:
             bit = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
             batch = batch.filter(pa.array((filled[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1))
             for _, data, rows in text_chunks(batch.column(1)):
                 r, h = shingle_sets(data, rows)
                 n, fp = fingerprints(r, h, len(rows) - 1)
+                fresh = _fresh(fp, n, seen)
                 r, key = _ordered(r, h, heavy)
                 ends = np.cumsum(n)
-                yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array([key[e - k : e].tobytes() for k, e in zip(n.tolist(), ends.tolist(), strict=True)], pa.binary())], ["fp", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(fp[fresh]), pa.array([key[e - k : e].tobytes() for k, e in zip(n[fresh].tolist(), ends[fresh].tolist(), strict=True)], pa.binary())], ["fp", "set"])
 
     return docs.where("doc_id IS NOT NULL").select(_bit(F.col("doc_id")).alias("bit"), "text").mapInArrow(run, "fp long, set binary")
 
@@ -386,22 +470,33 @@ def ngram_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scan = scratch.keep(docs.mapInArrow(_scan, "doc_id long, fp long, n long, shingle long, count long"), "scan")
+    scan = scratch.keep(docs.mapInArrow(_scan, "doc_id long, fp long, n long, sign binary, shingle long, count long"), "scan")
     rows = scan.where("count = 0").select("doc_id", "fp", "n")
-    stats = rows.agg(F.count("*").alias("rows"), F.sum(F.expr(f"CASE WHEN n > 0 THEN n - (({NUM} * n + {DEN - 1}) div {DEN}) + 1 END")).alias("postings")).first()
-    often = scan.where("count > 0").groupBy("shingle").agg(F.sum("count").alias("count")).where(F.col("count") >= max(HEAVY_LEAST, int(HEAVY_PART * stats["rows"]))).orderBy(F.desc("count"), "shingle").limit(MAX_HEAVY)
+    stats = rows.agg(F.count("*").alias("rows"), F.sum(F.expr(f"CASE WHEN n > 0 THEN n - (({NUM} * n + {DEN - 1}) div {DEN}) + greatest(1, n * {EXTENSION} div 100) END")).alias("postings")).first()
+    often = scan.where("count > 0").groupBy("shingle").agg(F.sum("count").alias("count")).where(F.col("count") >= HEAVY_LEAST).orderBy(F.desc("count"), "shingle").limit(MAX_HEAVY)
     heavy_held = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in often.collect()], np.int64).view(np.uint64)))
     buckets = max(1, -(-(stats["postings"] or 0) // BUCKET))
     packed = docs.select("text").mapInArrow(_post(heavy_held, buckets), "bucket long, packed binary")
     shared = scratch.keep(packed.groupBy("bucket").applyInArrow(_shared, "key long, fp long, place long"), "shared")
+    scratch.settle()
+    for _ in range(2):
+        # the smallest partner of a class has three quarters of its size
+        least = F.expr(f"greatest(1, (({NUM} * any_value(shiftright(place, 32)) + {DEN - 1}) div {DEN}) * {EXTENSION} div 100)")
+        able = shared.groupBy("fp").agg(F.count("*").alias("shared"), least.alias("least")).where("shared >= least").select("fp")
+        held = scratch.keep(shared.join(able, "fp", "left_semi"), "held")
+        several = held.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        scratch.drop(shared)
+        shared = scratch.keep(held.join(several, "key", "left_semi"), "shared")
+        scratch.drop(held)
     # classes that share most of their prefix come first; heavy shingles' groups are dealt out by class
     share = scratch.keep(shared.groupBy("fp").agg((F.lit(0) - F.count("*")).alias("rank")), "share")
     ranked = shared.join(share, "fp")
     wide = shared.where("key < 0").groupBy("key").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("long").alias("salts")).where("salts > 1")
     ranked = scratch.keep(ranked.join(wide, "key", "left").select("key", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod("fp", "salts")).cast("long").alias("salt"), "fp", "place", "rank"), "ranked")
     scratch.drop(shared)
-    reps = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    sets = scratch.keep(_needed_sets(docs, share.join(reps, "fp").select("doc_id"), heavy_held).join(share.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
+    known = scan.where("count = 0 AND n > 0").join(share.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sign").alias("sign"))
+    known = scratch.keep(known, "known")
+    sets = None
     labels = spark.createDataFrame([], "v long, label long")
     links = spark.createDataFrame([], "a long, b long")
     tested = spark.createDataFrame([], "a long, b long")
@@ -411,35 +506,47 @@ def ngram_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
             split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
             labelled = scratch.keep(labelled.join(split, "key", "left_semi"), "labelled")
         if pivots:
-            found = labelled.repartition("key", "salt").sortWithinPartitions("key", "salt", "rank", "fp").select("key", "salt", "fp", "place", "label").mapInArrow(_stars(pivots), "a long, b long")
+            met = labelled.repartition("key", "salt").sortWithinPartitions("key", "salt", "rank", "fp").select("key", "salt", "fp", "place", "label").mapInArrow(_stars(pivots), PAIRS)
+            # the last round sees to what an earlier one met too seldom
+            often = met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.first("least").alias("least")).where("met >= least").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            first, second = (known.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("sign").alias(f"s{x}")) for x in "ab")
+            found = often.join(tested, ["a", "b"], "left_anti").join(first, "a").join(second, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near, "a long, b long")
         else:
-            found = _cross(labelled)
-        pairs = scratch.keep(found.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+            found = _cross(labelled, known, scratch).distinct().join(tested, ["a", "b"], "left_anti")
+        pairs = scratch.keep(found, "pairs")
         if pairs.limit(1).count():
-            new = scratch.keep(_links(pairs, ranked, sets), "links")
-            links, tested = links.union(new), tested.union(pairs)
+            wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+            wanted = wanted if sets is None else wanted.join(sets, "fp", "left_anti")
+            new = scratch.keep(_needed_sets(docs, wanted.join(known, "fp").select("doc_id"), heavy_held), "sets")
+            sets = new if sets is None else sets.union(new)
+            linked = scratch.keep(_links(pairs, sets), "links")
+            links, tested = links.union(linked), tested.union(pairs)
             labels = components(links, scratch)
-    scratch.drop(sets)
+            scratch.settle()
     grouped = rows.join(labels.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     first = grouped.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     whole = grouped.where("n > 0").join(first, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return whole.union(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def _cross(labelled: DataFrame) -> DataFrame:
-    """Pairs of all members of a group that have different labels: blocks of members, each pair of blocks once."""
-    sizes = labelled.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("blocks"))
-    held = labelled.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    rows = held.withColumn("other", other).select(
-        "key", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"), (F.col("own") > F.col("other")).cast("long").alias("side"), "fp", "place", "label", "rank"
+def _cross(labelled: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
+    """Possible pairs with different labels of classes that share a shingle.
+
+    The groups of all shingles with one first class are one group, in which a pair is met once: most shingles of a family
+    of near copies have the same. A large group is blocks of members, and each pair of blocks is a group of rows.
+    """
+    heads = scratch.keep(labelled.groupBy("key").agg(F.min(F.struct("rank", "fp"))["fp"].alias("pivot")), "heads")
+    members = scratch.keep(labelled.join(heads, "key").select("pivot", "fp", "label").distinct(), "members")
+    sizes = members.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("blocks"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    sizes = scratch.keep(sizes.select("pivot", "blocks"), "sizes")
+    held = members.join(sizes, "pivot").join(known.select("fp", "n", "sign"), "fp").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    rows = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        "pivot", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"), (F.col("own") > F.col("other")).cast("long").alias("side"), "fp", "label", "n", "sign"
     )
-    sorted_ = rows.repartition("key", "s", "t").sortWithinPartitions("key", "s", "t", "side", "rank", "fp").select("key", "s", "t", "side", "fp", "place", "label")
-    found = sorted_.mapInArrow(_blocks, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return rows.repartition("pivot", "s", "t").sortWithinPartitions("pivot", "s", "t", "side", "fp").mapInArrow(_blocks, "a long, b long")
 
 
-def _links(pairs: DataFrame, ranked: DataFrame, sets: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs that reach the similarity: each pivot's candidates, in chunks of bounded size, against the pivot."""
     sized = sets.select(F.col("fp").alias("b"), F.col("set").alias("set"))
     members = pairs.join(sized, "b")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, _SPACE, lower_ascii, ngram_hashes, span_hashes, table, text_chunks, words
+from .common import _SPACE, Scratch, lower_ascii, ngram_hashes, small_batches, span_hashes, table, text_chunks, words
 
 #: Shapes of a byte: a, A, 0, non-ASCII, space, control, and each punctuation mark.
 _SHAPE = np.full(256, 5, np.int64)
@@ -29,7 +29,7 @@ DIM = SHAPES**3 + (1 << WORD_BITS) + RUNS
 SLICES = 16
 #: Labelled rows that the linear model is fitted on, about; counts use all labelled rows.
 SAMPLE = 6000
-CHUNK, CHUNK_ROWS = 1 << 20, 400
+CHUNK, CHUNK_ROWS = 1 << 18, 100
 ALPHA, COST, EPOCHS = 1.0, 1.0, 15
 
 
@@ -203,6 +203,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     The score uses the text alone; null and empty texts have the model's bias as their margin. Rows without an id aren't
     held out. Repeated rows are scored each; an empty table gives no rows. The model has a fixed size (1.5 MB).
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -221,6 +222,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The documents whose score is at least one half, with all their columns."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
