@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from loomspan.operators.numbering import global_index
 
 
 def pairs(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
@@ -33,7 +34,8 @@ def band(df: DataFrame, part: list[str], ix: str, last: str, cols: list[str]) ->
 
 def band_by_offset(df: DataFrame, part: list[str], ix: str, last: str, widest: int, cols: list[str]) -> DataFrame:
     """As ``band`` where no window is wider than ``widest``: an equi-join on (group, index) after exploding the offsets."""
-    a = df.select(*part, F.col(ix).alias("u"), F.explode(F.sequence(F.col(ix) + 1, F.least(F.col(last), F.col(ix) + widest))).alias("v"), *[F.col(c).alias(f"{c}_u") for c in cols]) if widest else df
+    reach = F.sequence(F.col(ix) + 1, F.least(F.col(last), F.col(ix) + widest))
+    a = df.where(F.col(last) > F.col(ix)).select(*part, F.col(ix).alias("u"), F.explode(reach).alias("v"), *[F.col(c).alias(f"{c}_u") for c in cols])
     b = df.select(*part, F.col(ix).alias("v"), *[F.col(c).alias(f"{c}_v") for c in cols])
     return a.join(b, [*part, "v"])
 
@@ -64,10 +66,8 @@ def symmetric(df: DataFrame, a: str, b: str, rf: list[str]) -> DataFrame:
 
 
 def zipped(left: DataFrame, right: DataFrame, left_order: list, right_order: list) -> DataFrame:
-    """The rows of two short lists paired one to one by their order."""
-    a = left.withColumn("_n", F.row_number().over(Window.orderBy(*left_order)))
-    b = right.withColumn("_n", F.row_number().over(Window.orderBy(*right_order)))
-    return a.join(b, "_n").drop("_n")
+    """The rows of two lists paired one to one by their (total) orders."""
+    return global_index(left, left_order, "_n").join(global_index(right, right_order, "_n"), "_n").drop("_n")
 
 
 def subsets_removed(sets: DataFrame, key: str, member: str) -> DataFrame:
