@@ -38,8 +38,8 @@ BUCKET, FLUSH, GROUP = 400_000, 500_000, 200_000
 TRIE_TOKENS = 200_000
 #: Pivots of a group in the rounds before the last, and the block of members that the last round pairs at once.
 PIVOTS, BLOCK = (1,), 1000
-#: Least and most bits of a set's signature, two a shingle between; an upper bound of two sets' overlap follows from them.
-SIGNATURE = (512, 1 << 17)
+#: Least and most bits of a set's signature, four a shingle between; an upper bound of two sets' overlap follows from them.
+SIGNATURE = (512, 1 << 18)
 PAIRS = "a long, b long, least long, met long"
 #: Bits of the fixed-size filter that picks the texts whose sets are needed; a full filter only costs time.
 FILTER_BITS = 1 << 23
@@ -96,7 +96,7 @@ def signatures(r: np.ndarray, h: np.ndarray, n_rows: int) -> list[bytes]:
     """Bitmaps of the sets' hashes. The bits in which two differ each stand for a shingle that only one of them has."""
     n = np.bincount(r, minlength=n_rows)
     ends = np.cumsum(n)
-    size = np.clip(2 ** np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64), *SIGNATURE)
+    size = np.clip(2 ** np.ceil(np.log2(np.maximum(4 * n, 1))).astype(np.int64), *SIGNATURE)
     spot = mix(h)
     out: list[bytes] = [b""] * n_rows
     for bits in np.unique(size):
@@ -548,11 +548,12 @@ def _cross(labelled: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs that reach the similarity: each pivot's candidates, in chunks of bounded size, against the pivot."""
-    sized = sets.select(F.col("fp").alias("b"), F.col("set").alias("set"))
-    members = pairs.join(sized, "b")
-    chunks = pairs.join(sets.select(F.col("fp").alias("b"), (F.octet_length("set") / 8).alias("n")), "b").groupBy("a").agg(F.ceil(F.sum("n") / F.lit(TRIE_TOKENS)).cast("long").alias("chunks"))
-    dealt = members.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"), "b", "set")
-    pivots = chunks.join(sets.select(F.col("fp").alias("a"), "set"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("long").alias("b"), "set")
+    # a candidate's set has at most 4/3 of the pivot's shingles
+    counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    sized = counts.join(sets.select(F.col("fp").alias("a"), "set"), "a").withColumn("chunks", F.ceil(F.col("n") * F.octet_length("set") * DEN / NUM / 8 / TRIE_TOKENS).cast("long"))
+    pivots = sized.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("long").alias("b"), "set")
+    chosen = pairs.join(sized.select("a", "chunks"), "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"), "b")
+    dealt = chosen.join(sets.select(F.col("fp").alias("b"), "set"), "b").select("a", "chunk", "b", "set")
     return dealt.union(pivots).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first()).mapInArrow(_verify, "a long, b long")
 
 
