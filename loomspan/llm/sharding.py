@@ -156,5 +156,13 @@ def kd_shards(docs: DataFrame, scratch: Scratch, n_shards: int = 24, id_col: str
     )
 
 
+def write_shards(docs: DataFrame, shards: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """The documents as Parquet, a folder for each shard. Rows with one id and one text share a place in ``shards``."""
+    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    where = shards.groupBy(F.col("doc_id").alias("id_"), F.col("text_crc32").alias("crc_")).agg(F.min("shard").alias("shard"))
+    held = docs.join(where, F.col(id_col).eqNullSafe(F.col("id_")) & (crc == F.col("crc_"))).drop("id_", "crc_")
+    held.repartition("shard", F.pmod(F.xxhash64(id_col), F.lit(16))).write.partitionBy("shard").parquet(path)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents"), Scratch(spark, "shards"))

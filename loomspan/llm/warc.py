@@ -7,6 +7,9 @@ followed down to ranges and then to records.
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -96,6 +99,28 @@ def page_records(pages: DataFrame, per_file: int = 500) -> DataFrame:
     return sized.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0))).select("file", "offset", "record", "url")
 
 
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of uncompressed WARC files: file (its name), offset, record. A file (under 2 GB) is one task's work.
+
+    A record ends with its content and two line ends. What follows the last whole record of a file is one record more.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data, at, offsets, rows = memoryview(content.as_buffer()), 0, [], []
+                while at < len(data):
+                    head = bytes(data[at : at + 65536]).split(b"\r\n\r\n", 1)[0]
+                    size = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", head)
+                    end = at + len(head) + 4 + int(size[1]) + 4 if size else len(data)
+                    offsets.append(at)
+                    rows.append(bytes(data[at:end]))
+                    at = min(end, len(data))
+                yield pa.RecordBatch.from_arrays([pa.array([name.rsplit("/", 1)[-1]] * len(rows)), pa.array(offsets, pa.int64()), pa.array(rows, pa.binary())], ["file", "offset", "record"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, offset long, record binary")
+
+
 def damaged(records: DataFrame) -> DataFrame:
     """A replica with known damage, by a hash of the address: a byte changed, the tail lost, or the record lost."""
     lot = F.conv(F.substring(F.md5(F.col("url").cast("binary")), 1, 6), 16, 10).cast("long") % 97

@@ -2,7 +2,7 @@ import zlib
 from collections import Counter, defaultdict
 
 from loomspan.llm.common import Scratch
-from loomspan.llm.sharding import kd_shards, op3_sharding
+from loomspan.llm.sharding import kd_shards, op3_sharding, write_shards
 
 
 def check_slots(rows):
@@ -47,3 +47,11 @@ def test_one_text_for_a_third_and_edges(spark):
     for r in rows:
         weight[r.shard] += r["size"] if r["size"] < 50000 else 0
     assert kd_shards(docs.limit(0), Scratch(spark, "t"), 4).count() == 0
+
+
+def test_shards_are_written(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    shards = kd_shards(docs, Scratch(spark, "t"), 4)
+    write_shards(docs, shards, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.doc_id, r.shard, r.text) for r in back.collect()) == sorted((r.doc_id, r.shard, r.text) for r in docs.join(shards.select("doc_id", "shard"), "doc_id").collect())

@@ -70,3 +70,13 @@ def test_records_and_sql(spark, sf):
     got = sorted(map(str, map(tuple, warc.op7_warc_fixity(spark, sf).collect())))
     assert got == sorted(str(tuple(x)) for x in con.execute(warc.OP7_SQL).fetchall())
     assert hashlib.sha256(rows[0].record).hexdigest()
+
+
+def test_files_are_read_back(spark, sf, tmp_path):
+    records_ = warc.page_records(spark.read.parquet(f"{sf}/pages.parquet").limit(40), per_file=15)
+    rows = sorted((r.file, r.offset, bytes(r.record)) for r in records_.collect())
+    for name in {r[0] for r in rows}:
+        (tmp_path / name).write_bytes(b"".join(r[2] for r in rows if r[0] == name))
+    back = warc.read_records(spark, str(tmp_path))
+    assert sorted((r.file, r.offset, bytes(r.record)) for r in back.collect()) == rows
+    assert warc.audit(records_, back, Scratch(spark, "t")).count() == 0
