@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import small_batches, table
 
 #: Bounds of a task's memory: states of the transducer, remembered pairs and pieces, and bytes of pieces that are remembered.
-MAX_STATES, MAX_PAIRS, MAX_PIECES, MAX_PIECE = 200_000, 400_000, 500_000, 64
+MAX_STATES, MAX_PAIRS, MAX_PIECES, MAX_PIECE = 220_000, 400_000, 500_000, 64
 #: Rows of a batch of results.
 OUT_ROWS = 500
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -71,6 +71,12 @@ class Transducer:
         self.states: dict[tuple, _State] = {}
         self.start = self._state(((-1, (), 0),))
 
+    def forget(self) -> None:
+        self._pairs.clear()
+        self._heads.clear()
+        self._tails.clear()
+        self._reset()
+
     def _state(self, live: tuple) -> _State:
         found = self.states.get(live)
         if found is None:
@@ -236,6 +242,11 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.pieces = _Pieces(self.transducer)
 
+    def forget(self) -> None:
+        """Drop what was remembered: the worker's next task may be another operator's."""
+        self.pieces.clear()
+        self.transducer.forget()
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         assert sys.byteorder == "little" and array("I").itemsize == 4
@@ -288,6 +299,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
             yield from encoded(own, batches)
         finally:
             gc.enable()
+            own.forget()
 
     def encoded(own, batches):
         for whole in batches:
