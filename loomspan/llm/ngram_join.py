@@ -6,9 +6,10 @@
    travel packed, in buckets whose size is set by the count of postings; shingles posted once can link nothing and go, and
    so do classes with too few shared ones.
 3. Candidates come from the classes that share a posted shingle and whose sizes allow the overlap. First, of each shingle
-   the class that shares most is a pivot for the others; the last round takes all pairs that no link connects so far, so
-   no link between components is lost, yet a group of near copies isn't paired up in full. Signatures of the sets bound a
-   pair's overlap from above; most pairs that only share a passage end there.
+   the class that shares most is a pivot for the others; next, each class tries the few that look likeliest; the last
+   round takes all pairs that no link connects so far, so no link between components is lost, yet a group of near copies
+   isn't paired up in full. Signatures of the sets bound a pair's overlap from above; most pairs that only share a passage
+   end there.
 4. A pivot's candidates are stored as a trie (sequences in lexicographic order with their common prefixes); the walk
    counts the overlap with the pivot once for a shared path and leaves a path when what remains can't reach the bound.
 """
@@ -36,8 +37,8 @@ HEAVY_LEAST, MAX_HEAVY, WINDOW = 24, 1 << 18, 1_000_000
 BUCKET, FLUSH, GROUP = 400_000, 500_000, 200_000
 #: Shingles of a pivot's candidates in one trie.
 TRIE_TOKENS = 200_000
-#: Pivots of a group in the rounds before the last, and the block of members that the last round pairs at once.
-PIVOTS, BLOCK = (1,), 1000
+#: Partners that the round before the last tries for each class, and the block of members that is paired at once.
+BEST, BLOCK = 3, 1000
 #: Least and most bits of a set's signature, four a shingle between; an upper bound of two sets' overlap follows from them.
 SIGNATURE = (512, 1 << 18)
 PAIRS = "a long, b long, least long, met long"
@@ -278,13 +279,29 @@ def _stars(pivots: int):
     return run
 
 
-def _blocks(batches):
+def _likeliest(rows: np.ndarray, best: int) -> np.ndarray:
+    """Of rows (a, b, score) those among the ``best`` of a or of b."""
+    keep = np.zeros(len(rows), bool)
+    for side in (0, 1):
+        order = np.lexsort((rows[:, 1 - side], -rows[:, 2], rows[:, side]))
+        own = rows[order, side]
+        first = np.maximum.accumulate(np.where(np.concatenate(([True], own[1:] != own[:-1])), np.arange(len(own)), 0))
+        keep[order[np.arange(len(own)) - first < best]] = True
+    return rows[keep]
+
+
+def _blocks(best: int):
     """Pairs of a group's two blocks with different labels, whose sizes and signatures allow the similarity.
 
-    Rows: pivot, s, t, side, fp, label, n, sign; sorted by the first five.
+    Rows: pivot, s, t, side, fp, label, n, sign; sorted by the first five. With ``best``, of each class only so many.
     """
+    return lambda batches: _paired(batches, best)
+
+
+def _paired(batches, best: int):
     held, size = [], 0
     for rows, signs in _groups(batches):
+        own_pairs = []
         inside = rows[0, 1] == rows[0, 2]
         words_ = np.array([len(x) // 8 for x in signs])
         for w in np.unique(words_):
@@ -312,8 +329,12 @@ def _blocks(batches):
                     n1, n2 = rows[x[p], 6], rows[both[q], 6]
                     use = (n1 + n2 - apart) // 2 >= required(n1, n2)
                     f, g = rows[x[p[use]], 4], rows[both[q[use]], 4]
-                    held.append(np.stack((np.minimum(f, g), np.maximum(f, g)), axis=1))
-                    size += int(use.sum())
+                    # overlap of the bound in millionths of the union
+                    most = ((n1 + n2 - apart) // 2)[use]
+                    own_pairs.append(np.stack((np.minimum(f, g), np.maximum(f, g), most * 1_000_000 // (n1 + n2)[use]), axis=1))
+        if own_pairs and (met := np.concatenate(own_pairs)).size:
+            held.append((_likeliest(met, best) if best else met)[:, :2])
+            size += len(held[-1])
         if size >= 200_000:
             yield _distinct(held)
             held, size = [], 0
@@ -500,20 +521,22 @@ def ngram_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     labels = spark.createDataFrame([], "v long, label long")
     links = spark.createDataFrame([], "a long, b long")
     tested = spark.createDataFrame([], "a long, b long")
-    for pivots in (*PIVOTS, None):
-        labelled = ranked.join(labels.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-        if pivots != PIVOTS[0]:
-            split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-            labelled = scratch.keep(labelled.join(split, "key", "left_semi"), "labelled")
-        if pivots:
-            met = labelled.repartition("key", "salt").sortWithinPartitions("key", "salt", "rank", "fp").select("key", "salt", "fp", "place", "label").mapInArrow(_stars(pivots), PAIRS)
-            # the last round sees to what an earlier one met too seldom
-            often = met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.first("least").alias("least")).where("met >= least").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            first, second = (known.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("sign").alias(f"s{x}")) for x in "ab")
-            found = often.join(tested, ["a", "b"], "left_anti").join(first, "a").join(second, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near, "a long, b long")
+
+    def with_labels(df: DataFrame) -> DataFrame:
+        return df.join(labels.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+    families = None
+    for step in ("first", "best", "last"):
+        if step == "first":
+            met = with_labels(ranked).repartition("key", "salt").sortWithinPartitions("key", "salt", "rank", "fp").select("key", "salt", "fp", "place", "label").mapInArrow(_stars(1), PAIRS)
+            # later rounds see to what this one met too seldom
+            found = met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.first("least").alias("least")).where("met >= least").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            found = _near_pairs(found, known)
         else:
-            found = _cross(labelled, known, scratch).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.keep(found, "pairs")
+            families = _families(with_labels(ranked), scratch) if families is None else families
+            members = scratch.keep(with_labels(families), "labelled")
+            found = _cross(members, known, scratch, BEST if step == "best" else 0).distinct()
+        pairs = scratch.keep(found.join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.limit(1).count():
             wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
             wanted = wanted if sets is None else wanted.join(sets, "fp", "left_anti")
@@ -529,21 +552,32 @@ def ngram_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return whole.union(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def _cross(labelled: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
-    """Possible pairs with different labels of classes that share a shingle.
+def _near_pairs(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    first, second = (known.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("sign").alias(f"s{x}")) for x in "ab")
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near, "a long, b long")
+
+
+def _families(labelled: DataFrame, scratch: Scratch) -> DataFrame:
+    """(pivot, fp, rank): the classes that share a shingle whose first class is the pivot.
 
-    The groups of all shingles with one first class are one group, in which a pair is met once: most shingles of a family
-    of near copies have the same. A large group is blocks of members, and each pair of blocks is a group of rows.
+    The groups of all shingles with one first class are one family, in which a pair is met once: most shingles of a group
+    of near copies have the same. Shingles whose classes are connected already are left out.
     """
-    heads = scratch.keep(labelled.groupBy("key").agg(F.min(F.struct("rank", "fp"))["fp"].alias("pivot")), "heads")
-    members = scratch.keep(labelled.join(heads, "key").select("pivot", "fp", "label").distinct(), "members")
+    split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("rank", "fp"))["fp"].alias("pivot")).where("lo < hi").select("key", "pivot")
+    heads = scratch.keep(split, "heads")
+    return scratch.keep(labelled.join(heads, "key").select("pivot", "fp", "rank").distinct(), "families")
+
+
+def _cross(members: DataFrame, known: DataFrame, scratch: Scratch, best: int) -> DataFrame:
+    """Possible pairs with different labels of each family; with ``best``, of each class so many of a block, the likeliest.
+    A large family is blocks of members, and each pair of blocks is a group of rows."""
     sizes = members.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("blocks"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
     sizes = scratch.keep(sizes.select("pivot", "blocks"), "sizes")
     held = members.join(sizes, "pivot").join(known.select("fp", "n", "sign"), "fp").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
     rows = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
         "pivot", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"), (F.col("own") > F.col("other")).cast("long").alias("side"), "fp", "label", "n", "sign"
     )
-    return rows.repartition("pivot", "s", "t").sortWithinPartitions("pivot", "s", "t", "side", "fp").mapInArrow(_blocks, "a long, b long")
+    return rows.repartition("pivot", "s", "t").sortWithinPartitions("pivot", "s", "t", "side", "fp").mapInArrow(_blocks(best), "a long, b long")
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:

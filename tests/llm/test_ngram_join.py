@@ -70,7 +70,7 @@ def test_against_all_pairs(spark, seed):
 
 def test_heavy_shingles_salted_groups_and_blocks(spark, monkeypatch):
     """Small bounds: every shared shingle is heavy, groups are salted, tries and blocks are many."""
-    for name, value in (("HEAVY_LEAST", 2), ("GROUP", 7), ("BLOCK", 5), ("TRIE_TOKENS", 300), ("BUCKET", 500), ("PIVOTS", (1,))):
+    for name, value in (("HEAVY_LEAST", 2), ("GROUP", 7), ("BLOCK", 5), ("TRIE_TOKENS", 300), ("BUCKET", 500), ("BEST", 1)):
         monkeypatch.setattr(nj, name, value)
     docs = near_copies(3, families=6)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in run(spark, docs).collect()}
