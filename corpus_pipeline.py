@@ -30,7 +30,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the smallest id. Documents without an id stay."""
-    found = ngram_join.ngram_components(docs, Scratch(spark, "ngram"))
+    found = ngram_join.ngram_components(docs, Scratch(spark, "ngram"), count_links=False)
     first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
     several = first.where("rows > 1").limit(1).count()
     kept = docs.join(first.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)

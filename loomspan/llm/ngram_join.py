@@ -12,6 +12,8 @@
    end there.
 4. A pivot's candidates are stored as a trie (sequences in lexicographic order with their common prefixes); the walk
    counts the overlap with the pivot once for a shared path and leaves a path when what remains can't reach the bound.
+5. No link leaves a component, so the links are counted in each one: all pairs of its classes get their exact overlap, by
+   pairs of blocks. Only counts leave a block; the pairs themselves are never rows.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ BEST, BLOCK = 3, 1000
 #: Least and most bits of a set's signature, four a shingle between; an upper bound of two sets' overlap follows from them.
 SIGNATURE = (512, 1 << 18)
 PAIRS = "a long, b long, least long, met long"
+#: Cells of the matrix that counts overlaps, and most sets that hold a shingle whose pairs are listed instead.
+CELLS, FEW = 1 << 22, 8
 #: Bits of the fixed-size filter that picks the texts whose sets are needed; a full filter only costs time.
 FILTER_BITS = 1 << 23
 
@@ -454,6 +458,78 @@ def _verify(batches):
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def overlaps(sets: list[np.ndarray], left: int) -> np.ndarray:
+    """Common shingles of each of the first ``left`` sets and each of the others; of all sets with each other if there are none."""
+    total = len(sets)
+    first, across = (left, True) if left < total else (0, False)
+    height, width = (left, total - left) if across else (total, total)
+    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(total), [len(x) for x in sets])
+    # the columns of few sets come first, each with its rows side by side
+    order = np.lexsort((row, column, held[column]))
+    row, count = row[order], held[column[order]]
+    out = np.zeros(height * width, np.int64)
+    for n in range(2, FEW + 1):
+        lo, hi = np.searchsorted(count, (n, n + 1))
+        same = row[lo:hi].reshape(-1, n)
+        for i in range(n if len(same) else 0):
+            for j in range(i + 1, n):
+                a, b = same[:, i], same[:, j]
+                if across:
+                    use = (a < left) & (b >= left)
+                    a, b = a[use], b[use]
+                np.add.at(out, a * width + b - first, 1)
+    out = out.reshape(height, width)
+    if not across:
+        out += out.T
+    at = int(np.searchsorted(count, FEW + 1))
+    own, row = column[order[at:]], row[at:]
+    place = np.cumsum(np.concatenate(([0], own[1:] != own[:-1]))) if len(own) else own
+    step = max(1, CELLS // total)
+    for i in range(0, int(place[-1]) + 1 if len(place) else 0, step):
+        lo, hi = np.searchsorted(place, (i, i + step))
+        cells = np.zeros((total, min(step, int(place[-1]) + 1 - i)), np.float32)
+        cells[row[lo:hi], place[lo:hi] - i] = 1
+        # a product of ones is exact below 2**24 columns
+        out += (cells[:left] @ cells[first:].T).astype(np.int64)
+    return out
+
+
+def _count_links(batches):
+    """Links of each class within a group of rows. Rows: label, s, t, side, fp, set; sorted by the first five."""
+    for rows, packed in _groups(batches):
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:, 3:] != rows[:-1, 3:]).any(axis=1)
+        rows, sets = rows[new], [np.frombuffer(x, np.uint64) for x, use in zip(packed, new, strict=True) if use]
+        inside = rows[0, 1] == rows[0, 2]
+        left = len(rows) if inside else int((rows[:, 3] == 0).sum())
+        if not inside and left in (0, len(rows)):
+            continue
+        n = np.array([len(x) for x in sets], np.int64)
+        first = 0 if inside else left
+        both = overlaps(sets, left)
+        linked = DEN * both >= NUM * (n[:left, None] + n[None, first:] - both)
+        if inside:
+            np.fill_diagonal(linked, False)
+        links = linked.sum(axis=1) if inside else np.concatenate((linked.sum(axis=1), linked.sum(axis=0)))
+        some = links > 0
+        yield pa.RecordBatch.from_arrays([pa.array(rows[some, 4]), pa.array(links[some].astype(np.int64))], ["fp", "links"])
+
+
+def _link_counts(labels: DataFrame, known: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(fp, n_links) of the classes of components: how many other classes each one links with."""
+    members = scratch.keep(labels.select(F.col("v").alias("fp"), "label").join(known.select("fp", "n"), "fp"), "members")
+    sizes = members.groupBy("label").agg(F.count("*").alias("classes"), F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(TRIE_TOKENS))).cast("long").alias("blocks"))
+    sized = scratch.keep(members.join(sizes, "label"), "sized")
+    held = sized.where("classes > 2").join(sets, "fp").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    rows = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        "label", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"), (F.col("own") > F.col("other")).cast("long").alias("side"), "fp", "set"
+    )
+    met = rows.repartition("label", "s", "t").sortWithinPartitions("label", "s", "t", "side", "fp").mapInArrow(_count_links, "fp long, links long")
+    # two classes are a component by their one link
+    return scratch.keep(met.union(sized.where("classes = 2").select("fp", F.lit(1).cast("long"))).groupBy("fp").agg(F.sum("links").alias("n_links")), "counts")
+
+
 def _bit(ident: Column) -> Column:
     return F.pmod(F.xxhash64(ident), F.lit(FILTER_BITS))
 
@@ -482,9 +558,12 @@ def _needed_sets(docs: DataFrame, wanted: DataFrame, heavy_held) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").select(_bit(F.col("doc_id")).alias("bit"), "text").mapInArrow(run, "fp long, set binary")
 
 
-def ngram_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row; ``docs`` has doc_id and text.
+def ngram_components(docs: DataFrame, scratch: Scratch, count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id and n_links of every row; ``docs`` has doc_id and text.
 
+    A class is the rows with equal sets, named by its smallest doc_id that isn't null. A row's n_links are the other classes
+    that its own reaches the similarity with, all of them: copies of one text are one class, and its copies aren't links.
+    Without ``count_links`` the last column is missing and only the links that connect components are found.
     Sets are of 64-bit hashes of the words' bytes. Texts without words (null and empty ones too) have an empty set and
     link with nothing. A component is named by its smallest doc_id that isn't null. Repeated rows and copies share a
     class and so a component. An empty table gives no rows; other columns are ignored.
@@ -546,10 +625,18 @@ def ngram_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
             links, tested = links.union(linked), tested.union(pairs)
             labels = components(links, scratch)
             scratch.settle()
-    grouped = rows.join(labels.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    first = grouped.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    whole = grouped.where("n > 0").join(first, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return whole.union(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    classes = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("class_id")).join(labels.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    names = ["component_id", "class_id"]
+    if count_links:
+        counts = _link_counts(labels, known, sets, scratch) if sets is not None else spark.createDataFrame([], "fp long, n_links long")
+        classes = classes.join(counts, "fp", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+        names.append("n_links")
+    classes = scratch.keep(classes, "classes")
+    first = classes.groupBy("label").agg(F.min("class_id").alias("component_id"))
+    named = classes.join(first, "label").select("fp", *names)
+    whole = rows.where("n > 0").join(named, "fp").select("doc_id", F.col("n").alias("n_shingles"), *names)
+    alone = {"n_links": F.lit(0).cast("long")}
+    return whole.union(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), *[alone.get(x, F.col("doc_id")).alias(x) for x in names]))
 
 
 def _near_pairs(pairs: DataFrame, known: DataFrame) -> DataFrame:

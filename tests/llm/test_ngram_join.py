@@ -77,6 +77,44 @@ def test_heavy_shingles_salted_groups_and_blocks(spark, monkeypatch):
     assert got == brute(docs)
 
 
+def links(docs):
+    """Each document's class (smallest id with its set) and the other classes that it links with, by brute force."""
+    sets = {d: shingles(t) for d, t in docs}
+    first = {}
+    for d in sorted(sets):
+        first.setdefault(sets[d], d)
+    count = dict.fromkeys(first, 0)
+    for a, b in combinations(first, 2):
+        both = len(a & b)
+        if both and 100 * both >= 75 * len(a | b):
+            count[a] += 1
+            count[b] += 1
+    return {d: (first[s] if s else d, count[s]) for d, s in sets.items()}
+
+
+def got_links(spark, docs):
+    return {r.doc_id: (r.class_id, r.n_links) for r in run(spark, docs).collect()}
+
+
+def test_all_links_are_counted(spark):
+    docs = near_copies(5)
+    want = links(docs)
+    assert got_links(spark, docs) == want and max(n for _, n in want.values()) > 5
+
+
+def test_links_across_blocks_and_in_matrices(spark, monkeypatch):
+    for name, value in (("BLOCK", 5), ("TRIE_TOKENS", 2000), ("CELLS", 200), ("FEW", 3)):
+        monkeypatch.setattr(nj, name, value)
+    docs = near_copies(6, families=5)
+    assert got_links(spark, docs) == links(docs)
+
+
+def test_a_group_of_near_copies_has_all_its_links(spark):
+    base = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join([*base, f"end{i}"])) for i in range(300)]
+    assert set(got_links(spark, docs).values()) == {(i, 299) for i in range(300)}
+
+
 def test_trie_join_against_sets():
     r = np.random.default_rng(4)
     for _ in range(40):
