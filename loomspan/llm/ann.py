@@ -155,6 +155,17 @@ def _probe(index_held, ratio: float):
     return run
 
 
+def _kth(rough: np.ndarray, vec_ids: np.ndarray, k: int) -> np.ndarray | float:
+    """Each query's k-th smallest distance among different ids; infinity if there are fewer."""
+    order = np.argsort(vec_ids, kind="stable")
+    starts = np.flatnonzero(np.concatenate(([True], vec_ids[order[1:]] != vec_ids[order[:-1]])))
+    if len(starts) < k:
+        return np.inf
+    if len(starts) < len(order):
+        rough = np.minimum.reduceat(rough[:, order], starts, axis=1)
+    return np.partition(rough, k - 1, axis=1)[:, k - 1]
+
+
 def _search(block_held, k: int):
     """A task's k nearest for each query of the block: q, vec_id, score. Rows: list, vec_id, v."""
 
@@ -173,7 +184,7 @@ def _search(block_held, k: int):
                 vectors = _rows(batch.column(2).take(pa.array(at)))
                 rough = squared(queries[reading], vectors)
                 rough[ids[reading][:, None] == vec_ids[None, :]] = np.inf
-                limit = np.minimum(best_d[reading, -1] ** 2, np.partition(rough, min(k, rough.shape[1]) - 1, axis=1)[:, min(k, rough.shape[1]) - 1] if rough.shape[1] >= k else np.inf)
+                limit = np.minimum(best_d[reading, -1] ** 2, _kth(rough, vec_ids, k))
                 close = (rough <= (limit * (1 + 1e-9) + 1e-9)[:, None]) & np.isfinite(rough)
                 for i in np.flatnonzero(close.any(axis=1)):
                     cols = np.flatnonzero(close[i])

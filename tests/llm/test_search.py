@@ -78,6 +78,12 @@ def test_all_lists_give_the_exact_answer(spark):
     assert [x[:3] for x in got] == [x[:3] for x in want] and np.allclose([x[3] for x in got], [x[3] for x in want], rtol=1e-12)
 
 
+def test_repeated_rows_push_out_no_neighbour(spark):
+    rows = vectors(40)
+    got = ann.nearest(spark.createDataFrame(rows * 12, SCHEMA).coalesce(1), Scratch(spark, "t"), probe_ratio=float("inf")).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == [x[:3] for x in nearest(rows)]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_recall(spark, seed):
     rows = vectors(4000, 24, seed)
