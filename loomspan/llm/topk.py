@@ -50,17 +50,21 @@ def _matrix(column) -> tuple[np.ndarray, np.ndarray]:
     return use, values[ok[row]].reshape(len(use), dims[0] if len(dims) else 0)
 
 
-def _classes(batches):
-    """Scaled vectors as bytes, with up to TOP + 1 smallest ids of each batch."""
-    for batch in batches:
-        use, values = _matrix(batch.column(1))
-        ids = batch.column(0).to_numpy(zero_copy_only=False)[use]
-        known: dict[bytes, list[int]] = {}
-        for k, v in sorted(zip(ids.tolist(), map(np.ndarray.tobytes, scaled(values)), strict=True)):
-            own = known.setdefault(v, [])
-            if len(own) <= TOP:
-                own.append(k)
-        yield pa.RecordBatch.from_arrays([pa.array(list(known), pa.binary()), pa.array(list(known.values()), pa.list_(pa.int64()))], ["vector", "ids"])
+def _classes(most: int):
+    """Scaled vectors as bytes, with up to ``most`` + 1 smallest ids of each batch."""
+
+    def run(batches):
+        for batch in batches:
+            use, values = _matrix(batch.column(1))
+            ids = batch.column(0).to_numpy(zero_copy_only=False)[use]
+            known: dict[bytes, list[int]] = {}
+            for k, v in sorted(set(zip(ids.tolist(), map(np.ndarray.tobytes, scaled(values)), strict=True))):
+                own = known.setdefault(v, [])
+                if len(own) <= most:
+                    own.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(list(known), pa.binary()), pa.array(list(known.values()), pa.list_(pa.int64()))], ["vector", "ids"])
+
+    return run
 
 
 def _products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -80,7 +84,7 @@ def _parts(dim: int) -> list[np.ndarray]:
     return [np.arange(dim)[j::LISTS] for j in range(LISTS)]
 
 
-def _list_scan(queries_held, cutoff_held):
+def _list_scan(queries_held, cutoff_held, most: int):
     """Entries (query, list, class, partial) of each list: its best without a cutoff, else all that reach the threshold."""
 
     def run(batches):
@@ -104,12 +108,12 @@ def _list_scan(queries_held, cutoff_held):
                         q, c = np.nonzero(scores >= (cutoffs / LISTS)[:, None])
                         yield out(q, j, cids[i + c], scores[q, c])
                         continue
-                    k = min(TOP + 1, scores.shape[1])
+                    k = min(most + 1, scores.shape[1])
                     top = np.argpartition(-scores, k - 1, axis=1)[:, :k]
                     s, c = np.take_along_axis(scores, top, 1), cids[i + top]
                     if j in best:
                         s, c = np.hstack((best[j][0], s)), np.hstack((best[j][1], c))
-                    k = min(TOP + 1, s.shape[1])
+                    k = min(most + 1, s.shape[1])
                     top = np.argpartition(-s, k - 1, axis=1)[:, :k]
                     best[j] = [np.take_along_axis(s, top, 1), np.take_along_axis(c, top, 1)]
         for j, (s, c) in best.items():
@@ -147,7 +151,7 @@ def exact_top_k(vectors: DataFrame, scratch: Scratch, k: int = TOP, every: int =
     """
     spark = vectors.sparkSession
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id IS NOT NULL")
-    merged = own.mapInArrow(_classes, "vector binary, ids array<long>").groupBy("vector").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, TOP + 1).alias("ids"))
+    merged = own.mapInArrow(_classes(k), "vector binary, ids array<long>").groupBy("vector").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
     classes = scratch.keep(merged.select(F.element_at("ids", 1).alias("cid"), "ids", "vector"), "classes")
     # a repeated id with different vectors is several entries: the class is named by the id and a hash
     classes = classes.withColumn("cid", F.xxhash64("cid", "vector"))
@@ -203,7 +207,7 @@ def _block(classes: DataFrame, lists: DataFrame, scratch: Scratch, held, k: int,
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    first = lists.mapInArrow(_list_scan(held, None), entry)
+    first = lists.mapInArrow(_list_scan(held, None, k), entry)
     best = first.withColumn("nth", F.row_number().over(Window.partitionBy("q", "list").orderBy(F.desc("part"), "cid"))).where(F.col("nth") <= k + 1)
     lower = scratch.keep(ranked(whole(best.select("q", "cid").distinct())), "lower")
     floors = lower.where(F.col("rank") == k).select("query_id", "score").collect()  # one row a query of the block
@@ -212,7 +216,7 @@ def _block(classes: DataFrame, lists: DataFrame, scratch: Scratch, held, k: int,
     for r in floors:
         cutoffs[place[r["query_id"]]] = r["score"]
     cutoff_held = spark.sparkContext.broadcast(cutoffs)
-    sent = lists.mapInArrow(_list_scan(held, cutoff_held), entry)
+    sent = lists.mapInArrow(_list_scan(held, cutoff_held, k), entry)
     bounds = sent.groupBy("q", "cid").agg(F.sum("part").alias("known"), F.count("*").alias("lists"))
     cutoff = spark.createDataFrame([(i, float(c)) for i, c in enumerate(cutoffs)], "q int, cutoff double")
     able = bounds.join(F.broadcast(cutoff), "q").where(F.col("known") + (LISTS - F.col("lists")) * F.col("cutoff") / LISTS >= F.col("cutoff"))

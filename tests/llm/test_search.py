@@ -48,6 +48,11 @@ def test_top_k_beyond_double_precision(spark):
     assert sorted(map(tuple, topk.exact_top_k(df, Scratch(spark, "t")).collect())) == brute(rows)
 
 
+def test_top_k_of_more_equal_vectors_than_ten(spark):
+    rows = [(i, [9.0, 9.0] if 0 < i < 16 else [1.0, i / 100], 0) for i in range(60)]
+    assert sorted(map(tuple, topk.exact_top_k(spark.createDataFrame(rows, SCHEMA), Scratch(spark, "t"), k=20).collect())) == brute(rows, 20)
+
+
 def test_top_k_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
     rows = vectors()
