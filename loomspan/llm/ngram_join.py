@@ -535,7 +535,7 @@ def _bit(ident: Column) -> Column:
 
 
 def _needed_sets(docs: DataFrame, wanted: DataFrame, heavy_held) -> DataFrame:
-    """(fp, set) of the documents ``wanted`` (doc_id), and of a few more that a fixed-size filter lets through."""
+    """(fp, set) of the documents ``wanted`` (fp, doc_id), and of a few more that a fixed-size filter lets through."""
     spark = docs.sparkSession
     bits = wanted.select(_bit(F.col("doc_id")).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(bit, 64) AS int))")).alias("bits")).toPandas()
     words_ = np.zeros(FILTER_BITS // 64, np.int64)
@@ -555,7 +555,12 @@ def _needed_sets(docs: DataFrame, wanted: DataFrame, heavy_held) -> DataFrame:
                 ends = np.cumsum(n)
                 yield pa.RecordBatch.from_arrays([pa.array(fp[fresh]), pa.array([key[e - k : e].tobytes() for k, e in zip(n[fresh].tolist(), ends[fresh].tolist(), strict=True)], pa.binary())], ["fp", "set"])
 
-    return docs.where("doc_id IS NOT NULL").select(_bit(F.col("doc_id")).alias("bit"), "text").mapInArrow(run, "fp long, set binary")
+    found = docs.where("doc_id IS NOT NULL").select(_bit(F.col("doc_id")).alias("bit"), "text").mapInArrow(run, "fp long, set binary")
+    # a missing id hashes to the seed, 42: texts without any id are picked by their sets
+    if not words_[0] >> 42 & 1:
+        return found
+    idless = docs.where("doc_id IS NULL").select(_bit(F.col("doc_id")).alias("bit"), "text").mapInArrow(run, "fp long, set binary")
+    return found.union(idless.join(wanted.where("doc_id IS NULL").select("fp"), "fp", "left_semi").dropDuplicates(["fp"]))
 
 
 def ngram_components(docs: DataFrame, scratch: Scratch, count_links: bool = True) -> DataFrame:
@@ -619,7 +624,7 @@ def ngram_components(docs: DataFrame, scratch: Scratch, count_links: bool = True
         if pairs.limit(1).count():
             wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
             wanted = wanted if sets is None else wanted.join(sets, "fp", "left_anti")
-            new = scratch.keep(_needed_sets(docs, wanted.join(known, "fp").select("doc_id"), heavy_held), "sets")
+            new = scratch.keep(_needed_sets(docs, wanted.join(known, "fp").select("fp", "doc_id"), heavy_held), "sets")
             sets = new if sets is None else sets.union(new)
             linked = scratch.keep(_links(pairs, sets), "links")
             links, tested = links.union(linked), tested.union(pairs)

@@ -115,6 +115,13 @@ def test_a_group_of_near_copies_has_all_its_links(spark):
     assert set(got_links(spark, docs).values()) == {(i, 299) for i in range(300)}
 
 
+def test_a_text_without_an_id_links_others(spark):
+    word = [f"w{i}" for i in range(90)]
+    docs = [(1, " ".join(word[:60])), (None, " ".join(word[6:66])), (2, " ".join(word[12:72])), (None, " ".join(word[6:66])), (3, "x y z")]
+    got = sorted((r.doc_id or 0, r.component_id, r.n_links) for r in run(spark, docs).collect())
+    assert got == [(0, 1, 2), (0, 1, 2), (1, 1, 1), (2, 1, 1), (3, 3, 0)]
+
+
 def test_trie_join_against_sets():
     r = np.random.default_rng(4)
     for _ in range(40):
