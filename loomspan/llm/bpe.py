@@ -264,6 +264,13 @@ class Codec:
         if text := machine.push(b"", last=True):
             yield text
 
+    def decoded_sha256(self, ids: bytes) -> str:
+        """Checksum of the text as the stream gives it, piece by piece."""
+        out = hashlib.sha256()
+        for text in self.decode_stream(memoryview(ids).cast("I")):
+            out.update(text.encode())
+        return out.hexdigest()
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
@@ -307,7 +314,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                 batch = whole.slice(i, OUT_ROWS)
                 packed = [own.encode(text.as_py() or "") for text in batch.column(1)]
                 counts = np.array([len(x) // 4 for x in packed], np.int64)
-                columns = [batch.column(0), pa.array(counts), pa.array([hashlib.sha256(x).hexdigest() for x in packed]), pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in packed])]
+                columns = [batch.column(0), pa.array(counts), pa.array([hashlib.sha256(x).hexdigest() for x in packed]), pa.array([own.decoded_sha256(x) for x in packed])]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
                     flat = pa.Array.from_buffers(pa.int32(), int(counts.sum()), [None, pa.py_buffer(b"".join(packed))])

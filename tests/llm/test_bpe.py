@@ -35,6 +35,12 @@ def test_utf8_machine_equals_whole_decoding(data, step):
     assert "".join(parts) + machine.push(b"", last=True) == data.decode("utf-8", "replace")
 
 
+def test_checksum_comes_from_the_stream(monkeypatch):
+    text = "the naïve 漢字 🙂 end"
+    monkeypatch.setattr(bpe.Codec, "decode", None)
+    assert CODEC.decoded_sha256(CODEC.encode(text)) == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_few_states_give_the_same_ids():
     small = bpe.Transducer(RANKS, max_states=5)
     for word in ("tokenization", "internationalisation" * 5, "ththththththin", "ß" * 9):
