@@ -1,8 +1,9 @@
 """Sharding by a k-d tree over document metadata.
 
-The tree splits the bytes of the corpus into ``n_shards`` leaves. Each node is cut along its widest dimension at the
-weighted quantile that gives both sides their share of leaves. Only histograms and extents of at most ``n_shards`` nodes
-reach the driver; the tree itself becomes one column expression.
+The tree splits the bytes of the corpus until its leaves hold the target bytes. Each node is cut along its widest dimension
+at the weighted quantile that gives both sides their share of leaves. The quantiles of all nodes of a level and of all
+dimensions come from one histogram a digit; only these and the nodes' extents reach the driver, and the tree itself becomes
+one column expression.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ from pyspark.sql.window import Window
 
 from .common import Scratch, table
 
-#: A coordinate has 20 bits; 42 bits of a text hash below it order the groups that share a coordinate.
-COORD_BITS, TIE_BITS, DIGIT = 20, 42, 12
-#: Groups of equal texts above this part of a leaf are cut into pieces, since one of them would unbalance a leaf.
-WHOLE = 0.25
-#: A cut within this part of a leaf is taken at once; else these hash orders are tried too.
-NEAR, OTHER_ORDERS = 0.01, ("#1", "#2", "#3", "#4", "#5", "#6")
+#: A coordinate has 20 bits; 42 bits below it, a hash of the text and the dimension, order the groups that share a coordinate.
+COORD_BITS, TIE_BITS, DIGIT = 20, 42, 10
+#: A cut within this part of a leaf of its goal is good; else the next widest dimension is looked at, and the nearest cut taken.
+NEAR = 0.01
+#: Pieces that a leaf's bytes of one text are cut into, if all rows of this text weigh more than a leaf.
+PIECES = 64
 #: Row numbers are given within so many hash buckets of a shard.
 SLOT_BUCKETS = 256
 
@@ -47,52 +48,50 @@ class Node:
 
 
 def _key(dim: str) -> Column:
-    if dim.startswith("#"):
-        return F.shiftrightunsigned(F.xxhash64("tie", F.lit(int(dim[1:]))), 64 - COORD_BITS - TIE_BITS)
-    return F.shiftleft(F.col(f"x_{dim}").cast("long"), TIE_BITS) + F.col("tie")
+    return F.shiftleft(F.col(f"x_{dim}").cast("long"), TIE_BITS) + F.shiftrightunsigned(F.xxhash64("tie", F.lit(dim)), 64 - TIE_BITS)
 
 
-def _cuts(held: DataFrame, chosen: dict[int, str], goal: dict[int, float], tolerance: int) -> dict[int, tuple[int, float]]:
-    """Cut of each node along its dimension, and the weight by which the side below it misses the goal.
+def _cuts(held: DataFrame, dims: list[str], goal: dict[int, float], tolerance: int) -> dict[tuple[int, str], tuple[int, float]]:
+    """Cut of each node along each dimension, and the weight by which the side below it misses the goal.
 
     Digits of the key are counted from the highest; only the digit that holds the goal is opened further.
     """
-    prefix, below, cut = dict.fromkeys(chosen, 0), dict.fromkeys(chosen, 0), dict.fromkeys(chosen, 0)
-    todo = set(chosen)
-    key = F.coalesce(*[F.when(F.col("node") == k, _key(d)) for k, d in chosen.items()])
+    todo = {(k, d) for k in goal for d in dims}
+    prefix, below, cut = dict.fromkeys(todo, 0), dict.fromkeys(todo, 0), dict.fromkeys(todo, 0)
+    found = set(todo)
+    keys = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), _key(d).alias("key")) for d in dims])).alias("k")
+    spread = held.select("node", "weight", keys).select("node", "weight", "k.dim", "k.key")
     shift = COORD_BITS + TIE_BITS
     while todo and shift > 0:
         high, shift = shift, max(0, shift - DIGIT)
-        inside = F.lit(False)
-        for k in todo:
-            inside = inside | ((F.col("node") == k) & (F.shiftright(key, high) == F.lit(prefix[k])))
-        counted = held.where(inside).groupBy("node", F.shiftright(key, shift).alias("digit")).agg(F.sum("weight").alias("w")).collect()
-        seen: dict[int, list] = {}
+        places = F.create_map(*[x for k, d in sorted(todo) for x in (F.lit(f"{k} {d}"), F.lit(prefix[k, d]))])
+        inside = F.element_at(places, F.concat_ws(" ", F.col("node").cast("string"), F.col("dim"))) == F.shiftright("key", high)
+        counted = spread.where(inside).groupBy("node", "dim", F.shiftright("key", shift).alias("digit")).agg(F.sum("weight").alias("w")).collect()  # 2**DIGIT rows a node and dimension at most
+        seen: dict[tuple[int, str], list] = {}
         for r in counted:
-            seen.setdefault(r["node"], []).append((r["digit"], r["w"]))
-        for k in list(todo):
-            for digit, w in sorted(seen.get(k, [])):
-                if below[k] + w <= goal[k]:
-                    below[k] += w
-                    cut[k] = (digit + 1) << shift
+            seen.setdefault((r["node"], r["dim"]), []).append((r["digit"], r["w"]))
+        for at in list(todo):
+            for digit, w in sorted(seen.get(at, [])):
+                if below[at] + w <= goal[at[0]]:
+                    below[at] += w
+                    cut[at] = (digit + 1) << shift
                     continue
-                cut[k], prefix[k] = digit << shift, digit
+                cut[at], prefix[at] = digit << shift, digit
                 if w <= tolerance or shift == 0:
-                    if goal[k] - below[k] > w / 2:
-                        cut[k] = (digit + 1) << shift
-                        below[k] += w
-                    todo.discard(k)
+                    if goal[at[0]] - below[at] > w / 2:
+                        cut[at] = (digit + 1) << shift
+                        below[at] += w
+                    todo.discard(at)
                 break
             else:
-                todo.discard(k)
-    return {k: (cut[k], abs(below[k] - goal[k])) for k in chosen}
+                todo.discard(at)
+    return {at: (cut[at], abs(below[at] - goal[at[0]])) for at in found}
 
 
 def _split(points: DataFrame, root: Node, dims: list[str], target: int) -> None:
-    """Cut all nodes that still hold several leaves, each at its weighted quantile.
+    """Cut all nodes that still hold several leaves, each at its weighted quantile along its widest dimension.
 
-    A node takes its widest dimension whose cut comes within a hundredth of a leaf of the goal. Where a few heavy groups
-    let none do so, orders by other hashes are tried as well, and the nearest cut is taken.
+    Where a few heavy groups keep that cut off its goal, the next widest dimensions are tried, and the nearest cut is taken.
     """
     nodes = {n.first: n for n in root.open() if n.leaves > 1}
     held = points.withColumn("node", root.expr(lambda n: n.first)).where(F.col("node").isin(list(nodes)))
@@ -103,63 +102,69 @@ def _split(points: DataFrame, root: Node, dims: list[str], target: int) -> None:
         ).collect()
     }
     goal = {k: extents[k]["w"] * (nodes[k].leaves // 2) / nodes[k].leaves for k in extents}
-    order = {k: [*sorted(dims, key=lambda d: (e[f"lo_{d}"] - e[f"hi_{d}"], dims.index(d))), *OTHER_ORDERS] for k, e in extents.items()}  # noqa: B023
-    best: dict[int, tuple[float, str, int]] = {}
-    for i in range(len(dims) + len(OTHER_ORDERS)):
-        again = {k: order[k][i] for k in order if k not in best or best[k][0] > NEAR * target}
-        if not again:
-            break
-        for k, (cut, miss) in _cuts(held, again, goal, max(1, target // 256)).items():
-            if k not in best or miss < best[k][0]:
-                best[k] = (miss, again[k], cut)
+    cuts = _cuts(held, dims, goal, max(1, target // 256)) if goal else {}
     for k, n in nodes.items():
-        _, n.dim, n.cut = best.get(k, (0, dims[0], 0))
+        n.dim, n.cut = dims[0], 0
+        if k in extents:
+            e = extents[k]
+            widest = sorted(dims, key=lambda d: (e[f"lo_{d}"] - e[f"hi_{d}"], dims.index(d)))  # noqa: B023
+            n.dim = next((d for d in widest if cuts[k, d][1] <= NEAR * target), min(widest, key=lambda d: cuts[k, d][1]))  # noqa: B023
+            n.cut = cuts[k, n.dim][0]
         half = n.leaves // 2
         n.left, n.right = Node(half, n.first), Node(n.leaves - half, n.first + half)
 
 
-def kd_shards(docs: DataFrame, scratch: Scratch, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", dims: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+def kd_shards(docs: DataFrame, scratch: Scratch, n_shards: int | None = 24, id_col: str = "doc_id", text_col: str = "text", dims: tuple[str, ...] = ("lang", "source"), target_bytes: int | None = None) -> DataFrame:
     """Shard, slot, size and text checksum of every row.
 
-    Sizes are UTF-8 bytes plus 8; a null text has none. Dimensions are the size's logarithm and the columns ``dims``,
-    whose values, nulls included, lie at a hash of theirs. Rows of equal texts stay together (at the smallest of their
-    values) unless they weigh over a quarter of a leaf; then they are dealt out by a hash of the id. Repeated rows count
-    each. An empty table gives no rows. Missing ``dims`` columns are left out; other columns are ignored.
+    Nodes are cut until they are one leaf's share: of ``n_shards``, or, with ``target_bytes``, of as many as it takes for
+    leaves of that size. Sizes are UTF-8 bytes plus 8; a null text has none. Dimensions are the columns ``dims``, whose
+    values, nulls included, lie at a hash of theirs, and the logarithms of the size, the characters and the line ends. Rows
+    of equal texts stay together (at the smallest of their values) unless they weigh more than a leaf; then they are dealt
+    out in pieces by a hash of the id. Repeated rows count each. An empty table gives no rows. Missing ``dims`` columns are
+    left out; other columns are ignored.
     """
     dims = tuple(d for d in dims if d in docs.columns)
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    plain = F.coalesce(F.col(text_col), F.lit(""))
+    text = plain.cast("binary")
     rows = scratch.keep(
         docs.select(
             F.col(id_col).alias("doc_id"),
             (F.octet_length(text) + F.lit(8)).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
             F.xxhash64(text).alias("h"),
+            F.char_length(plain).cast("long").alias("chars"),
+            F.octet_length(F.regexp_replace(plain, "[^\n]+", "")).cast("long").alias("breaks"),
             *[F.col(d).cast("string").alias(f"v_{d}") for d in dims],
         ),
         "rows",
     )
     same = ["h", "text_crc32", "size"]
     total = rows.agg(F.sum("size").alias("w"), F.max("size").alias("most")).first()
+    if target_bytes:
+        n_shards = max(1, -(-(total["w"] or 0) // target_bytes))
     target = max(1, (total["w"] or 0) // n_shards)
-    groups = rows.groupBy(*same).agg(F.count("*").alias("n"), *[F.min(f"v_{d}").alias(f"v_{d}") for d in dims])
-    pieces = F.when(F.col("n") * F.col("size") > F.lit(WHOLE * target), F.ceil(F.col("n") * F.col("size") / F.lit(max(1.0, target / 64)))).otherwise(F.lit(1)).cast("long")
+    groups = rows.groupBy(*same).agg(F.count("*").alias("n"), F.min("chars").alias("chars"), F.min("breaks").alias("breaks"), *[F.min(f"v_{d}").alias(f"v_{d}") for d in dims])
+    weight = F.col("n") * F.col("size")
+    pieces = F.when(weight > F.lit(target), F.ceil(weight * F.lit(PIECES) / F.lit(target))).otherwise(F.lit(1)).cast("long")
     top = F.lit((1 << COORD_BITS) - 1)
-    spread = F.ln(F.lit(float(max(9, total["most"] or 9)) / 8))
+    spread = F.ln(F.lit(float((total["most"] or 0) + 2)))
+    along = lambda n: F.floor(F.ln(n + 1) / spread * top).cast("long")
     # written before the join, whose large partitions can then be split: a frequent text is one row there
     groups = scratch.keep(groups.withColumn("pieces", F.least(pieces, F.col("n"))), "groups")
-    pieced = rows.join(groups.select(*same, "pieces", *[F.col(f"v_{d}").alias(f"g_{d}") for d in dims]), same)
+    pieced = rows.select("doc_id", *same).join(groups.select(*same, "pieces", "chars", "breaks", *[F.col(f"v_{d}").alias(f"g_{d}") for d in dims]), same)
     piece = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.col("pieces"))
-    tie = F.shiftrightunsigned(F.xxhash64("h", "text_crc32", "size", "piece"), 64 - TIE_BITS)
+    tie = F.xxhash64("h", "text_crc32", "size", "piece")
     placed = scratch.keep(
         pieced.withColumn("piece", piece).select(
             "doc_id", "size", "text_crc32", tie.alias("tie"),
-            F.floor(F.ln(F.col("size") / 8) / spread * top).cast("long").alias("x_size"),
+            along(F.col("size") - 8).alias("x_size"), along(F.col("chars")).alias("x_chars"), along(F.col("breaks")).alias("x_breaks"),
             *[F.shiftright(F.crc32(F.coalesce(F.concat(F.lit("="), F.col(f"g_{d}")), F.lit("")).cast("binary")), 32 - COORD_BITS).alias(f"x_{d}") for d in dims],
         ),
         "placed",
     )
     scratch.drop(rows)
-    names = [*dims, "size"]
+    names = [*dims, "size", "chars", "breaks"]
     points = scratch.keep(placed.groupBy("tie", *[f"x_{d}" for d in names]).agg(F.sum("size").alias("weight")), "points")
     root = Node(n_shards, 0)
     while any(n.leaves > 1 for n in root.open()):

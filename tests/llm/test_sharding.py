@@ -21,7 +21,68 @@ def test_query_balances_bytes(spark, sf):
     weight = Counter()
     for r in rows:
         weight[r.shard] += r["size"]
-    assert set(weight) <= set(range(24))
+    heaviest = max(Counter({t: len(t.encode()) + 8 for t in docs.values()}).values())
+    mean = sum(weight.values()) / 24
+    assert set(weight) == set(range(24)) and max(weight.values()) - mean < heaviest / 2 + 0.05 * mean and mean - min(weight.values()) < heaviest / 2 + 0.05 * mean
+
+
+def kd_brute(points, leaves, first=0):
+    """Shard of each point (coordinates by dimension, weight): sort along the widest dimension, cut nearest to the goal."""
+    if leaves == 1 or not points:
+        return {p[0]: first for p in points}
+    spans = [max(p[1][d] for p in points) - min(p[1][d] for p in points) for d in range(len(points[0][1]))]
+    dim = spans.index(max(spans))
+    rows = sorted(points, key=lambda p: p[1][dim])
+    goal, below, cut = sum(p[2] for p in rows) * (leaves // 2) / leaves, 0, 0
+    while cut < len(rows) and below + rows[cut][2] <= goal:
+        below += rows[cut][2]
+        cut += 1
+    if cut < len(rows) and goal - below > rows[cut][2] / 2:
+        cut += 1
+    return kd_brute(rows[:cut], leaves // 2, first) | kd_brute(rows[cut:], leaves - leaves // 2, first + leaves // 2)
+
+
+def test_against_brute_force(spark, monkeypatch):
+    """Sizes and characters differ, so every cut is along one of these and no hash decides."""
+    import math
+
+    from loomspan.llm import sharding
+
+    monkeypatch.setattr(sharding, "NEAR", 1e9)
+    texts = {}
+    for i in range(400):
+        t = "é" * (40 + 7 * i) + "x" * (i * 37 % 1501)
+        if all(len(t) != len(u) and len(t.encode()) != len(u.encode()) for u in texts.values()):
+            texts[i] = t
+    rows = kd_shards(spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string"), Scratch(spark, "t"), 7).collect()
+    most = max(len(t.encode()) + 8 for t in texts.values())
+    at = lambda n: math.floor(math.log(n + 1) / math.log(most + 2) * ((1 << 20) - 1))
+    points = [(i, (at(len(t.encode())), at(len(t))), len(t.encode()) + 8) for i, t in texts.items()]
+    assert len(points) > 150 and {r.doc_id: r.shard for r in rows} == kd_brute(points, 7)
+    only = [(i, "x" * (40 + 7 * i), "en") for i in range(150)]
+    got = {r.doc_id: r.shard for r in kd_shards(spark.createDataFrame(only, "doc_id long, text string, lang string"), Scratch(spark, "t"), 7).collect()}
+    assert got == kd_brute([(i, (len(t),), len(t) + 8) for i, t, _ in only], 7)
+
+
+def test_target_bytes(spark):
+    data = [(i, "w" * (50 + i % 37) + str(i)) for i in range(500)]
+    rows = kd_shards(spark.createDataFrame(data, "doc_id long, text string"), Scratch(spark, "t"), target_bytes=5000).collect()
+    weight = Counter()
+    for r in rows:
+        weight[r.shard] += r["size"]
+    assert len(weight) == -(-sum(weight.values()) // 5000) and max(weight.values()) < 5000 * 1.1
+
+
+def test_texts_under_a_leaf_stay_whole(spark):
+    """Groups of up to nine tenths of a leaf stay together; one of three leaves is dealt out."""
+    data = [(i, f"{i % 40:03d}" + "x" * 100) for i in range(0, 2000)] + [(5000 + i, "y" * 103) for i in range(1000)]
+    rows = kd_shards(spark.createDataFrame(data, "doc_id long, text string"), Scratch(spark, "t"), 24).collect()
+    text, homes, weight = dict(data), defaultdict(set), Counter()
+    for r in rows:
+        homes[text[r.doc_id]].add(r.shard)
+        weight[r.shard] += r["size"]
+    assert all(len(v) == 1 for t, v in homes.items() if t[0] != "y") and len(homes["y" * 103]) >= 8
+    assert len(rows) == 3000
 
 
 def test_even_leaves_and_whole_groups(spark):
@@ -46,6 +107,8 @@ def test_one_text_for_a_third_and_edges(spark):
     weight = Counter()
     for r in rows:
         weight[r.shard] += r["size"] if r["size"] < 50000 else 0
+    # one text weighs more than all others and can't be cut: the others still aren't in one leaf
+    assert max(weight.values()) <= 0.6 * sum(weight.values())
     assert kd_shards(docs.limit(0), Scratch(spark, "t"), 4).count() == 0
 
 
