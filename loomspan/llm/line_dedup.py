@@ -1,14 +1,14 @@
 """Deletion of repeated line runs by a suffix array over line ids, built by prefix doubling.
 
-The rank of a suffix at depth 2**k is the first position whose next 2**k lines are the same, so suffixes of one rank are
-one interval of the suffix array with a common prefix of at least that length. Ranks of doubled depth come from a join of
-a suffix with the one 2**k lines later. Positions whose interval holds one suffix have no copy and leave, so a round is
-no larger than the repeated part. A run of any length has the ranks of its first and its last 2**k lines as its name
-(they overlap), which gives the intervals at every depth a run can need.
+The rank of a suffix at depth 2**k is its place in the order of suffixes by their first 2**k lines (a line's id is its place
+in the order of line hashes); suffixes that agree so far share a rank and are one interval of the suffix array, whose
+longest common prefix is at least 2**k. Ranks of doubled depth are places in the order of (rank, rank 2**k lines later).
+Positions whose interval holds one suffix have no copy and leave, so a round is no larger than the repeated part. The
+interval of a longer common prefix of any length is named by the ranks of its first and its last 2**k lines, which overlap.
 
 A line goes if it lies in a run of at least ``min_words`` words whose lines also stand at an earlier position. Such a run
-is the union of its shortest sub-runs of that many words, from each line onwards and up to each line; only these are
-looked up, and adjoining deletions are the maximal runs.
+is the union of its shortest sub-runs of that many words, from each line onwards and up to each line, so common prefixes
+of more than ``min_words`` lines need no rank of their own; adjoining deletions are the maximal runs.
 """
 
 from __future__ import annotations
@@ -38,32 +38,36 @@ def _lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def _numbered(lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """Documents (did, thash) with dense numbers in that order: a range sort, then the sizes of its partitions."""
-    docs = lines.where("seq = 0").select("did", "thash").distinct()
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = scratch.keep(docs.repartitionByRange(n, "did", "thash").sortWithinPartitions("did", "thash").withColumn("m", F.monotonically_increasing_id()), "documents")
+def _in_order(rows: DataFrame, by: list[str], scratch: Scratch, name: str) -> DataFrame:
+    """Distinct rows with ``ix``, their place in the order of ``by``: a range sort, then the sizes of its partitions."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = scratch.keep(rows.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("m", F.monotonically_increasing_id()), name)
     part = F.shiftright("m", 33)
     sizes = sorted_.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     # a row for each partition of the sort
-    return sorted_.withColumn("part", part).join(F.broadcast(offsets), "part").select("did", "thash", (F.col("offset") + F.col("m").bitwiseAND((1 << 33) - 1)).alias("ix"))
+    return sorted_.withColumn("part", part).join(F.broadcast(offsets), "part").select(*rows.columns, (F.col("offset") + F.col("m").bitwiseAND((1 << 33) - 1)).alias("ix"))
 
 
 def _intervals(rows: DataFrame, by: list[str], scratch: Scratch) -> DataFrame:
-    """(pos, rank) of the rows whose ``by`` is at several positions; the rank is the first of these.
+    """(pos, rank) of the rows whose ``by`` is at several positions; the rank is its place in their order.
 
     The intervals are written before the join, whose large partitions can then be split: a frequent line is one row there.
     """
-    several = scratch.keep(rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("pos").alias("first")).where("n > 1").drop("n"), "intervals")
-    return rows.join(several, by).select("pos", F.col("first").alias("rank"))
+    several = rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by)
+    ranks = scratch.keep(_in_order(several, by, scratch, "order"), "intervals")
+    return rows.join(ranks, by).select("pos", F.col("ix").alias("rank"))
 
 
 def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
-    """Maximal runs to delete: did, thash, first and last line (from 0, blank lines inside included), lines, words."""
+    """Maximal runs to delete: did, thash, first and last line (from 0, blank lines inside included), lines."""
     lines = scratch.keep(_lines(docs), "lines")
-    known = lines.dropDuplicates(["did", "thash", "seq"]).join(_numbered(lines, scratch), ["did", "thash"])
+    own = lines.where("seq = 0").groupBy("did", "thash").agg(F.count("*").alias("rows"))
+    numbered = scratch.keep(_in_order(own, ["did", "thash"], scratch, "documents"), "numbered")
+    # repeated rows are one document; without them, lines need no shuffle to find that out
+    known = lines.dropDuplicates(["did", "thash", "seq"]) if numbered.where("rows > 1").limit(1).count() else lines
+    known = known.join(numbered.drop("rows"), ["did", "thash"])
     placed = scratch.keep(known.select((F.shiftleft("ix", LINE_BITS) + F.col("seq")).alias("pos"), "did", "thash", "line", "h1", "h2", "w"), "placed")
     scratch.drop(lines)
     level = scratch.keep(_intervals(placed.select("pos", "h1", "h2"), ["h1", "h2"], scratch), "ranks")
@@ -72,15 +76,16 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
         after = level.select((F.col("pos") - F.lit(1 << k)).alias("pos"), F.col("rank").alias("next"))
         doubled = scratch.keep(level.join(after, "pos"), "doubled")
         level = scratch.keep(_intervals(doubled, ["rank", "next"], scratch), "ranks")
+        scratch.drop(doubled)
         k += 1
         if not level.limit(1).count():
             break
         levels = levels.union(level.withColumn("k", F.lit(k)))
     # stretches of lines that all have copies; x: words before the line in its stretch; a row past the end closes each
-    of_doc = Window.partitionBy(F.shiftright("pos", LINE_BITS)).orderBy("pos")
+    doc = F.shiftright("pos", LINE_BITS)
+    of_doc = Window.partitionBy(doc).orderBy("pos")
     single = levels.where("k = 0").select("pos").join(placed.select("pos", "w"), "pos")
     stretch = single.withColumn("stretch", F.col("pos") - F.row_number().over(of_doc))
-    doc = F.shiftright("pos", LINE_BITS)
     past = stretch.groupBy("stretch", doc.alias("ix")).agg((F.max("pos") + 1).alias("pos"), F.lit(0).cast("long").alias("w"))
     rows = stretch.withColumn("ix", doc).select("ix", "stretch", "pos", "w").union(past.select("ix", "stretch", "pos", "w"))
     own = Window.partitionBy("ix", "stretch").orderBy("pos")
@@ -95,10 +100,14 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
     runs = runs.join(levels.select("k", "pos", F.col("rank").alias("head_rank")), ["k", "pos"]).join(levels.select("k", F.col("pos").alias("tail"), F.col("rank").alias("tail_rank")), ["k", "tail"])
     runs = scratch.keep(runs.select("pos", "len", "head_rank", "tail_rank"), "runs")
     firsts = scratch.keep(runs.groupBy("head_rank", "tail_rank", "len").agg(F.min("pos").alias("first")), "firsts")
-    copies = runs.join(firsts, ["head_rank", "tail_rank", "len"]).where("pos > first")
-    gone = copies.select(F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("len") - 1)).alias("pos")).distinct().join(placed.select("pos", "did", "thash", "line", "w"), "pos")
-    gone = gone.withColumn("run", F.col("pos") - F.row_number().over(of_doc))
-    return scratch.keep(gone.groupBy("did", "thash", "run").agg(F.min("line").alias("first"), F.max("line").alias("last"), F.count("*").alias("lines"), F.sum("w").alias("words")).drop("run"), "gone")
+    copies = runs.join(firsts, ["head_rank", "tail_rank", "len"]).where("pos > first").groupBy("pos").agg((F.col("pos") + F.max("len")).alias("end"))
+    # a later copy that begins past all ends so far begins another deletion
+    reach = F.max("end").over(of_doc.rowsBetween(Window.unboundedPreceding, -1))
+    begun = copies.withColumn("begins", F.when(F.col("pos") <= reach, 0).otherwise(1)).withColumn("nth", F.sum("begins").over(of_doc))
+    spans = begun.groupBy(doc.alias("ix"), "nth").agg(F.min("pos").alias("start"), (F.max("end") - 1).alias("stop"))
+    ends = scratch.keep(spans.select("start", "stop", F.explode(F.array_distinct(F.array("start", "stop"))).alias("pos")), "ends")
+    at = ends.join(placed.select("pos", "did", "thash", "line"), "pos")
+    return scratch.keep(at.groupBy("start", "stop", "did", "thash").agg(F.min("line").alias("first"), F.max("line").alias("last")).select("did", "thash", "first", "last", (F.col("stop") - F.col("start") + 1).alias("lines")), "gone")
 
 
 def dedup_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
