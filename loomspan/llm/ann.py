@@ -37,6 +37,11 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a**2).sum(1)[:, None] - 2 * a @ b.T + (b**2).sum(1)[None, :], 0)
 
 
+def rounding(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What ``squared`` of vectors that were rounded when the centre was taken off them may be off by."""
+    return 8 * (a.shape[1] + 8) * np.finfo(np.float64).eps * ((a**2).sum(1)[:, None] + (b**2).sum(1)[None, :])
+
+
 def balanced_kmeans(sample: np.ndarray, lists: int, seed: int = 11) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centroids = sample[rng.choice(len(sample), lists, replace=False)].copy()
@@ -54,11 +59,14 @@ def balanced_kmeans(sample: np.ndarray, lists: int, seed: int = 11) -> np.ndarra
 
 @dataclass
 class Index:
+    """Centroids of the vectors less their centre, with links to near ones: far from the origin differences would drown in rounding."""
+
     centroids: np.ndarray
     graph: list[np.ndarray]
+    centre: np.ndarray
 
     @classmethod
-    def build(cls, centroids: np.ndarray, seed: int = 13) -> "Index":
+    def build(cls, centroids: np.ndarray, centre: np.ndarray, seed: int = 13) -> "Index":
         """Each centroid's nearest ones, the reverse links, and two random ones that keep the graph connected."""
         n = len(centroids)
         rng = np.random.default_rng(seed)
@@ -74,7 +82,7 @@ class Index:
             for j in {(k + 1) % n, int(rng.integers(n))} - {k}:
                 links[k].add(j)
                 links[j].add(k)
-        return cls(centroids, [np.array(sorted(x), np.int64) for x in links])
+        return cls(centroids, [np.array(sorted(x), np.int64) for x in links], centre)
 
     def lists(self, query: np.ndarray, ratio: float) -> np.ndarray:
         """Lists within ``ratio`` of the nearest centroid that the walk finds."""
@@ -128,11 +136,11 @@ def _assign(index_held):
     """(list, vec_id, v): a vector's nearest list, and near ones. Rows: vec_id, v."""
 
     def run(batches):
-        centroids = index_held.value.centroids
+        centroids, centre = index_held.value.centroids, index_held.value.centre
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
-                d = np.sqrt(squared(_rows(part.column(1)), centroids))
+                d = np.sqrt(squared(_rows(part.column(1)) - centre, centroids))
                 k = min(REPLICAS, d.shape[1])
                 near = np.argpartition(d, k - 1, axis=1)[:, :k]
                 own = np.take_along_axis(d, near, 1)
@@ -149,7 +157,7 @@ def _probe(index_held, ratio: float):
         index = index_held.value
         for batch in batches:
             for q, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = index.lists(np.frombuffer(v.as_buffer(), np.float64), ratio)
+                found = index.lists(np.frombuffer(v.as_buffer(), np.float64) - index.centre, ratio)
                 yield pa.RecordBatch.from_arrays([pa.array([q] * len(found), pa.int32()), pa.array(found)], ["q", "list"])
 
     return run
@@ -166,11 +174,13 @@ def _kth(rough: np.ndarray, vec_ids: np.ndarray, k: int) -> np.ndarray | float:
     return np.partition(rough, k - 1, axis=1)[:, k - 1]
 
 
-def _search(block_held, k: int):
+def _search(index_held, block_held, k: int):
     """A task's k nearest for each query of the block: q, vec_id, score. Rows: list, vec_id, v."""
 
     def run(batches):
         queries, ids, readers = block_held.value
+        centre = index_held.value.centre
+        centred = queries - centre
         best_d = np.full((len(ids), k), np.inf)
         best_id = np.full((len(ids), k), np.iinfo(np.int64).max)
         for batch in batches:
@@ -182,10 +192,11 @@ def _search(block_held, k: int):
                 at = np.flatnonzero(lists == j)
                 vec_ids = batch.column(1).to_numpy(zero_copy_only=False)[at]
                 vectors = _rows(batch.column(2).take(pa.array(at)))
-                rough = squared(queries[reading], vectors)
+                near = vectors - centre
+                rough, off = squared(centred[reading], near), rounding(centred[reading], near)
                 rough[ids[reading][:, None] == vec_ids[None, :]] = np.inf
-                limit = np.minimum(best_d[reading, -1] ** 2, _kth(rough, vec_ids, k))
-                close = (rough <= (limit * (1 + 1e-9) + 1e-9)[:, None]) & np.isfinite(rough)
+                limit = np.minimum(best_d[reading, -1] ** 2 * (1 + 1e-12), _kth(rough + off, vec_ids, k))
+                close = (rough - off <= limit[:, None]) & np.isfinite(rough)
                 for i in np.flatnonzero(close.any(axis=1)):
                     cols = np.flatnonzero(close[i])
                     q = reading[i]
@@ -213,7 +224,8 @@ def nearest(vectors: DataFrame, scratch: Scratch, k: int = TOP, every: int = 100
     A row isn't its own query's candidate; ties go to the smaller vec_id. Null, empty and zero vectors, those with null or
     non-finite components, and rows without an id take no part. All vectors have one length. Every usable vector is in
     the index, whatever the size of its lists; the sample only places the centroids. With a ``probe_ratio`` of infinity
-    every list is read and the result is exact. Empty tables give no rows; other columns are ignored.
+    every list is read and the result is exact: rough distances carry a bound of their rounding. A distance that overflows
+    double precision is no neighbour. Empty tables give no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -226,7 +238,8 @@ def nearest(vectors: DataFrame, scratch: Scratch, k: int = TOP, every: int = 100
     drawn.sort(key=lambda r: (r["vec_id"], bytes(r["v"])))
     sample = np.stack([np.frombuffer(r["v"], np.float64) for r in drawn])
     lists = max(1, min(MAX_LISTS, n // LIST, len(np.unique(sample, axis=0))))
-    index_held = spark.sparkContext.broadcast(Index.build(balanced_kmeans(sample, lists)))
+    centre = sample.mean(axis=0)
+    index_held = spark.sparkContext.broadcast(Index.build(balanced_kmeans(sample - centre, lists), centre))
     postings = usable.mapInArrow(_assign(index_held), "list long, vec_id long, v binary")
     # parts of a list are dealt by id, so that a list of any length is read by several tasks
     parts = max(1, -(-n * REPLICAS // PART))
@@ -244,7 +257,7 @@ def nearest(vectors: DataFrame, scratch: Scratch, k: int = TOP, every: int = 100
         probes = asked_rows.mapInArrow(_probe(index_held, probe_ratio), "q int, list long").groupBy("list").agg(F.collect_list("q").alias("q")).collect()  # a block's queries by at most MAX_LISTS lists
         readers = {r["list"]: np.array(sorted(r["q"]), np.int64) for r in probes}
         held = spark.sparkContext.broadcast((queries, ids, readers))
-        found = postings.mapInArrow(_search(held, k), "query_id long, vec_id long, score double").distinct()
+        found = postings.mapInArrow(_search(index_held, held, k), "query_id long, vec_id long, score double").distinct()
         order = Window.partitionBy("query_id").orderBy("score", "vec_id")
         ranked = scratch.keep(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "block")
         out = ranked if out is None else out.union(ranked)

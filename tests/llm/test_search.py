@@ -109,3 +109,37 @@ def test_nearest_of_few_and_none(spark):
         got = {(r.query_id, r.vec_id) for r in ann.nearest(spark.createDataFrame(rows, SCHEMA), Scratch(spark, "t")).collect()}
         assert got == {(q, i) for q, _, i, _ in nearest(rows)}
     assert ann.nearest(spark.createDataFrame(ODD, SCHEMA).where("vec_id >= 9000"), Scratch(spark, "t")).count() == 0
+
+
+def neighbours(rows, k=10):
+    use = [(i, np.array(v, np.float64)) for i, v, _ in rows]
+    out = []
+    for q, x in use:
+        if q % 100 == 0:
+            best = sorted((float(np.sqrt(((x - y) ** 2).sum())), i) for i, y in use if i != q)[:k]
+            out += [(q, n + 1, i) for n, (_, i) in enumerate(best)]
+    return sorted(out)
+
+
+def test_vectors_far_from_the_origin(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, (1e5 + r.normal(size=8)).tolist(), 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = ann.nearest(df, Scratch(spark, "t"), probe_ratio=float("inf")).collect()
+    assert sorted((x.query_id, x.rank, x.vec_id) for x in got) == neighbours(rows)
+
+
+def test_groups_far_from_each_other(spark):
+    r = np.random.default_rng(7)
+    rows = [(i, (1e7 * (i % 3) + 1e-2 * r.normal(size=8)).tolist(), 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = ann.nearest(df, Scratch(spark, "t"), probe_ratio=float("inf")).collect()
+    assert sorted((x.query_id, x.rank, x.vec_id) for x in got) == neighbours(rows)
+
+
+def test_a_row_repeated_more_often_than_k(spark):
+    r = np.random.default_rng(8)
+    rows = [(100, [0.0, 1.0, 0.0], 0)] + [(7, [0.0, 1.0, 0.1], 0)] * 14 + [(200 + i, r.normal(size=3).tolist(), 0) for i in range(1, 31)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = ann.nearest(df, Scratch(spark, "t"), probe_ratio=float("inf")).collect()
+    assert len({x.vec_id for x in got if x.query_id == 100}) == 10 == len([x for x in got if x.query_id == 100])
