@@ -22,20 +22,21 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import small_batches, table
+from .common import give_back, table
 
 #: Bounds of a task's memory: states of the transducer, remembered pairs and pieces, and bytes of pieces that are remembered.
-MAX_STATES, MAX_PAIRS, MAX_PIECES, MAX_PIECE = 220_000, 400_000, 500_000, 64
+MAX_STATES, MAX_PAIRS, MAX_PIECES, MAX_PIECE = 120_000, 200_000, 150_000, 64
 #: Rows of a batch of results.
 OUT_ROWS = 500
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 class _State:
-    __slots__ = ("final", "live", "next")
+    __slots__ = ("final", "live", "next", "once")
 
     def __init__(self, live: tuple, final: tuple[int, ...]):
-        self.live, self.final, self.next = live, final, {}
+        # once: a bit for each byte that was read here without its transition being kept
+        self.live, self.final, self.next, self.once = live, final, {}, 0
 
 
 class Transducer:
@@ -170,10 +171,15 @@ class Transducer:
             to_live = tuple([(-1 if len(pending) > shared else last, pending[shared:], node) for _, pending, node in live])
         else:
             to_live = tuple([(-1 if pending else last, pending, node) for last, pending, node in live])
-        if len(self.states) >= self.max_states:
-            self._reset()
-        to = self.states.get(to_live) or self._state(to_live)
-        state.next[byte] = (to, emitted)
+        # a transition is kept when it is made again: most ends of words come once, and would only fill the memory
+        if state.once >> byte & 1:
+            if len(self.states) >= self.max_states:
+                self._reset()
+            to = self._state(to_live)
+            state.next[byte] = (to, emitted)
+        else:
+            state.once |= 1 << byte
+            to = self.states.get(to_live) or _State(to_live, to_live[-1][1])
         return to, emitted
 
     def feed(self, state: _State, data: bytes, out: list[int]) -> _State:
@@ -206,34 +212,49 @@ class _Pieces(dict):
 
 
 class Utf8:
-    """Incremental UTF-8 state machine: bytes in, complete characters out; ill-formed bytes become U+FFFD."""
+    """Incremental UTF-8 state machine: bytes in, complete characters out; ill-formed bytes become U+FFFD.
+
+    A state is how many bytes a character still needs, the range that the next one must be in, the bits so far, and whether
+    any are held. A byte out of its range ends the character as U+FFFD and is read again in the start state.
+    """
+
+    START = (0, 0x80, 0xBF, 0)
+    #: Where the second byte is restricted: overlong forms, surrogates, and numbers beyond the last character.
+    SECOND = {0xE0: (0xA0, 0xBF), 0xED: (0x80, 0x9F), 0xF0: (0x90, 0xBF), 0xF4: (0x80, 0x8F)}
 
     def __init__(self):
-        self.held = b""
-
-    @staticmethod
-    def _unfinished(data: bytes) -> int:
-        """How many bytes at the end begin a character that may still be completed."""
-        for back in range(1, min(3, len(data)) + 1):
-            byte = data[-back]
-            if byte & 0xC0 == 0x80:
-                continue
-            need = 4 if 0xF0 <= byte <= 0xF4 else 3 if 0xE0 <= byte <= 0xEF else 2 if 0xC2 <= byte <= 0xDF else 1
-            if need <= back:
-                return 0
-            if back > 1:
-                second = data[-back + 1]
-                low, high = {0xE0: (0xA0, 0xBF), 0xED: (0x80, 0x9F), 0xF0: (0x90, 0xBF), 0xF4: (0x80, 0x8F)}.get(byte, (0x80, 0xBF))
-                if not low <= second <= high:
-                    return 0
-            return back
-        return 0
+        self.state = self.START
+
+    @classmethod
+    def step(cls, state: tuple[int, int, int, int], data: bytes) -> tuple[str, tuple[int, int, int, int]]:
+        """Characters that ``data`` completes, and the state after it."""
+        need, low, high, bits = state
+        out = []
+        for byte in data:
+            if need:
+                if low <= byte <= high:
+                    need, low, high, bits = need - 1, 0x80, 0xBF, bits << 6 | byte & 0x3F
+                    if not need:
+                        out.append(chr(bits))
+                        bits = 0
+                    continue
+                out.append("\ufffd")
+                need, low, high, bits = cls.START
+            if byte < 0x80:
+                out.append(chr(byte))
+            elif 0xC2 <= byte <= 0xF4:
+                need = 3 if byte >= 0xF0 else 2 if byte >= 0xE0 else 1
+                low, high = cls.SECOND.get(byte, (0x80, 0xBF))
+                bits = byte & (0x3F >> need)
+            else:
+                out.append("\ufffd")
+        return "".join(out), (need, low, high, bits)
 
     def push(self, data: bytes, last: bool = False) -> str:
-        data = self.held + data
-        n = 0 if last else self._unfinished(data)
-        self.held = data[len(data) - n :]
-        return data[: len(data) - n].decode("utf-8", "replace")
+        text, self.state = self.step(self.state, data)
+        if last and self.state[0]:
+            text, self.state = text + "\ufffd", self.START
+        return text
 
 
 class Codec:
@@ -241,10 +262,13 @@ class Codec:
         self.transducer = Transducer(ranks)
         self.find = regex.compile(pattern).findall
         self.pieces = _Pieces(self.transducer)
+        # what a token gives in the start state of the decoder, with the state after it
+        self.plain: dict[int, tuple[str, tuple]] = {}
 
     def forget(self) -> None:
         """Drop what was remembered: the worker's next task may be another operator's."""
         self.pieces.clear()
+        self.plain.clear()
         self.transducer.forget()
 
     def encode(self, text: str) -> bytes:
@@ -252,23 +276,34 @@ class Codec:
         assert sys.byteorder == "little" and array("I").itemsize == 4
         return b"".join(map(self.pieces.__getitem__, self.find(text)))
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.transducer.vocabulary.__getitem__, memoryview(ids).cast("I")))
-
     def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
-        """Text as it becomes complete, token by token."""
-        machine = Utf8()
+        """Text as it becomes complete, token by token; its step over a token from the start state is made once."""
+        plain, vocabulary, state = self.plain, self.transducer.vocabulary, Utf8.START
         for k in ids:
-            if text := machine.push(self.transducer.vocabulary[k]):
+            if state is Utf8.START:
+                found = plain.get(k)
+                if found is None:
+                    text, to = Utf8.step(state, vocabulary[k])
+                    found = plain[k] = (text, to if to[0] else Utf8.START)
+            else:
+                text, to = Utf8.step(state, vocabulary[k])
+                found = (text, to if to[0] else Utf8.START)
+            text, state = found
+            if text:
                 yield text
-        if text := machine.push(b"", last=True):
-            yield text
+        if state is not Utf8.START:
+            yield "\ufffd"
 
     def decoded_sha256(self, ids: bytes) -> str:
         """Checksum of the text as the stream gives it, piece by piece."""
-        out = hashlib.sha256()
+        out, held, size = hashlib.sha256(), [], 0
         for text in self.decode_stream(memoryview(ids).cast("I")):
-            out.update(text.encode())
+            held.append(text)
+            size += len(text)
+            if size >= 1 << 16:
+                out.update("".join(held).encode())
+                held, size = [], 0
+        out.update("".join(held).encode())
         return out.hexdigest()
 
 
@@ -294,7 +329,6 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     ``path`` is a rank file that every executor has. Null and empty texts have no tokens. Repeated rows are encoded each;
     other columns are left out. The ids come as a list of integers if ``with_ids``.
     """
-    small_batches(docs.sparkSession)
     ids = ", ids array<int>" if with_ids else ""
     key = docs.schema[id_col].dataType.simpleString()
 
@@ -305,8 +339,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         try:
             yield from encoded(own, batches)
         finally:
-            gc.enable()
             own.forget()
+            gc.enable()
+            gc.collect()
+            give_back()
 
     def encoded(own, batches):
         for whole in batches:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
+import ctypes
+import hashlib
+import re
 import tempfile
 import uuid
 
@@ -21,28 +24,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one, for tests on one machine, where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named in spark.checkpoint.dir, which all executors share; on a single machine, where it is unset, a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir isn't set: name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='loomspan-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Texts are long, so the usual 10,000 rows a batch would take too much of an executor's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
-        spark.conf.set(key, ARROW_ROWS)
-
-
 class Scratch:
     """Written intermediate tables. They cut lineage and survive lost executors; ``drop`` frees one that is used up."""
 
     def __init__(self, spark: SparkSession, label: str):
-        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
@@ -57,11 +51,6 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{self.n:03d}-{name}"
 
-    def settle(self) -> None:
-        """Let go of the shuffle files of steps whose results are written: Spark deletes them as their plans are collected."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, df: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
@@ -71,9 +60,7 @@ class Scratch:
                 path.getFileSystem(conf).delete(path, True)
 
 
-_M64 = (1 << 64) - 1
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_MULT_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -88,24 +75,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_POW: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse, modulo 2**64."""
-    if len(_POW[0]) < n:
-        size = max(n, 1 << 16)
-        with np.errstate(over="ignore"):
-            for i, m in enumerate((_MULT, _MULT_INV)):
-                p = np.full(size, m, np.uint64)
-                p[0] = 1
-                _POW[i] = np.cumprod(p, dtype=np.uint64)
-    return _POW[0][:n], _POW[1][:n]
+#: Keys of the independent hashes of spans, and masks of a word's last bytes.
+_KEYS = mix(np.arange(1, 5, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)], np.uint64)
+#: Longer spans are hashed one by one.
+_LONG = 64
 
 
 def text_chunks(column: pa.Array | pa.ChunkedArray, chunk_bytes: int = CHUNK_BYTES):
@@ -142,13 +120,28 @@ def words(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, np.searchsorted(rows, starts, side="right") - 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes, from prefix sums of a polynomial modulo 2**64."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
+    """64-bit keyed hash of each span of bytes; different ``key`` (0 or 1) give independent hashes.
+
+    Eight bytes go in at a time, each time through a bijection that isn't linear, so no two spans of up to eight bytes and
+    of one length collide, and longer ones do only by chance. Long spans have a cryptographic hash.
+    """
+    left, at = ends - starts, starts.copy()
     with np.errstate(over="ignore"):
-        power, inverse = _powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _STEP)
+        out = mix(left.astype(np.uint64) * _STEP + _KEYS[key])
+        words_ = np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+        live = np.flatnonzero((left > 0) & (left <= _LONG))
+        while len(live):
+            part = words_[at[live]]
+            short = left[live] < 8
+            part[short] &= _MASKS[left[live][short]]
+            out[live] = mix((out[live] * _MULT) ^ mix(part + _KEYS[2 + key]))
+            left[live] -= 8
+            at[live] += 8
+            live = live[left[live] > 0]
+    for i in np.flatnonzero(ends - starts > _LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=bytes([key])).digest(), "little")
+    return out
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
@@ -162,5 +155,23 @@ def ngram_hashes(word_hashes: np.ndarray, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         out = np.zeros(len(word_hashes) - n + 1, np.uint64)
         for i in range(n):
-            out = out * _MULT + word_hashes[i : len(word_hashes) - n + 1 + i]
+            out = (out ^ (out >> np.uint64(29))) * _MULT + word_hashes[i : len(word_hashes) - n + 1 + i]
         return mix(out)
+
+
+def released(run):
+    """A kernel that gives its worker's free memory back when its task ends: the next task may be another operator's."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library is another one
+        ctypes.CDLL(None).malloc_trim(0)

@@ -14,7 +14,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     labels = scratch.keep(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("m"))
-        hooked = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "m").alias("hook"))
+        # written first: it is both sides of the next join, where a large component's vertices meet in one label and can be split
+        hooked = scratch.keep(labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "m").alias("hook")), "hooked")
         hop = hooked.select(F.col("v").alias("hook"), F.col("hook").alias("hop"))
         new = scratch.keep(hooked.join(hop, "hook").select("v", "old", F.least("hook", "hop").alias("label")), "labels")
         moved = new.where("label < old").limit(1).count()

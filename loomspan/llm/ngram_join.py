@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, lower_ascii, mix, ngram_hashes, span_hashes, table, text_chunks, words
+from .common import Scratch, lower_ascii, mix, ngram_hashes, released, span_hashes, table, text_chunks, words
 from .components import components
 
 SHINGLE = 5
@@ -35,12 +35,21 @@ EXTENSION = 10
 #: come to this many; of more than the bound the most frequent ones (8 bytes each are broadcast). The order is the same for
 #: all sets whatever is in it, so it bears on speed alone.
 HEAVY_LEAST, MAX_HEAVY, WINDOW = 24, 1 << 18, 1_000_000
+#: Fewest shingles of a set that can reach the similarity with a different one: below three, one shingle too many is a third.
+LEAST = 3
+#: Bits of a class's number. Classes that share one are told apart by a second hash; their numbers are broadcast, and so many
+#: are allowed (chance makes some thirty among 25 thousand million different texts).
+CLASS_BITS, MAX_SPLIT = 63, 1 << 20
+#: Classes that a task remembers.
+MAX_SEEN = 1 << 17
 #: Postings of a bucket, postings that a task holds before it sends them, members of a salted group of a heavy shingle.
-BUCKET, FLUSH, GROUP = 400_000, 500_000, 200_000
+BUCKET, FLUSH, GROUP = 200_000, 200_000, 200_000
 #: Shingles of a pivot's candidates in one trie.
 TRIE_TOKENS = 200_000
 #: Partners that the round before the last tries for each class, and the block of members that is paired at once.
 BEST, BLOCK = 3, 1000
+#: Bytes of a block's signatures, about.
+BLOCK_BYTES = 1 << 21
 #: Least and most bits of a set's signature, four a shingle between; an upper bound of two sets' overlap follows from them.
 SIGNATURE = (512, 1 << 18)
 PAIRS = "a long, b long, least long, met long"
@@ -63,10 +72,10 @@ def required(n, m):
     return (NUM * (n + m) + NUM + DEN - 1) // (NUM + DEN)
 
 
-def shingle_sets(data: np.ndarray, rows: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the distinct shingles of each row, sorted by both."""
+def shingle_sets(data: np.ndarray, rows: np.ndarray, n: int = SHINGLE, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the distinct shingles of each row, sorted by both; hashes of another ``key`` are independent."""
     starts, ends, row = words(data, rows)
-    hashes = span_hashes(lower_ascii(data), starts, ends)
+    hashes = span_hashes(lower_ascii(data), starts, ends, key)
     grams = ngram_hashes(hashes, n)
     whole = row[: len(grams)] == row[n - 1 :] if len(grams) else np.zeros(0, bool)
     r, h = [row[: len(grams)][whole]], [grams[whole]]
@@ -97,6 +106,17 @@ def fingerprints(r: np.ndarray, h: np.ndarray, n_rows: int) -> tuple[np.ndarray,
     return n, fp.astype(np.int64)
 
 
+def classes(data: np.ndarray, rows: np.ndarray, split: np.ndarray, bits: int):
+    """(row, hash) of the shingles, and each row's set size and class; classes in ``split`` are told apart by a second hash."""
+    r, h = shingle_sets(data, rows)
+    n, fp = fingerprints(r, h, len(rows) - 1)
+    fp &= (1 << bits) - 1
+    if len(split):
+        at = np.minimum(np.searchsorted(split, fp), len(split) - 1)
+        fp = np.where(split[at] == fp, fp ^ fingerprints(*shingle_sets(data, rows, key=1), len(rows) - 1)[1], fp)
+    return r, h, n, fp
+
+
 def signatures(r: np.ndarray, h: np.ndarray, n_rows: int) -> list[bytes]:
     """Bitmaps of the sets' hashes. The bits in which two differ each stand for a shingle that only one of them has."""
     n = np.bincount(r, minlength=n_rows)
@@ -116,58 +136,67 @@ def signatures(r: np.ndarray, h: np.ndarray, n_rows: int) -> list[bytes]:
     return out
 
 
-def _scan(batches):
+def _scan(bits: int):
     """Documents' fingerprints and signatures, and counts of the shingles that are frequent in a window of the task's classes."""
-    seen, held, size = set(), [], 0
-
-    def flush():
-        h, counts = np.unique(np.concatenate(held), return_counts=True)
-        often = counts >= 2
-        return h[often].view(np.int64), counts[often]
-
-    def out(ids, fp, n, signs, shingle, count):
-        k = len(shingle)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.concat_arrays([ids, pa.nulls(k, ids.type)]),
-                pa.array(np.concatenate((fp, np.zeros(k, np.int64)))),
-                pa.array(np.concatenate((n, np.zeros(k, np.int64)))),
-                pa.array([*signs, *[None] * k], pa.binary()),
-                pa.array(np.concatenate((np.zeros(len(fp), np.int64), shingle))),
-                pa.array(np.concatenate((np.zeros(len(fp), np.int64), count.astype(np.int64)))),
-            ],
-            ["doc_id", "fp", "n", "sign", "shingle", "count"],
-        )
-
-    none = np.zeros(0, np.int64)
-    last = None
-    for batch in batches:
-        last = batch.column(0)
-        for at, data, rows in text_chunks(batch.column(1)):
-            k = len(rows) - 1
-            r, h = shingle_sets(data, rows)
-            n, fp = fingerprints(r, h, k)
-            yield out(batch.column(0).slice(at, k), fp, n, signatures(r, h, k), none, none)
-            fresh = _fresh(fp, n, seen)
-            held.append(h[fresh[r]])
-            size += len(held[-1])
-            if size >= WINDOW:
-                yield out(batch.column(0).slice(0, 0), none, none, [], *flush())
-                held, size = [], 0
-    if held:
-        yield out(last.slice(0, 0), none, none, [], *flush())
 
+    def run(batches):
+        seen, held, size = _Seen(), [], 0
+
+        def flush():
+            h, counts = np.unique(np.concatenate(held), return_counts=True)
+            often = counts >= 2
+            return h[often].view(np.int64), counts[often]
+
+        def out(ids, fp, other, n, signs, shingle, count):
+            k = len(shingle)
+            none = np.zeros(k, np.int64)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([ids, pa.nulls(k, ids.type)]),
+                    *[pa.array(np.concatenate((x, none))) for x in (fp, other, n)],
+                    pa.array([*signs, *[None] * k], pa.binary()),
+                    pa.array(np.concatenate((np.zeros(len(fp), np.int64), shingle))),
+                    pa.array(np.concatenate((np.zeros(len(fp), np.int64), count.astype(np.int64)))),
+                ],
+                ["doc_id", "fp", "other", "n", "sign", "shingle", "count"],
+            )
+
+        none = np.zeros(0, np.int64)
+        last = None
+        for batch in batches:
+            last = batch.column(0)
+            for at, data, rows in text_chunks(batch.column(1)):
+                k = len(rows) - 1
+                r, h, n, fp = classes(data, rows, none, bits)
+                other = fingerprints(*shingle_sets(data, rows, key=1), k)[1]
+                yield out(batch.column(0).slice(at, k), fp, other, n, signatures(r, h, k), none, none)
+                fresh = seen.fresh(fp, n >= LEAST)
+                held.append(h[fresh[r]])
+                size += len(held[-1])
+                if size >= WINDOW:
+                    yield out(batch.column(0).slice(0, 0), none, none, none, [], *flush())
+                    held, size = [], 0
+        if held:
+            yield out(last.slice(0, 0), none, none, none, [], *flush())
+
+    return released(run)
 
-def _fresh(fp: np.ndarray, n: np.ndarray, seen: set) -> np.ndarray:
-    """Rows whose set isn't empty and that the task hasn't met."""
-    if len(seen) > 1_000_000:
-        seen.clear()
-    fresh = np.zeros(len(fp), bool)
-    for i, (key, size) in enumerate(zip(fp.tolist(), n.tolist(), strict=True)):
-        if size and key not in seen:
-            seen.add(key)
-            fresh[i] = True
-    return fresh
+
+class _Seen:
+    """Classes that a task has met, up to a bound; one that is forgotten only costs work again."""
+
+    def __init__(self):
+        self.held = np.zeros(0, np.int64)
+
+    def fresh(self, fp: np.ndarray, use: np.ndarray) -> np.ndarray:
+        """The first row of each class, of those to use, that the task hasn't met."""
+        out = np.zeros(len(fp), bool)
+        out[np.unique(fp, return_index=True)[1]] = True
+        out &= use
+        if len(self.held):
+            out &= self.held[np.minimum(np.searchsorted(self.held, fp), len(self.held) - 1)] != fp
+        self.held = np.union1d(self.held if len(self.held) < MAX_SEEN else self.held[:0], fp[out])
+        return out
 
 
 def _ordered(r: np.ndarray, h: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,11 +209,11 @@ def _ordered(r: np.ndarray, h: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarra
     return r[order], key[order]
 
 
-def _post(heavy_held, buckets: int):
+def _post(heavy_held, split_held, bits: int, buckets: int):
     """Postings of the classes' prefixes, packed by bucket: shingle, class, and size and place."""
 
     def run(batches):
-        heavy, seen, held, size = heavy_held.value, set(), [], 0
+        heavy, seen, held, size = heavy_held.value, _Seen(), [], 0
 
         def flush():
             key, fp, place = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -199,9 +228,8 @@ def _post(heavy_held, buckets: int):
 
         for batch in batches:
             for _, data, rows in text_chunks(batch.column(0)):
-                r, h = shingle_sets(data, rows)
-                n, fp = fingerprints(r, h, len(rows) - 1)
-                fresh = _fresh(fp, n, seen)
+                r, h, n, fp = classes(data, rows, split_held.value, bits)
+                fresh = seen.fresh(fp, n >= LEAST)
                 use = fresh[r]
                 r, key = _ordered(r[use], h[use], heavy)
                 kept = np.where(fresh, n, 0)
@@ -216,7 +244,7 @@ def _post(heavy_held, buckets: int):
         if size:
             yield from flush()
 
-    return run
+    return released(run)
 
 
 def _shared(bucket: pa.Table) -> pa.Table:
@@ -280,7 +308,7 @@ def _stars(pivots: int):
                 held, size = [], 0
         yield from _pairs_batch(held)
 
-    return run
+    return released(run)
 
 
 def _likeliest(rows: np.ndarray, best: int) -> np.ndarray:
@@ -299,7 +327,7 @@ def _blocks(best: int):
 
     Rows: pivot, s, t, side, fp, label, n, sign; sorted by the first five. With ``best``, of each class only so many.
     """
-    return lambda batches: _paired(batches, best)
+    return released(lambda batches: _paired(batches, best))
 
 
 def _paired(batches, best: int):
@@ -327,8 +355,8 @@ def _paired(batches, best: int):
                 if not inside:
                     ok &= rows[x, 3][:, None] != rows[both, 3][None, :]
                 u, v = np.nonzero(ok)
-                for k in range(0, len(u), max(1, (1 << 20) // int(w))):
-                    p, q = u[k : k + max(1, (1 << 20) // int(w))], v[k : k + max(1, (1 << 20) // int(w))]
+                for k in range(0, len(u), max(1, (1 << 18) // int(w))):
+                    p, q = u[k : k + max(1, (1 << 18) // int(w))], v[k : k + max(1, (1 << 18) // int(w))]
                     apart = np.bitwise_count(own[i + p] ^ bits[q]).sum(axis=1, dtype=np.int64)
                     n1, n2 = rows[x[p], 6], rows[both[q], 6]
                     use = (n1 + n2 - apart) // 2 >= required(n1, n2)
@@ -389,42 +417,90 @@ def _near(batches):
         yield batch.select(["a", "b"]).filter(pa.array((n + m - apart) // 2 >= required(n, m)))
 
 
+def trie(sets: list[np.ndarray]) -> tuple[list[int], list[tuple[int, int, int, int, int]]]:
+    """The sets (ascending arrays) as a prefix tree: their lexicographic order, and the inner nodes, parents first.
+
+    A node is (first, past, depth, least, most): the sets of that range of the order share their first ``depth`` shingles
+    and have ``least`` to ``most`` of them. A node's children are the largest nodes inside its range, and single sets.
+    """
+    order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
+    sizes = [len(sets[i]) for i in order]
+    shared = [0]
+    for i, j in zip(order, order[1:], strict=False):
+        n = min(len(sets[i]), len(sets[j]))
+        differ = np.flatnonzero(sets[i][:n] != sets[j][:n])
+        shared.append(int(differ[0]) if len(differ) else n)
+    nodes, open_ = [], [(0, 0, sizes[0], sizes[0])]
+    for k in range(1, len(order) + 1):
+        depth = shared[k] if k < len(order) else -1
+        first, least, most = k - 1, sizes[k - 1], sizes[k - 1]
+        while open_ and open_[-1][0] > depth:
+            d, first, lo, hi = open_.pop()
+            least, most = min(least, lo), max(most, hi)
+            nodes.append((first, k, d, least, most))
+        if open_ and open_[-1][0] == depth:
+            d, at, lo, hi = open_.pop()
+            open_.append((d, at, min(lo, least), max(hi, most)))
+        else:
+            open_.append((depth, first, least, most))
+        if k < len(order):
+            d, at, lo, hi = open_.pop()
+            open_.append((d, at, min(lo, sizes[k]), max(hi, sizes[k])))
+    return order, sorted((n for n in nodes if n[2] >= 0), key=lambda n: (n[0], -n[1]))
+
+
 def trie_join(pivot: np.ndarray, sets: list[np.ndarray]) -> list[int]:
     """Indices of the sets (ascending arrays) that reach the similarity with the pivot.
 
-    The trie is the sets in lexicographic order with the lengths of the prefixes that neighbours share: a walk in that
-    order visits its paths depth first. ``overlap[d]`` and ``used[d]`` hold, for the path walked so far, how many of its
-    first d shingles are the pivot's, and how many of the pivot's are below or at the d-th.
+    A walk of their prefix tree counts the overlap of a shared path with the pivot once. Below a path with so many shingles
+    of the pivot, a set of some size gets at most what is left of it or of the pivot besides; if no size of a subtree can
+    reach the bound so, the walk passes over the whole subtree.
     """
-    found, size = [], len(pivot)
-    overlap, used = np.zeros(1, np.int64), np.zeros(1, np.int64)
-    path, depth = np.zeros(0, np.uint64), 0
-    for i in sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes()):
-        own = sets[i]
-        need = required(size, len(own))
-        least = min(depth, len(own))
-        differ = np.flatnonzero(path[:least] != own[:least])
-        depth = int(differ[0]) if len(differ) else least
-        # where a shared path is already too poor for this set, its subtree is left without a step
-        reach = overlap[: depth + 1] + np.minimum(len(own) - np.arange(depth + 1), size - used[: depth + 1])
-        if reach.min() < need:
-            path = path[:depth]
-            overlap, used = overlap[: depth + 1], used[: depth + 1]
-            continue
-        path, overlap, used = path[:depth], overlap[: depth + 1], used[: depth + 1]
-        step, alive = 64, True
-        while alive and depth < len(own):
-            part = own[depth : depth + step]
+    if not sets:
+        return []
+    order, nodes = trie(sets)
+    size, found = len(pivot), []
+
+    def walk(own: np.ndarray, depth: int, to: int, overlap: int, used: int, least: int, most: int) -> tuple[int, int] | None:
+        """Overlap and used shingles of the pivot after own[:to]; None if no size between can reach the bound."""
+        step = 64
+        while depth < to:
+            part = own[depth : min(to, depth + step)]
             at = np.searchsorted(pivot, part)
             hit = pivot[np.minimum(at, size - 1)] == part
-            overlap = np.concatenate((overlap, overlap[-1] + np.cumsum(hit)))
-            used = np.concatenate((used, at + hit))
-            path = np.concatenate((path, part))
+            overlap += int(hit.sum())
+            used = int(at[-1] + hit[-1])
             depth += len(part)
-            alive = overlap[-1] + min(len(own) - depth, size - used[-1]) >= need
             step *= 4
-        if alive and overlap[-1] >= need:
-            found.append(i)
+            # the bound is slackest for the size that could use up the pivot exactly
+            n = min(max(depth + size - used, least), most)
+            if overlap + min(n - depth, size - used) < required(size, n):
+                return None
+        return overlap, used
+
+    # nodes above, outermost first: past, depth, overlap, used
+    above: list[tuple[int, int, int, int]] = [(len(order), 0, 0, 0)]
+    at, k = 0, 0
+    while at < len(order):
+        while above[-1][0] <= at:
+            above.pop()
+        _, depth, overlap, used = above[-1]
+        while k < len(nodes) and nodes[k][0] < at:
+            k += 1
+        own = sets[order[at]]
+        if k < len(nodes) and nodes[k][0] == at and nodes[k][2] >= depth and nodes[k][1] <= above[-1][0] and nodes[k][1] > at + 1:
+            _, past, to, least, most = nodes[k]
+            k += 1
+            reached = walk(own, depth, to, overlap, used, least, most)
+            if reached is None:
+                at = past
+            else:
+                above.append((past, to, *reached))
+            continue
+        reached = walk(own, depth, len(own), overlap, used, len(own), len(own))
+        if reached is not None and reached[0] >= required(size, len(own)):
+            found.append(order[at])
+        at += 1
     return found
 
 
@@ -519,7 +595,7 @@ def _count_links(batches):
 def _link_counts(labels: DataFrame, known: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """(fp, n_links) of the classes of components: how many other classes each one links with."""
     members = scratch.keep(labels.select(F.col("v").alias("fp"), "label").join(known.select("fp", "n"), "fp"), "members")
-    sizes = members.groupBy("label").agg(F.count("*").alias("classes"), F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(TRIE_TOKENS))).cast("long").alias("blocks"))
+    sizes = scratch.keep(members.groupBy("label").agg(F.count("*").alias("classes"), F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(TRIE_TOKENS))).cast("long").alias("blocks")), "sizes")
     sized = scratch.keep(members.join(sizes, "label"), "sized")
     held = sized.where("classes > 2").join(sets, "fp").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
     rows = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
@@ -534,56 +610,62 @@ def _bit(ident: Column) -> Column:
     return F.pmod(F.xxhash64(ident), F.lit(FILTER_BITS))
 
 
-def _needed_sets(docs: DataFrame, wanted: DataFrame, heavy_held) -> DataFrame:
+def _needed_sets(docs: DataFrame, wanted: DataFrame, heavy_held, split_held, bits: int) -> DataFrame:
     """(fp, set) of the documents ``wanted`` (fp, doc_id), and of a few more that a fixed-size filter lets through."""
     spark = docs.sparkSession
-    bits = wanted.select(_bit(F.col("doc_id")).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(bit, 64) AS int))")).alias("bits")).toPandas()
+    marked = wanted.select(_bit(F.col("doc_id")).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(bit, 64) AS int))")).alias("bits")).toPandas()
     words_ = np.zeros(FILTER_BITS // 64, np.int64)
-    words_[bits["word"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
+    words_[marked["word"].to_numpy(np.int64)] = marked["bits"].to_numpy(np.int64)
     held = spark.sparkContext.broadcast(words_.view(np.uint64))
 
     def run(batches):
-        heavy, filled, seen = heavy_held.value, held.value, set()
+        heavy, filled, seen = heavy_held.value, held.value, _Seen()
         for batch in batches:
             bit = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
             batch = batch.filter(pa.array((filled[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1))
             for _, data, rows in text_chunks(batch.column(1)):
-                r, h = shingle_sets(data, rows)
-                n, fp = fingerprints(r, h, len(rows) - 1)
-                fresh = _fresh(fp, n, seen)
+                r, h, n, fp = classes(data, rows, split_held.value, bits)
+                fresh = seen.fresh(fp, n > 0)
                 r, key = _ordered(r, h, heavy)
                 ends = np.cumsum(n)
                 yield pa.RecordBatch.from_arrays([pa.array(fp[fresh]), pa.array([key[e - k : e].tobytes() for k, e in zip(n[fresh].tolist(), ends[fresh].tolist(), strict=True)], pa.binary())], ["fp", "set"])
 
-    found = docs.where("doc_id IS NOT NULL").select(_bit(F.col("doc_id")).alias("bit"), "text").mapInArrow(run, "fp long, set binary")
+    found = docs.where("doc_id IS NOT NULL").select(_bit(F.col("doc_id")).alias("bit"), "text").mapInArrow(released(run), "fp long, set binary")
     # a missing id hashes to the seed, 42: texts without any id are picked by their sets
     if not words_[0] >> 42 & 1:
         return found
-    idless = docs.where("doc_id IS NULL").select(_bit(F.col("doc_id")).alias("bit"), "text").mapInArrow(run, "fp long, set binary")
+    idless = docs.where("doc_id IS NULL").select(_bit(F.col("doc_id")).alias("bit"), "text").mapInArrow(released(run), "fp long, set binary")
     return found.union(idless.join(wanted.where("doc_id IS NULL").select("fp"), "fp", "left_semi").dropDuplicates(["fp"]))
 
 
-def ngram_components(docs: DataFrame, scratch: Scratch, count_links: bool = True) -> DataFrame:
+def ngram_components(docs: DataFrame, scratch: Scratch, count_links: bool = True, class_bits: int = CLASS_BITS) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id and n_links of every row; ``docs`` has doc_id and text.
 
     A class is the rows with equal sets, named by its smallest doc_id that isn't null. A row's n_links are the other classes
     that its own reaches the similarity with, all of them: copies of one text are one class, and its copies aren't links.
     Without ``count_links`` the last column is missing and only the links that connect components are found.
-    Sets are of 64-bit hashes of the words' bytes. Texts without words (null and empty ones too) have an empty set and
+    Sets are of 64-bit keyed hashes of the words' bytes; a class is named by 126 bits, and different classes are linked by at
+    least three equal shingles (smaller sets reach the similarity with no other), so no chance collision makes a link. Texts without words (null and empty ones too) have an empty set and
     link with nothing. A component is named by its smallest doc_id that isn't null. Repeated rows and copies share a
     class and so a component. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scan = scratch.keep(docs.mapInArrow(_scan, "doc_id long, fp long, n long, sign binary, shingle long, count long"), "scan")
-    rows = scan.where("count = 0").select("doc_id", "fp", "n")
+    scan = scratch.keep(docs.mapInArrow(_scan(class_bits), "doc_id long, fp long, other long, n long, sign binary, shingle long, count long"), "scan")
+    rows = scan.where("count = 0").select("doc_id", "fp", "n", "other", "sign")
+    double = rows.where("n > 0").groupBy("fp").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo < hi").select("fp").limit(MAX_SPLIT + 1).collect()
+    if len(double) > MAX_SPLIT:
+        raise ValueError(f"over {MAX_SPLIT} classes share their numbers: raise class_bits")
+    split = np.sort(np.array([r[0] for r in double], np.int64))
+    split_held = spark.sparkContext.broadcast(split)
+    if len(split):
+        rows = scratch.keep(rows.join(spark.createDataFrame([(int(x),) for x in split], "fp long").withColumn("twice", F.lit(True)), "fp", "left").select("doc_id", F.when(F.col("twice"), F.col("fp").bitwiseXOR(F.col("other"))).otherwise(F.col("fp")).alias("fp"), "n", "sign"), "rows")
     stats = rows.agg(F.count("*").alias("rows"), F.sum(F.expr(f"CASE WHEN n > 0 THEN n - (({NUM} * n + {DEN - 1}) div {DEN}) + greatest(1, n * {EXTENSION} div 100) END")).alias("postings")).first()
     often = scan.where("count > 0").groupBy("shingle").agg(F.sum("count").alias("count")).where(F.col("count") >= HEAVY_LEAST).orderBy(F.desc("count"), "shingle").limit(MAX_HEAVY)
     heavy_held = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in often.collect()], np.int64).view(np.uint64)))
     buckets = max(1, -(-(stats["postings"] or 0) // BUCKET))
-    packed = docs.select("text").mapInArrow(_post(heavy_held, buckets), "bucket long, packed binary")
+    packed = docs.select("text").mapInArrow(_post(heavy_held, split_held, class_bits, buckets), "bucket long, packed binary")
     shared = scratch.keep(packed.groupBy("bucket").applyInArrow(_shared, "key long, fp long, place long"), "shared")
-    scratch.settle()
     for _ in range(2):
         # the smallest partner of a class has three quarters of its size
         least = F.expr(f"greatest(1, (({NUM} * any_value(shiftright(place, 32)) + {DEN - 1}) div {DEN}) * {EXTENSION} div 100)")
@@ -599,7 +681,7 @@ def ngram_components(docs: DataFrame, scratch: Scratch, count_links: bool = True
     wide = shared.where("key < 0").groupBy("key").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("long").alias("salts")).where("salts > 1")
     ranked = scratch.keep(ranked.join(wide, "key", "left").select("key", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod("fp", "salts")).cast("long").alias("salt"), "fp", "place", "rank"), "ranked")
     scratch.drop(shared)
-    known = scan.where("count = 0 AND n > 0").join(share.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sign").alias("sign"))
+    known = rows.where("n > 0").join(share.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sign").alias("sign"))
     known = scratch.keep(known, "known")
     sets = None
     labels = spark.createDataFrame([], "v long, label long")
@@ -624,22 +706,22 @@ def ngram_components(docs: DataFrame, scratch: Scratch, count_links: bool = True
         if pairs.limit(1).count():
             wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
             wanted = wanted if sets is None else wanted.join(sets, "fp", "left_anti")
-            new = scratch.keep(_needed_sets(docs, wanted.join(known, "fp").select("fp", "doc_id"), heavy_held), "sets")
+            new = scratch.keep(_needed_sets(docs, wanted.join(known, "fp").select("fp", "doc_id"), heavy_held, split_held, class_bits), "sets")
             sets = new if sets is None else sets.union(new)
             linked = scratch.keep(_links(pairs, sets), "links")
             links, tested = links.union(linked), tested.union(pairs)
             labels = components(links, scratch)
-            scratch.settle()
-    classes = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("class_id")).join(labels.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    held = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("class_id")).join(labels.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     names = ["component_id", "class_id"]
     if count_links:
         counts = _link_counts(labels, known, sets, scratch) if sets is not None else spark.createDataFrame([], "fp long, n_links long")
-        classes = classes.join(counts, "fp", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+        held = held.join(counts, "fp", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
         names.append("n_links")
-    classes = scratch.keep(classes, "classes")
-    first = classes.groupBy("label").agg(F.min("class_id").alias("component_id"))
-    named = classes.join(first, "label").select("fp", *names)
-    whole = rows.where("n > 0").join(named, "fp").select("doc_id", F.col("n").alias("n_shingles"), *names)
+    # each side of a join is written before it, so that a large component's or class's rows can be split there
+    held = scratch.keep(held, "classes")
+    first = scratch.keep(held.groupBy("label").agg(F.min("class_id").alias("component_id")), "components")
+    named = scratch.keep(held.join(first, "label").select("fp", *names), "named")
+    whole = rows.where("n > 0").select("doc_id", "fp", F.col("n").alias("n_shingles")).join(named, "fp").select("doc_id", "n_shingles", *names)
     alone = {"n_links": F.lit(0).cast("long")}
     return whole.union(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), *[alone.get(x, F.col("doc_id")).alias(x) for x in names]))
 
@@ -663,9 +745,12 @@ def _families(labelled: DataFrame, scratch: Scratch) -> DataFrame:
 def _cross(members: DataFrame, known: DataFrame, scratch: Scratch, best: int) -> DataFrame:
     """Possible pairs with different labels of each family; with ``best``, of each class so many of a block, the likeliest.
     A large family is blocks of members, and each pair of blocks is a group of rows."""
-    sizes = members.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("blocks"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    # a signature has under eight bits a shingle, and SIGNATURE's bounds
+    own_bytes = F.least(F.greatest("n", F.lit(SIGNATURE[0] // 8)), F.lit(SIGNATURE[1] // 8))
+    members = scratch.keep(members.join(known.select("fp", "n"), "fp"), "members")
+    sizes = members.groupBy("pivot").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum(own_bytes) / F.lit(BLOCK_BYTES))).cast("long").alias("blocks"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
     sizes = scratch.keep(sizes.select("pivot", "blocks"), "sizes")
-    held = members.join(sizes, "pivot").join(known.select("fp", "n", "sign"), "fp").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    held = members.join(sizes, "pivot").join(known.select("fp", "sign"), "fp").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
     rows = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
         "pivot", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"), (F.col("own") > F.col("other")).cast("long").alias("side"), "fp", "label", "n", "sign"
     )

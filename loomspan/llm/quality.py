@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _SPACE, Scratch, lower_ascii, ngram_hashes, small_batches, span_hashes, table, text_chunks, words
+from .common import _SPACE, Scratch, lower_ascii, ngram_hashes, released, span_hashes, table, text_chunks, words
 
 #: Shapes of a byte: a, A, 0, non-ASCII, space, control, and each punctuation mark.
 _SHAPE = np.full(256, 5, np.int64)
@@ -26,7 +26,6 @@ SHAPES = 6 + len(_marks)
 WORD_BITS = 17
 RUNS = 8
 DIM = SHAPES**3 + (1 << WORD_BITS) + RUNS
-SLICES = 16
 #: Labelled rows that the linear model is fitted on, about; counts use all labelled rows.
 SAMPLE = 6000
 CHUNK, CHUNK_ROWS = 1 << 18, 100
@@ -72,12 +71,16 @@ def _small_chunks(column):
 
 
 def _count(batches):
-    """Class counts of the indicators by slices, and the sampled rows' indicators (slice -1). Rows: text, y, sampled."""
+    """Class counts of a task's indicators, and the sampled rows' indicators (packed). Rows: text, y, sampled."""
     counts = np.zeros((2, DIM), np.int64)
+
+    def out(packed, *numbers):
+        return pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), *[pa.array(x, pa.int64()) for x in numbers]], ["packed", "indicator", "neg", "pos"])
+
     for batch in batches:
         y = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         sampled = batch.column(2).to_numpy(zero_copy_only=False)
-        out = []
+        rows_ = []
         for at, data, rows in _small_chunks(batch.column(0)):
             r, f = features(data, rows)
             own = y[at : at + len(rows) - 1]
@@ -85,24 +88,13 @@ def _count(batches):
                 counts[c] += np.bincount(f[own[r] == c], minlength=DIM)
             ends = np.searchsorted(r, np.arange(len(rows)))
             for i in np.flatnonzero(sampled[at : at + len(rows) - 1]):
-                out.append(np.concatenate(([own[i]], f[ends[i] : ends[i + 1]])).astype("<i4").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([-1] * len(out), pa.int64()), pa.array(out, pa.binary())], ["slice", "packed"])
-    size = -(-DIM // SLICES)
-    for s in range(SLICES):
-        part = counts[:, s * size : (s + 1) * size]
-        used = np.flatnonzero(part.any(axis=0))
-        if len(used):
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([np.stack((used, part[0, used], part[1, used])).astype("<i8").tobytes()], pa.binary())], ["slice", "packed"])
-
-
-def _sum(rows: pa.Table) -> pa.Table:
-    """Sum of the sparse counts of a slice; a row for each task that counted."""
-    total = np.zeros((2, -(-DIM // SLICES)), np.int64)
-    for packed in rows.column("packed"):
-        used, neg, pos = np.frombuffer(packed.as_buffer(), "<i8").reshape(3, -1)
-        total[0, used] += neg
-        total[1, used] += pos
-    return pa.table({"slice": pa.array([rows.column("slice")[0].as_py()], pa.int64()), "packed": pa.array([total.tobytes()], pa.binary())})
+                rows_.append(np.concatenate(([own[i]], f[ends[i] : ends[i + 1]])).astype("<i4").tobytes())
+        none = np.zeros(len(rows_), np.int64)
+        yield out(rows_, none - 1, none, none)
+    used = np.flatnonzero(counts.any(axis=0))
+    for i in range(0, len(used), 10_000):
+        part = used[i : i + 10_000]
+        yield out([None] * len(part), part, counts[0, part], counts[1, part])
 
 
 @dataclass
@@ -172,15 +164,14 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = SAMP
         return Model(np.zeros(DIM, np.float32), 0.0, 1.0, float(np.log(p / (1 - p))))
     picked = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < F.lit(min(1 << 30, int((1 << 30) * sample / n)))
     train = docs.select("doc_id", "text").where(~held_out(F.col("doc_id"))).join(known.hint("shuffle_hash"), "doc_id").select("text", "y", picked.alias("sampled"))
-    counted = scratch.keep(train.mapInArrow(_count, "slice long, packed binary"), "counts")
-    sums = counted.where("slice >= 0").groupBy("slice").applyInArrow(_sum, "slice long, packed binary").collect()
-    size = -(-DIM // SLICES)
-    counts = np.zeros((2, size * SLICES), np.float64)
-    for r in sums:
-        counts[:, r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["packed"], np.int64).reshape(2, -1)
-    counts = counts[:, :DIM] + ALPHA
+    counted = scratch.keep(train.mapInArrow(released(_count), "packed binary, indicator long, neg long, pos long"), "counts")
+    sums = counted.where("indicator >= 0").groupBy("indicator").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).toArrow()  # DIM rows at most
+    counts = np.zeros((2, DIM))
+    for c, name in enumerate(("neg", "pos")):
+        counts[c, sums.column("indicator").to_numpy()] = sums.column(name).to_numpy()
+    counts += ALPHA
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    drawn = [np.frombuffer(r["packed"], "<i4") for r in counted.where("slice < 0").limit(2 * sample).collect()]
+    drawn = [np.frombuffer(r["packed"], "<i4") for r in counted.where("indicator < 0").select("packed").limit(2 * sample).collect()]
     drawn.sort(key=lambda x: x.tobytes())
     y = np.array([1.0 if x[0] else -1.0 for x in drawn])
     if len(set(y)) < 2:
@@ -203,7 +194,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     The score uses the text alone; null and empty texts have the model's bias as their margin. Rows without an id aren't
     held out. Repeated rows are scored each; an empty table gives no rows. The model has a fixed size (1.5 MB).
     """
-    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -216,13 +206,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(own.scores(margins))], ["doc_id", "held_out", "score"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(run, f"doc_id {key}, held_out boolean, score double")
+    scored = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(released(run), f"doc_id {key}, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The documents whose score is at least one half, with all their columns."""
-    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -234,7 +223,7 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
                 margins[at : at + len(rows) - 1] = own.margins(r, f, len(rows) - 1)
             yield batch.filter(pa.array(own.scores(margins) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

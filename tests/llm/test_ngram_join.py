@@ -146,6 +146,35 @@ def test_words_and_hashes():
     assert len(set(span_hashes(data, s, e).tolist())) == 6
 
 
+def test_texts_that_collide_in_polynomial_hashes(spark):
+    """Thue-Morse words have equal polynomials modulo 2**64 for any odd multiplier; they are different words."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = [(1, word), (2, other), (3, f"{word} x y z u"), (4, f"{other} x y z u"), (5, word[:8]), (6, other[:8])]
+    assert {r.doc_id: (r.component_id, r.n_links) for r in run(spark, docs).collect()} == {i: (i, 0) for i in range(1, 7)}
+
+
+def test_classes_that_share_a_number_are_told_apart(spark):
+    """With numbers of eight bits most classes share theirs."""
+    docs = near_copies(8, families=8)
+    got = nj.ngram_components(spark.createDataFrame(docs, "doc_id long, text string"), Scratch(spark, "t"), class_bits=8).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(docs)
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == links(docs)
+
+
+def test_prefix_tree_passes_over_subtrees(monkeypatch):
+    """Sets that share a long path without the pivot's shingles cost one step on it, not one each."""
+    pivot = np.arange(1000, 1100, dtype=np.uint64)
+    poor = [np.concatenate((np.arange(90), pivot[i : i + 10])).astype(np.uint64) for i in range(80)]
+    good = [np.sort(np.append(np.delete(pivot, i), 5000 + i)).astype(np.uint64) for i in range(5)]
+    asked = []
+    monkeypatch.setattr(nj, "required", lambda n, m, f=nj.required: asked.append(1) or f(n, m))
+    assert sorted(nj.trie_join(pivot, poor + good)) == [80, 81, 82, 83, 84]
+    assert len(asked) < 40
+
+
 def test_edges(spark):
     long_ = "the same long text again and again " * 4000
     docs = [(1, None), (2, ""), (3, " \n"), (None, "one two three four five six"), (4, "one two three four five six"), (4, "one two three four five six"), (5, long_), (6, long_ + "x")]

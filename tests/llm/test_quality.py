@@ -19,12 +19,12 @@ def test_held_out_accuracy_and_columns(spark):
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(r[0], r[2], None) for r in rows], "doc_id long, quality int, toxic int")
     model = quality.fit(docs, labels, Scratch(spark, "t"))
-    got = {r.doc_id: r for r in quality.score(docs, model).collect()}
+    got = {r.doc_id: r for r in quality.score(docs, model, Scratch(spark, "t")).collect()}
     assert len(got) == len(rows)
     for i, _, y in rows:
         assert got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
         assert got[i].predicted == y == int(got[i].score >= 0.5) and 0 <= got[i].score <= 1
-    assert quality.keep_good(docs, model).count() == sum(r[2] for r in rows)
+    assert quality.keep_good(docs, model, Scratch(spark, "t")).count() == sum(r[2] for r in rows)
 
 
 def test_held_out_labels_are_never_read(spark):
@@ -73,9 +73,9 @@ def test_edges(spark):
     docs = spark.createDataFrame([*[r[:2] for r in rows], (1, None), (None, ""), (None, "x" * 300000), (1, "a")], "doc_id long, text string").selectExpr("*", "1 AS y", "2 AS held_out", "'s' AS score", "true AS sampled")
     labels = spark.createDataFrame([*[(r[0], r[2]) for r in rows], (2, 1), (None, 1), (3, None)], "doc_id long, quality int")
     model = quality.fit(docs, labels, Scratch(spark, "t"))
-    got = quality.score(docs, model).collect()
+    got = quality.score(docs, model, Scratch(spark, "t")).collect()
     assert len(got) == 124 and all(0 <= r.score <= 1 for r in got)
     flat = quality.fit(docs, labels.limit(0), Scratch(spark, "t"))
-    assert {r.score for r in quality.score(docs, flat).collect()} == {0.5}
-    assert quality.score(docs.limit(0), flat).count() == 0
+    assert {r.score for r in quality.score(docs, flat, Scratch(spark, "t")).collect()} == {0.5}
+    assert quality.score(docs.limit(0), flat, Scratch(spark, "t")).count() == 0
     assert quality.fit(docs.limit(0), labels, Scratch(spark, "t")).scores(np.zeros(1))[0] > 0.5
