@@ -22,12 +22,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import give_back, table
+from .common import Scratch, give_back, table
 
 #: Bounds of a task's memory: states of the transducer, remembered pairs and pieces, and bytes of pieces that are remembered.
 MAX_STATES, MAX_PAIRS, MAX_PIECES, MAX_PIECE = 120_000, 200_000, 150_000, 64
 #: Rows of a batch of results.
-OUT_ROWS = 500
+OUT_ROWS = 250
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -323,7 +323,7 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, pattern: str, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Token ids of every whole text, and checksums of the ids and of the decoded bytes.
 
     ``path`` is a rank file that every executor has. Null and empty texts have no tokens. Repeated rows are encoded each;
@@ -358,8 +358,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {key}, n_tokens long, ids_sha256 string, decoded_sha256 string{ids}")
+    return scratch.keep(docs.select(id_col, text_col).mapInArrow(run, f"doc_id {key}, n_tokens long, ids_sha256 string, decoded_sha256 string{ids}"), "tokens")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents"), *default_vocabulary(), with_ids=False)
+    return encode_documents(table(spark, sf_dir, "documents"), *default_vocabulary(), Scratch(spark, "bpe"), with_ids=False)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text that a numpy kernel hashes at once; a longer text is hashed alone.
 CHUNK_BYTES = 1 << 19
 #: Rows of an Arrow batch: what a Python worker and the JVM hold of a task's input at once.
-ARROW_ROWS = 1000
+ARROW_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """While a result is written, Arrow batches are small: texts are long, and the usual 10,000 rows would fill an executor.
+
+    The session has its own setting again afterwards.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key)
+    if not 0 < int(own) <= ARROW_ROWS:
+        spark.conf.set(key, ARROW_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
 class Scratch:
     """Written intermediate tables. They cut lineage and survive lost executors; ``drop`` frees one that is used up."""
 
@@ -44,7 +60,8 @@ class Scratch:
     def keep(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         path = self.path(name)
         writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        with small_batches(self.spark):
+            (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def path(self, name: str) -> str:

@@ -188,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = SAMP
     return Model((w * ratio).astype(np.float32), float(bias), *_logistic(margins, y))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
     """All rows of ``docs`` (id and text) with held_out, score and predicted.
 
     The score uses the text alone; null and empty texts have the model's bias as their margin. Rows without an id aren't
@@ -207,10 +207,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     key = docs.schema["doc_id"].dataType.simpleString()
     scored = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(released(run), f"doc_id {key}, held_out boolean, score double")
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return scratch.keep(scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")), "scores")
 
 
-def keep_good(docs: DataFrame, model: Model) -> DataFrame:
+def keep_good(docs: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
     """The documents whose score is at least one half, with all their columns."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -223,9 +223,10 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
                 margins[at : at + len(rows) - 1] = own.margins(r, f, len(rows) - 1)
             yield batch.filter(pa.array(own.scores(margins) >= 0.5))
 
-    return docs.mapInArrow(released(run), docs.schema)
+    return scratch.keep(docs.mapInArrow(released(run), docs.schema), "good")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score(docs, fit(docs, table(spark, sf_dir, "labels"), Scratch(spark, "quality")))
+    scratch = Scratch(spark, "quality")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels"), scratch), scratch)
