@@ -17,8 +17,8 @@ MIX_FRACTION, MIX_EPOCHS = 0.9, 2
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labelled ones, doesn't reject."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels"), Scratch(spark, "quality"))
-    return quality.keep_good(docs, model)
+    scratch = Scratch(spark, "quality")
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels"), scratch), scratch)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with checksums of the ids and of the bytes that they decode to."""
-    return bpe.encode_documents(docs, *bpe.default_vocabulary())
+    return bpe.encode_documents(docs, *bpe.default_vocabulary(), Scratch(spark, "tokens"))
 
 
 STAGES = [
