@@ -101,6 +101,7 @@ class Fit:
     haplotypes: np.ndarray
     dropped: np.ndarray
     trace: list[float] = field(default_factory=list)
+    whole: np.ndarray | None = None  # each sample's best single state for the whole contig, before states change; -1 if dropped
 
 
 def poisson_binomial(p: np.ndarray) -> np.ndarray:
@@ -247,6 +248,7 @@ def fit(data: Data, seed: int, max_iter: int = 1000, tolerance: float = 1e-4, tr
             break
         e = _update_emissions(data, e, np.repeat(post[:, None], m, axis=1), prior, weight)
     trace.append(-np.inf)
+    single = np.where(dropped, -1, whole.argmax(axis=1))
     # states that change along the markers
     start = np.full(s.count - 2, 1 / (s.count - 2))
     parents = set(data.parents)
@@ -293,7 +295,34 @@ def fit(data: Data, seed: int, max_iter: int = 1000, tolerance: float = 1e-4, tr
         path[i] = data.parents.index(i) if i in parents else viterbi(log_e[i][:, 2:], steps, start) + 2
         founders = np.array([np.flatnonzero(s.members[k]) + 1 for k in path[i]])
         haplotypes[i] = slots(founders)
-    return Fit(float(loglik), iterations, e, jumps, path, haplotypes, dropped, [x for x in trace if np.isfinite(x)])
+    return Fit(float(loglik), iterations, e, jumps, path, haplotypes, dropped, [x for x in trace if np.isfinite(x)], single)
+
+
+def segment_loglik(data: Data, fit_: Fit, start: int, stop: int) -> float:
+    """Log likelihood of the markers from ``start`` to before ``stop``, as if the chain began there in any allowed state."""
+    if not 0 <= start < stop <= data.shape[1]:
+        raise ValueError(f"no markers {start} to {stop}")
+    log_e, allowed = log_emissions(data, fit_.emissions)[:, start:stop], _allowed(data)
+    steps = [transition(data.ploidy, float(j)) for j in fit_.jumps[start : stop - 1]]
+    out = 0.0
+    for i in np.flatnonzero(~fit_.dropped):
+        if i in data.parents:
+            out += float(log_e[i][:, allowed[i]].sum())
+            continue
+        own = log_e[i][:, 2:]
+        f = np.full(own.shape[1], 1 / own.shape[1])
+        for t in range(len(own)):
+            top = own[t].max()
+            f = (f if t == 0 else f @ steps[t - 1]) * np.exp(own[t] - top)
+            out += float(np.log(f.sum()) + top)
+            f /= f.sum()
+    return out
+
+
+def part_logliks(data: Data, fit_: Fit) -> list[float]:
+    """One for each contig of a chain; a contig alone has one."""
+    ends = sorted({*[t + 1 for t in data.conjunctions if t + 1 < data.shape[1]], data.shape[1]})
+    return [segment_loglik(data, fit_, a, b) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def calls(fit_: Fit) -> tuple[np.ndarray, np.ndarray]:

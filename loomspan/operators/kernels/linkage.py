@@ -190,31 +190,48 @@ def _exact(cost):
     return walk[::-1]
 
 
-def _length(walk, cost):
-    return sum(cost[a, r, b, q] for (a, r), (b, q) in zip(walk, walk[1:], strict=False))
-
-
 def _search(cost):
+    """A short walk: insertion along a scaled axis, then turned and shifted stretches while one of them helps.
+
+    A stretch costs the same in either direction, so every move is judged by the few steps at its ends.
+    """
     n = cost.shape[0]
     near = cost.min(axis=(1, 3))
     near = np.minimum(near, near.T)
     np.fill_diagonal(near, 0)
     axis = smacof(near, 1)[0][:, 0]
+    step = cost.tolist()
+
+    def between(a, b):
+        """Cost of the step from a to b; nothing at the walk's ends."""
+        return 0.0 if a is None or b is None else step[a[0]][a[1]][b[0]][b[1]]
+
+    def at(walk, k):
+        return walk[k] if 0 <= k < len(walk) else None
+
+    turned = lambda part: [(c, 1 - r) for c, r in reversed(part)]
     walk: list = []
     for i in np.argsort(axis, kind="stable").tolist():
-        walk = min((walk[:k] + [(i, r)] + walk[k:] for k in range(len(walk) + 1) for r in (0, 1)), key=lambda w: _length(w, cost))
+        added = [(between(at(walk, k - 1), (i, r)) + between((i, r), at(walk, k)) - between(at(walk, k - 1), at(walk, k)), k, r) for k in range(len(walk) + 1) for r in (0, 1)]
+        _, k, r = min(added)
+        walk.insert(k, (i, r))
     better = True
     while better:
         better = False
-        now = _length(walk, cost)
         for i in range(n):
             for j in range(i + 1, n + 1):
-                part, rest = walk[i:j], walk[:i] + walk[j:]
-                turned = [(c, 1 - r) for c, r in part[::-1]]
-                options = [walk[:i] + turned + walk[j:]]
-                if j - i <= 3:
-                    options += [rest[:k] + p + rest[k:] for k in range(len(rest) + 1) for p in (part, turned)]
-                new = min(options, key=lambda w: _length(w, cost))
-                if _length(new, cost) < now - 1e-9:
-                    walk, now, better = new, _length(new, cost), True
+                before, first, last, after = at(walk, i - 1), walk[i], walk[j - 1], at(walk, j)
+                gain = between(before, first) + between(last, after) - between(before, (last[0], 1 - last[1])) - between((first[0], 1 - first[1]), after)
+                if gain > 1e-9:
+                    walk[i:j] = turned(walk[i:j])
+                    better = True
+        for size in (1, 2, 3):
+            for i in range(n - size + 1):
+                part, rest = walk[i : i + size], walk[:i] + walk[i + size :]
+                freed = between(at(walk, i - 1), part[0]) + between(part[-1], at(walk, i + size)) - between(at(rest, i - 1), at(rest, i))
+                options = [(between(at(rest, k - 1), p[0]) + between(p[-1], at(rest, k)) - between(at(rest, k - 1), at(rest, k)), k, t) for t, p in enumerate((part, turned(part))) for k in range(len(rest) + 1)]
+                cheapest, k, t = min(options)
+                if cheapest < freed - 1e-9:
+                    walk = rest[:k] + (turned(part) if t else part) + rest[k:]
+                    better = True
     return walk

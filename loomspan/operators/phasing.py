@@ -11,7 +11,7 @@ from loomspan.operators import windows as W
 from loomspan.operators.kernels import hmm
 
 SCHEMA = """contig string, rep int, seed long, loglik double, iterations int, n_markers int, sample_ix int, sample string, dropped boolean,
-haplotypes array<array<int>>, dosage array<int>, emissions array<array<double>>, jumps array<double>, positions array<long>"""
+haplotypes array<array<int>>, dosage array<int>, emissions array<array<double>>, jumps array<double>, positions array<long>, part_logliks array<double>, single_state int"""
 
 
 def fit_contigs(calls: DataFrame, parents: list[str], ploidy: int, repeats: int = 1, seed: int = 0, min_progeny: int = 30, field: str = "AD", max_iter: int = 1000, conjunctions: tuple[int, ...] = ()) -> DataFrame:
@@ -19,7 +19,7 @@ def fit_contigs(calls: DataFrame, parents: list[str], ploidy: int, repeats: int
 
     A contig's matrix is one group (its size is markers times samples). A contig with fewer than two markers, or fewer
     than ``min_progeny`` progeny, gives no rows. The seed of a fit is a hash of the contig, the repeat and ``seed``; the
-    sample in row 0 carries the emissions and jumps.
+    sample in row 0 carries the emissions, the jumps and the likelihoods of the chain's parts.
     """
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -42,7 +42,7 @@ def fit_contigs(calls: DataFrame, parents: list[str], ploidy: int, repeats: int
             {
                 "contig": contig, "rep": rep, "seed": own, "loglik": fit.loglik, "iterations": fit.iterations, "n_markers": len(markers), "sample_ix": samples["sample_ix"].to_numpy(), "sample": names, "dropped": fit.dropped,
                 "haplotypes": [h.tolist() for h in fit.haplotypes], "dosage": dosage.tolist(), "emissions": [fit.emissions.tolist()] + [None] * (len(names) - 1), "jumps": [fit.jumps.tolist()] + [None] * (len(names) - 1),
-                "positions": [markers["pos"].astype("int64").tolist()] + [None] * (len(names) - 1),
+                "positions": [markers["pos"].astype("int64").tolist()] + [None] * (len(names) - 1), "part_logliks": [hmm.part_logliks(data, fit)] + [None] * (len(names) - 1), "single_state": fit.whole,
             }
         )
 
@@ -54,6 +54,11 @@ def run_rows(fits: DataFrame) -> DataFrame:
     return fits.select("contig", "rep", "seed", "loglik", "iterations", "n_markers").distinct()
 
 
+def part_runs(fits: DataFrame) -> DataFrame:
+    """contig, rep, part, loglik: the likelihood of each contig of a chain in each run, so that its runs can be ranked."""
+    return fits.where("part_logliks IS NOT NULL").select("contig", "rep", F.posexplode("part_logliks").alias("part", "loglik"))
+
+
 def labels(fits: DataFrame) -> DataFrame:
     """contig, rep, label: every founder label of the samples that weren't dropped."""
     return fits.where("NOT dropped").select("contig", "rep", F.explode(F.flatten("haplotypes")).alias("label"))
