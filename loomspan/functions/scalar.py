@@ -203,6 +203,12 @@ def paste(x: Column, sep: str) -> Column:
     return F.array_join(F.transform(x, lambda v: v.cast("string")), sep)
 
 
+def padded(x: Column, width: int, fill: str = "0") -> Column:
+    """A number's text, filled from the left; longer texts stay whole."""
+    text = x.cast("string")
+    return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, fill))
+
+
 def truncated_id(ids: Column, width: int = 128) -> Column:
     """Long joined names keep their first part and count: a____etcN."""
     joined = F.array_join(ids, "____")

@@ -13,6 +13,11 @@ def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, BASES, COMPLEMENTS))
 
 
+def complement(seq: Column) -> Column:
+    """Complements of A, C, G and T; other letters stay."""
+    return F.translate(seq, "ACGT", "TGCA")
+
+
 def gap(size: int, letter: str = "n") -> Column:
     return F.repeat(F.lit(letter), size)
 

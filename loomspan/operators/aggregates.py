@@ -65,3 +65,9 @@ def genotype_classes(df: DataFrame, site: list[str], dosage: str, depth: str, cl
 def bins(length: Column, edges: list[int]) -> Column:
     """Number of the fixed bin: how many edges are at or below the length."""
     return sum(((length >= e).cast("int") for e in edges), F.lit(0)).cast("long")
+
+
+def log_sum_exp(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """ln of the sum of exponentials of a group, from its largest value; both passes are partial sums."""
+    top = df.groupBy(*keys).agg(F.max(value).alias("_top"))
+    return df.join(top, keys).groupBy(*keys).agg((F.first("_top") + F.ln(F.sum(F.exp(F.col(value) - F.col("_top"))))).alias(name))

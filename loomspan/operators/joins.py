@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 from loomspan.operators.numbering import global_index
 
 
+#: Rows of a dimension that is paired with itself.
+MAX_PAIRED = 5000
+
+
 def pairs(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """All unordered pairs a < b of a small dimension (contigs, groups): its callers bound its rows, and it is broadcast."""
+    """All unordered pairs a < b of a small dimension (contigs, groups), which is broadcast; a larger table is refused."""
+    if df.limit(MAX_PAIRED + 1).count() > MAX_PAIRED:
+        raise ValueError(f"all pairs of over {MAX_PAIRED} rows: join on what the rows share instead")
     a = df.select(*[F.col(c).alias(f"{c}_a") for c in cols])
     b = df.select(*[F.col(c).alias(f"{c}_b") for c in cols])
     return a.join(F.broadcast(b), F.col(f"{key}_a") < F.col(f"{key}_b"))
@@ -26,15 +32,9 @@ def shared_members(df: DataFrame, group: str, member: str, extra: list[str] | No
 
 
 def band(df: DataFrame, part: list[str], ix: str, last: str, cols: list[str]) -> DataFrame:
-    """Each row with the rows after it up to its own ``last``: an equi-join on the group with a range on the index."""
-    a = df.select(*part, F.col(ix).alias("u"), F.col(last).alias("_last"), *[F.col(c).alias(f"{c}_u") for c in cols])
-    b = df.select(*part, F.col(ix).alias("v"), *[F.col(c).alias(f"{c}_v") for c in cols])
-    return a.join(b, part).where((F.col("v") > F.col("u")) & (F.col("v") <= F.col("_last"))).drop("_last")
-
-
-def band_by_offset(df: DataFrame, part: list[str], ix: str, last: str, widest: int, cols: list[str]) -> DataFrame:
-    """As ``band`` where no window is wider than ``widest``: an equi-join on (group, index) after exploding the offsets."""
-    reach = F.sequence(F.col(ix) + 1, F.least(F.col(last), F.col(ix) + widest))
+    """Each row with the rows after it up to its own ``last`` (numbers without gaps): an equi-join on (group, index) after
+    exploding a row's reach, so no more rows are made than there are pairs, and a long group isn't one key."""
+    reach = F.sequence(F.col(ix) + 1, F.col(last).cast(df.schema[ix].dataType))
     a = df.where(F.col(last) > F.col(ix)).select(*part, F.col(ix).alias("u"), F.explode(reach).alias("v"), *[F.col(c).alias(f"{c}_u") for c in cols])
     b = df.select(*part, F.col(ix).alias("v"), *[F.col(c).alias(f"{c}_v") for c in cols])
     return a.join(b, [*part, "v"])
@@ -71,12 +71,15 @@ def zipped(left: DataFrame, right: DataFrame, left_order: list, right_order: lis
 
 
 def subsets_removed(sets: DataFrame, key: str, member: str) -> DataFrame:
-    """Keys whose members aren't a proper subset of another's (of equal sets the smallest key stays)."""
+    """Keys whose members aren't a proper subset of another's (of equal sets the smallest key stays).
+
+    A set that holds another holds its rarest member too, so only the sets with that member are compared with it.
+    """
     rows = sets.select(key, member).distinct()
-    sizes = rows.groupBy(key).agg(F.count("*").alias("size"))
-    a = rows.select(F.col(key).alias("a"), member)
-    b = rows.select(F.col(key).alias("b"), member)
-    common = a.join(b, member).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("common"))
-    inside = common.join(sizes.select(F.col(key).alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col(key).alias("b"), F.col("size").alias("nb")), "b")
-    gone = inside.where((F.col("common") == F.col("na")) & ((F.col("nb") > F.col("na")) | (F.col("b") < F.col("a"))))
-    return sizes.join(gone.select(F.col("a").alias(key)).distinct(), key, "left_anti")
+    often = rows.groupBy(member).agg(F.count("*").alias("often"))
+    held = rows.join(often, member).groupBy(key).agg(F.min_by(member, F.struct("often", member)).alias("rare"), F.array_sort(F.collect_list(member)).alias("members"))
+    small = held.select(F.col(key).alias("a"), F.col("rare").alias(member), F.col("members").alias("ma"))
+    large = rows.join(held.select(key, F.col("members").alias("mb")), key).withColumnRenamed(key, "b")
+    larger = (F.size("mb") > F.size("ma")) | (F.size("mb") == F.size("ma")) & (F.col("b") < F.col("a"))
+    gone = small.join(large, member).where(larger & (F.size(F.array_except("ma", "mb")) == 0))
+    return held.select(key, F.size("members").cast("long").alias("size")).join(gone.select(F.col("a").alias(key)).distinct(), key, "left_anti")

@@ -5,12 +5,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomspan.functions import scalar as X
 from loomspan.operators import windows as W
 from loomspan.operators.grouping import connected_components
 from loomspan.operators.kernels import linkage
+from loomspan.operators.numbering import global_index
 
 RF = [f"rf_{o}" for o in ("ss", "se", "es", "ee")]
 #: Fractions up to which ends are joined, and contigs are grouped: half of tanh(0.6) and tanh(1).
@@ -67,7 +67,7 @@ def linkage_groups(pairs: DataFrame, contigs: DataFrame, max_rf: float = GROUP_R
     alone = contigs.select("contig").join(split.select("contig"), "contig", "left_anti").select("contig", F.col("contig").alias("name"))
     groups = split.union(alone)
     sizes = groups.groupBy("name").agg(F.count("*").alias("n"), F.min("contig").alias("first"))
-    ranked = sizes.withColumn("lg", F.row_number().over(Window.orderBy(F.desc("n"), "first")).cast("long"))
+    ranked = global_index(sizes, [F.desc("n"), "first"], "lg").withColumn("lg", F.col("lg") + 1)
     return groups.join(ranked.select("name", "lg"), "name").select("contig", "lg")
 
 
@@ -112,7 +112,7 @@ def neighbour_scaffolds(pairs: DataFrame, neighbours: int = 3) -> DataFrame:
     near = W.with_ties(both, ["a"], F.col("rf_min"), neighbours).select("a", "b")
     sets = near.union(near.select("a", F.col("a").alias("b"))).distinct()
     kept = sets.join(subsets_removed(sets, "a", "b").select("a"), "a", "left_semi").select(F.col("a").alias("cluster"), F.col("b").alias("contig"))
-    ids = kept.select("cluster").distinct().withColumn("lg", F.row_number().over(Window.orderBy("cluster")).cast("long"))
+    ids = global_index(kept.select("cluster").distinct(), ["cluster"], "lg").withColumn("lg", F.col("lg") + 1)
     ordered = ordered_groups(pairs, kept.join(ids, "cluster").select("contig", "lg"))
     return ordered.join(ids, "lg").select("cluster", "ord", "contig", "reversed", "cm")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import lru_cache
-from math import comb, lgamma
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -24,33 +24,53 @@ def expected(ploidy: int, dosage_a: int, dosage_b: int) -> tuple[float, ...]:
     return tuple(np.convolve(gamete(dosage_a), gamete(dosage_b)))
 
 
-def _compositions(n: int, k: int):
-    if k == 1:
-        yield (n,)
-        return
-    for first in range(n + 1):
-        for rest in _compositions(n - first, k - 1):
-            yield (first, *rest)
+#: Compositions of a count that the exact test lists at most (16 bytes each); above it the test draws so many.
+EXACT, DRAWS = 1_000_000, 100_000
 
 
-def multinomial_p(counts: list[int], ratio: tuple[float, ...], exact: int = 20_000, draws: int = 20_000, seed: int = 1) -> float:
-    """Probability of counts at most as likely as these: by enumeration, or by seeded draws where there are too many."""
+def _log_factorial(n: int) -> np.ndarray:
+    return np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, n + 1)))))
+
+
+@lru_cache(maxsize=8)
+def _outcomes(n: int, ratio: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Log likelihoods of all ways to deal n over the classes, ascending, and their running probability."""
+    factorial = _log_factorial(n)
+    left, value = np.array([n]), np.array([factorial[n]])
+    for p in ratio[:-1]:
+        row = np.repeat(np.arange(len(left)), left + 1)
+        own = np.arange(len(row)) - np.repeat(np.cumsum(left + 1) - left - 1, left + 1)
+        value = value[row] - factorial[own] + own * np.log(p)
+        left = left[row] - own
+    value = np.sort(value - factorial[left] + left * np.log(ratio[-1]))
+    return value, np.cumsum(np.exp(value))
+
+
+def multinomial_p(counts: np.ndarray, ratio: tuple[float, ...], exact: int = EXACT, draws: int = DRAWS, seed: int = 1) -> np.ndarray | float:
+    """For each row of counts (all of one sum), or for one list of them, the probability of counts at most as likely.
+
+    All outcomes are listed, once for all rows. ``exact`` bounds their number: a larger sum has so many ``draws`` with that
+    seed instead, and its probability a standard error of at most half of their inverse root.
+    """
+    one = np.ndim(counts) == 1
+    counts = np.atleast_2d(np.asarray(counts, np.int64))
     use = [i for i, p in enumerate(ratio) if p > 0]
-    if any(counts[i] for i in range(len(ratio)) if i not in use):
-        return 0.0
-    n, p = sum(counts), np.array([ratio[i] for i in use])
-    log_p = np.log(p)
+    none = np.delete(counts, use, axis=1).any(axis=1)
+    own, part, n = counts[:, use], tuple(ratio[i] for i in use), int(counts[0].sum())
+    factorial = _log_factorial(n)
 
     def log_lik(c):
-        c = np.asarray(c, float)
-        return lgamma(n + 1) - np.array([lgamma(x + 1) for x in c]).sum() + (c * log_p).sum()
+        return factorial[n] - factorial[c].sum(axis=1) + c @ np.log(part)
 
-    own = log_lik([counts[i] for i in use])
+    at = log_lik(np.where(none[:, None], 0, own)) + 1e-9
     if comb(n + len(use) - 1, len(use) - 1) <= exact:
-        return float(min(1.0, sum(np.exp(x) for c in _compositions(n, len(use)) if (x := log_lik(c)) <= own + 1e-9)))
-    drawn = np.random.default_rng(seed).multinomial(n, p, draws)
-    table, times = np.unique(drawn, axis=0, return_counts=True)
-    return float((sum(t for c, t in zip(table, times, strict=True) if log_lik(c) <= own + 1e-9) + 1) / (draws + 1))
+        value, below = _outcomes(n, part)
+        found = np.concatenate(([0.0], below))[np.searchsorted(value, at, side="right")]
+    else:
+        drawn = np.sort(log_lik(np.random.default_rng(seed).multinomial(n, np.array(part) / sum(part), draws)))
+        found = (np.searchsorted(drawn, at, side="right") + 1) / (draws + 1)
+    found = np.where(none, 0.0, np.minimum(found, 1.0))
+    return float(found[0]) if one else found
 
 
 def segregation_test(sites: DataFrame, ploidy: int, counts: str = "counts", dosage_a: str = "dosage_a", dosage_b: str = "dosage_b") -> DataFrame:
@@ -58,7 +78,14 @@ def segregation_test(sites: DataFrame, ploidy: int, counts: str = "counts", dosa
 
     @F.pandas_udf("double")
     def p(c: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([multinomial_p([int(x) for x in n], expected(ploidy, int(i), int(j))) for n, i, j in zip(c, a, b, strict=True)], dtype=float)
+        rows = np.stack(c.to_list()).astype(np.int64) if len(c) else np.zeros((0, ploidy + 1), np.int64)
+        keys = np.stack((a.to_numpy(np.int64), b.to_numpy(np.int64), rows.sum(axis=1)), axis=1)
+        out = np.zeros(len(rows))
+        for i, j, n in np.unique(keys, axis=0).tolist():
+            at = np.flatnonzero((keys == (i, j, n)).all(axis=1))
+            different, back = np.unique(rows[at], axis=0, return_inverse=True)
+            out[at] = multinomial_p(different, expected(ploidy, i, j))[back.ravel()]
+        return pd.Series(out)
 
     return sites.withColumn("p", p(F.col(counts), F.col(dosage_a), F.col(dosage_b)))
 

@@ -20,11 +20,21 @@ def pair_rates(fits: DataFrame, parents: list[str], markers: int = 30, bp: int =
     """contig, u, v, rf, bp, m: mean over runs of the part of haplotypes that differ, for v in u's window."""
     sites = W.forward_bound(marker_table(fits), ["contig"], "pos", markers, bp)
     pairs = J.band(sites, ["contig"], "ix", "last", ["pos", "m"])
+    columns = state_columns(fits, parents)
+    of = lambda x: columns.select("contig", "rep", F.col("ix").alias(x), F.col("states").alias(f"s{x}"))
+    met = pairs.join(of("u"), ["contig", "u"]).join(of("v"), ["contig", "rep", "v"])
+    jumps = F.aggregate(F.zip_with("su", "sv", lambda a, b: (a != b).cast("int")), F.lit(0), lambda s, x: s + x)
+    rate = met.groupBy("contig", "u", "v").agg(F.avg(jumps / F.size("su")).alias("rf"), F.first("pos_u").alias("pu"), F.first("pos_v").alias("pv"), F.first("m_u").alias("m"))
+    return rate.select("contig", "u", "v", "rf", F.abs(F.col("pv") - F.col("pu")).alias("bp"), "m")
+
+
+def state_columns(fits: DataFrame, parents: list[str]) -> DataFrame:
+    """contig, rep, ix, states: the founders of all progeny's haplotypes at one marker, so that a pair of markers meets in
+    two short arrays, however long the contig."""
     rows = fits.where("NOT dropped").where(~F.col("sample").isin(parents)).select("contig", "rep", "sample", F.posexplode("haplotypes").alias("slot", "s"))
-    # the pairs of a contig meet each haplotype once; both states come from its own array
-    met = pairs.join(rows, "contig").select("contig", "u", "v", "pos_u", "pos_v", "m_u", "rep", (F.get("s", F.col("u").cast("int")) != F.get("s", F.col("v").cast("int"))).cast("int").alias("jump"))
-    own = met.groupBy("contig", "u", "v", "rep").agg(F.avg("jump").alias("rate"), F.first("pos_u").alias("pu"), F.first("pos_v").alias("pv"), F.first("m_u").alias("m"))
-    return own.groupBy("contig", "u", "v").agg(F.avg("rate").alias("rf"), F.first(F.abs(F.col("pv") - F.col("pu"))).alias("bp"), F.first("m").alias("m"))
+    cells = rows.select("contig", "rep", "sample", "slot", F.posexplode("s").alias("ix", "state"))
+    held = cells.groupBy("contig", "rep", F.col("ix").cast("long").alias("ix")).agg(F.array_sort(F.collect_list(F.struct("sample", "slot", "state"))).alias("x"))
+    return held.select("contig", "rep", "ix", F.transform("x", lambda c: c["state"]).alias("states"))
 
 
 def contig_maps(fits: DataFrame, parents: list[str], markers: int = 30, bp: int = 10_000) -> DataFrame:
@@ -44,5 +54,6 @@ def breakpoints(fits: DataFrame, parents: list[str], threshold: float = 0.1, mar
     near = rates.where((F.col("v") == F.col("u") + 1) & (F.col("rf") > threshold)).select("contig", F.col("u").alias("j"), F.col("rf").alias("own"))
     up = sites.select("contig", F.col("ix").alias("j"), "first", F.col("pos").alias("left"))
     down = sites.select("contig", (F.col("ix") - 1).alias("j"), "last", F.col("pos").alias("right"))
-    around = near.join(up, ["contig", "j"]).join(down, ["contig", "j"]).join(rates, "contig").where("u <= j AND u >= first AND v > j AND v <= last")
+    spans = near.join(up, ["contig", "j"]).join(down, ["contig", "j"]).withColumn("u", F.explode(F.sequence("first", "j")))
+    around = spans.join(rates.select("contig", "u", "v", "rf"), ["contig", "u"]).where("v > j AND v <= last")
     return around.groupBy("contig", "j", "left", "right", "own").agg(F.min("rf").alias("least")).where(F.col("least") >= threshold).select("contig", "left", "right", F.col("own").alias("rf"))

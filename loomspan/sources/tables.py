@@ -93,6 +93,18 @@ def read_depths(spark: SparkSession, path: str) -> DataFrame:
     return body.join(samples, "file").select("marker_ix", "id", "pos", "sample_ix", F.get("samples", F.col("sample_ix")).alias("sample"), depth(0).alias("ref"), depth(1).alias("alt"))
 
 
+def write_depths(sites: DataFrame, samples: list[str], path: str) -> None:
+    """Depth matrices (the layout of ``read_depths``), a folder a contig. ``sites``: contig, pos, id, calls (gt, ad).
+
+    A contig's matrix is one text, as its readers take it.
+    """
+    cell = lambda c: F.when(c.isNull(), "0,0").otherwise(F.array_join(F.transform(c["ad"], lambda x: x.cast("string")), ","))
+    row = F.concat_ws(" ", "id", F.col("pos").cast("string"), F.lit("A,G"), F.array_join(F.transform("calls", cell), " "))
+    rows = sites.groupBy("contig").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("pos", row.alias("text")))).alias("rows"))
+    head = F.concat_ws("\n", F.lit(str(len(samples))), F.col("n").cast("string"), F.lit(" ".join(samples)), F.lit("#"), F.lit("#"))
+    rows.select("contig", F.concat_ws("\n", head, F.array_join(F.transform("rows", lambda r: r["text"]), "\n")).alias("value")).repartition("contig").write.partitionBy("contig").text(path)
+
+
 def read_run_details(spark: SparkSession, path: str) -> DataFrame:
     """'##key: value' lines of each file as a map."""
     rows = spark.read.text(path).select(F.input_file_name().alias("file"), F.regexp_extract("value", r"^#*\s*(\w+)\s*:\s*(.*)$", 1).alias("k"), F.regexp_extract("value", r"^#*\s*(\w+)\s*:\s*(.*)$", 2).alias("v")).where("k <> ''")
@@ -112,9 +124,12 @@ def read_barcodes(spark: SparkSession, path: str, seed: int, skip: int = 16) ->
 
 
 def read_config(spark: SparkSession, path: str) -> dict[str, str]:
-    """'K : V' lines of a small file."""
+    """'K : V' lines of a file of settings, all of them; the driver holds it, so one over a megabyte is refused."""
     rows = spark.read.text(path).where(F.col("value").contains(":")).select(F.trim(F.split_part("value", F.lit(":"), F.lit(1))), F.trim(F.regexp_replace("value", "^[^:]*:", "")))
-    return {r[0]: r[1] for r in rows.limit(10_000).collect()}
+    size = spark.read.text(path).agg(F.sum(F.octet_length("value") + 1)).first()[0] or 0
+    if size > 1 << 20:
+        raise ValueError(f"{path} has {size} bytes: too many for settings")
+    return {r[0]: r[1] for r in rows.collect()}
 
 
 def total_cm(spark: SparkSession, path: str) -> DataFrame:

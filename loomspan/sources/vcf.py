@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from loomspan.functions import sequences as S
 from loomspan.operators import filters as P
+from loomspan.operators.numbering import global_index
 
 FIXED = ("CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT")
 
@@ -128,6 +129,20 @@ def write_vcf(sites: DataFrame, samples: list[str], path: str, compression: str
     vcf_lines(sites, samples).write.option("compression", compression).text(path)
 
 
+def append_vcf(sites: DataFrame, samples: list[str], path: str) -> None:
+    """Rows without a header beside those that ``path`` holds."""
+    vcf_lines(sites, samples).where(~F.col("value").startswith("#")).write.mode("append").text(path)
+
+
+def reformatted_pl(gt: Column) -> Column:
+    """Phred values that the reformatter of a tetraploid caller's output gives a call: 0 at its class and 255 elsewhere.
+
+    The call with four alternatives has the values of the one with three, as the format's users expect.
+    """
+    dosage = F.size(F.filter(F.split(gt, "/"), lambda a: a == "1"))
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.when(i == F.least(dosage, F.lit(3)), "0").otherwise("255")), ",")
+
+
 def split_contigs(sites: DataFrame, errors: DataFrame) -> DataFrame:
     """Contigs with breakpoints become contig_1, contig_2, ...; only these are returned."""
     from loomspan.operators.joins import sub_contig
@@ -151,4 +166,4 @@ def read_collection(spark: SparkSession, path: str, contigs: list[str] | None =
 def catalog(calls: DataFrame) -> DataFrame:
     """Contigs with their markers, largest first; ties by name."""
     sizes = calls.groupBy("contig").agg(F.countDistinct("pos").alias("n_markers"))
-    return sizes.withColumn("ix", F.row_number().over(Window.orderBy(F.desc("n_markers"), "contig")))
+    return global_index(sizes, [F.desc("n_markers"), "contig"], "ix").withColumn("ix", F.col("ix") + 1)
