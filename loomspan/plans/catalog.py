@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomspan.functions import scalar as X
 from loomspan.functions import sequences as S
@@ -17,6 +16,7 @@ from loomspan.operators import joins as J
 from loomspan.operators import sets as U
 from loomspan.operators import twopoint
 from loomspan.operators import windows as W
+from loomspan.operators.numbering import global_index
 from loomspan.plans.views import CALLS_SQL, ENDS_SQL, MARKERS_SQL, PAIRS_SQL, RUNS_SQL, VARIANTS_SQL, calls, ends, markers, runs, supplier_pairs, table, variants
 
 QUERIES: dict = {}
@@ -59,7 +59,7 @@ def range_scan(spark, d):
 @query("SELECT p_brand AS contig, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, p_brand) AS BIGINT) AS ix FROM part GROUP BY p_brand")
 def catalog_sizes(spark, d):
     sizes = A.group_sizes(table(spark, d, "part").withColumnRenamed("p_brand", "contig"), "contig")
-    return W.ranked(sizes, [], [F.desc("n"), "contig"], "ix")
+    return global_index(sizes, [F.desc("n"), "contig"], "ix").withColumn("ix", F.col("ix") + 1)
 
 
 @query("WITH s AS (SELECT p_brand AS contig, row_number() OVER (ORDER BY count(*) DESC, p_brand) AS ix FROM part GROUP BY p_brand) SELECT contig, p_partkey AS pos FROM part JOIN s ON contig = p_brand WHERE ix IN (1, 3, 5)")
@@ -122,9 +122,9 @@ def having_min_count(spark, d):
     return P.having_count(table(spark, d, "events"), ["user_id"], 70)
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def semi_targets(spark, d):
-    return P.keep_in(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return P.keep_in(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
@@ -317,11 +317,6 @@ def weighted_loglik(spark, d):
     return A.weighted_log_likelihood(rows, ["contig"], "role", "loglik", 30, "GT").select("contig", F.floor(X.micro(F.col("loglik")) / 1000).cast("long").alias("loglik"))
 
 
-@query("SELECT site, sample, n FROM (SELECT l_partkey AS site, l_suppkey % 10 AS sample, CAST(sum(l_quantity) AS BIGINT) AS n FROM lineitem GROUP BY ALL)")
-def merge_duplicate_samples(spark, d):
-    return table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("site"), (F.col("l_suppkey") % 10).alias("sample")).agg(F.sum("l_quantity").cast("long").alias("n"))
-
-
 # pairs and recombination
 
 
@@ -378,17 +373,12 @@ def lod_scores(spark, d):
     return supplier_pairs(spark, d).select("a", "b", X.lod(F.col("rf"), F.col("n")).alias("lod")).select("a", "b", *micro("lod"))
 
 
-@query(f"WITH p AS ({PAIRS_SQL}), q AS (SELECT *, least(greatest(rf, 1e-7), 0.4999999) AS t FROM p), l AS (SELECT a, b, n, rf, {_LOD} AS lod FROM q) SELECT a, b, common, {micro_sql('l.rf')} AS rf FROM l JOIN p USING (a, b) WHERE NOT (l.rf > 0.49 OR l.lod < 0.01)")
+@query(f"WITH p AS ({PAIRS_SQL}), m AS (SELECT quantile_disc(rf, 0.6) AS cut FROM p) SELECT a, b, common, {micro_sql('rf')} AS rf FROM (SELECT *, least(greatest(rf, 1e-7), 0.4999999) AS t FROM p), m WHERE NOT (rf > cut OR {_LOD} < 0.01)")
 def edge_filter(spark, d):
+    """Pairs up to the fraction of six tenths of all, and with some evidence."""
     p = supplier_pairs(spark, d)
-    return p.where(P.linked(F.col("rf"), X.lod(F.col("rf"), F.col("n")), 0.49, 0.01)).select("a", "b", "common", *micro("rf"))
-
-
-@query(f"WITH p AS ({PAIRS_SQL}), s AS (SELECT a, rf FROM p UNION ALL SELECT b, rf FROM p) SELECT a, {micro_sql('min(rf)')} AS least FROM s GROUP BY a HAVING min(rf) > 0.45")
-def chimera(spark, d):
-    p = supplier_pairs(spark, d).select("a", "b", "rf")
-    both = p.select("a", "rf").union(p.select("b", "rf"))
-    return both.groupBy("a").agg(F.min("rf").alias("least")).where("least > 0.45").select("a", *micro("least"))
+    cut = p.agg(F.expr("percentile_disc(0.6) WITHIN GROUP (ORDER BY rf)")).first()[0]
+    return p.where(P.linked(F.col("rf"), X.lod(F.col("rf"), F.col("n")), cut if cut is not None else 1.0, 0.01)).select("a", "b", "common", *micro("rf"))
 
 
 @query(f"WITH p AS ({PAIRS_SQL}), s AS (SELECT a, b, common FROM p UNION ALL SELECT b, a, common FROM p) SELECT a, b, common FROM (SELECT *, rank() OVER (PARTITION BY a ORDER BY -common) AS r FROM s) WHERE r <= 3")
@@ -433,7 +423,7 @@ def phred_likelihood(spark, d):
 
 @query(f"WITH v AS (SELECT user_id, max(value) AS top FROM events GROUP BY user_id) SELECT user_id, {micro_sql('any_value(top) + ln(sum(exp(value - top)))')} // 10 AS lse FROM events JOIN v USING (user_id) GROUP BY user_id")
 def logsumexp(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.collect_list("value").alias("v")).select("user_id", F.floor(X.micro(X.log_sum_exp(F.col("v"))) / 10).cast("long").alias("lse"))
+    return A.log_sum_exp(table(spark, d, "events"), ["user_id"], "value", "lse").select("user_id", F.floor(X.micro(F.col("lse")) / 10).cast("long").alias("lse"))
 
 
 @query("SELECT s_suppkey, CAST(s_suppkey * (s_suppkey - 1) // 2 AS BIGINT) AS pairs, CAST((s_suppkey + 2) * (s_suppkey + 1) * s_suppkey // 6 AS BIGINT) AS multi, CAST(s_suppkey * (s_suppkey + 1) // 2 AS BIGINT) AS triangle FROM supplier")
@@ -446,8 +436,8 @@ def combinatorics(spark, d):
 SELECT a, b, CAST(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] <> y[i])::INT)) AS BIGINT) AS distance FROM n WHERE len(x) = len(y)""")
 def hamming(spark, d):
     states = ends(spark, d).groupBy("sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("contig", "start"))), lambda z: z["start"]).alias("x"))
-    after = Window.orderBy("sample")
-    both = states.select(F.col("sample").alias("a"), F.lead("sample").over(after).alias("b"), "x", F.lead("x").over(after).alias("y"))
+    numbered = global_index(states, ["sample"], "n")
+    both = numbered.select("n", F.col("sample").alias("a"), "x").join(numbered.select((F.col("n") - 1).alias("n"), F.col("sample").alias("b"), F.col("x").alias("y")), "n")
     return both.where(F.size("x") == F.size("y")).select("a", "b", X.hamming(F.col("x"), F.col("y")).cast("long").alias("distance"))
 
 
@@ -607,3 +597,6 @@ def segregation_test(spark, d):
     counts = segregation_counts(spark, d)
     sites = counts.select("site", F.array("class_0", "class_1", "class_2").alias("counts"), F.lit(1).alias("dosage_a"), F.lit(1).alias("dosage_b"))
     return segregation.segregation_test(sites, 2).select("site", *micro("p"))
+
+
+from loomspan.plans import files  # noqa: E402, F401  (registers its queries)

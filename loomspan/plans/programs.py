@@ -7,11 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomspan.functions.scalar import lod
 from loomspan.functions.sequences import wrap
 from loomspan.operators import evaluate, mapping, phasing, simulate, singlepoint, twopoint
+from loomspan.operators.numbering import global_index
 from loomspan.sources import sequences, storage, tables, vcf
 
 
@@ -65,8 +65,8 @@ def linkage_map(pairs: DataFrame, contig_maps: DataFrame, max_rf: float = mappin
     groups = mapping.linkage_groups(pairs, contigs, max_rf, min_lod, one_group)
     if not one_group:
         odd = mapping.chimeras(pairs, groups, max_rf).select("contig")
-        last = groups.agg(F.max("lg").alias("last"))
-        alone = odd.join(F.broadcast(last)).select("contig", (F.col("last") + F.dense_rank().over(Window.orderBy("contig"))).cast("long").alias("lg"))
+        last = groups.agg(F.max("lg")).first()[0] or 0
+        alone = global_index(odd, ["contig"], "n").select("contig", (F.col("n") + 1 + F.lit(last)).alias("lg"))
         groups = groups.join(odd, "contig", "left_anti").union(alone)
     return mapping.assembled_map(mapping.ordered_groups(pairs, groups), mapping.contig_lengths(contig_maps))
 
