@@ -9,8 +9,35 @@ def scan(spark, rows):
     return {(r.path, r.licence, r.licence_from, r.licence_dir) for r in licenses.license_scan(df, Scratch(spark, "t")).collect()}
 
 
+def template(licence, kind):
+    return next(text for name, own, text in licenses.TEMPLATES if (name, own) == (licence, kind))
+
+
+def wrapped(text, prefix, width=60):
+    lines, line = [], ""
+    for word in text.split():
+        if len(line) + len(word) > width:
+            lines.append(line)
+            line = ""
+        line += f" {word}"
+    return "\n".join(prefix + x for x in [*lines, line])
+
+
+def test_whole_wrapped_and_embedded_statements(spark):
+    """Whole licences with their own names in them, notices wrapped as comments, and notices among other lines."""
+    notice = {name: next(t for n, k, t in licenses.TEMPLATES if (n, k) == (name, "header") and len(t) > 200) for name in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1")}
+    rows = [(f"f{i}", " ".join(f"word{i}x{j}" for j in range(40))) for i in range(60)]
+    rows += [(f"{n}/code.c", f"/*\n{wrapped(t, ' * ')}\n */\n\nint main(void) {{ return 0; }}\n") for n, t in notice.items()]
+    rows += [("mit/LICENSE", f"MIT License\n\nCopyright (c) 2020 Some Body\n\n{wrapped(template('MIT', 'file'), '')}\n"), ("b2/LICENSE", f"Copyright 1999 Some Body. All rights reserved.\n{template('BSD-2-Clause', 'file')}"), ("b3/LICENSE", wrapped(template("BSD-3-Clause", "file"), "  "))]
+    rows += [("gpl/COPYING", wrapped(template("GPL-3.0", "opening"), "  ") + "\n" + " ".join(f"clause{i}" for i in range(3000))), ("gpl2/COPYING", template("GPL-2.0", "opening") + "\n" + " ".join(f"clause{i}" for i in range(3000)))]
+    rows += [("cc/a.txt", "Some words\nLicensed under CC BY-NC 4.0.\nand more"), ("cc/b.txt", "Licensed under CC BY-NC-ND 4.0."), ("cc/c.txt", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.")]
+    got = {path: licence for path, licence, origin, _ in scan(spark, rows) if origin == "own"}
+    want = {f"{n}/code.c": n for n in notice} | {"mit/LICENSE": "MIT", "b2/LICENSE": "BSD-2-Clause", "b3/LICENSE": "BSD-3-Clause", "gpl/COPYING": "GPL-3.0", "gpl2/COPYING": "GPL-2.0", "cc/a.txt": "CC-BY-NC-4.0", "cc/b.txt": "CC-BY-NC-ND-4.0", "cc/c.txt": "CC-BY-SA-4.0"}
+    assert got == want
+
+
 def test_own_inherited_and_nearest(spark):
-    mit = licenses.TEMPLATES[7][2]
+    mit = template("MIT", "file")
     rows = [
         ("LICENSE", "Released under the MIT License."),
         ("a/b/COPYING.txt", "Licensed under the Apache License, Version 2.0."),
