@@ -25,6 +25,8 @@ SCALE, TOP, LISTS = 1024, 10, 2
 QUERY_BLOCK, ROWS = 2048, 4096
 #: Below this magnitude, products and sums of scaled components are exact in double precision.
 EXACT = 2.0**53
+#: Bounds beyond it are doubles; what rounding can take from one, relative to its size.
+ROUNDING = 2.0**-48
 
 
 def scaled(values: np.ndarray) -> np.ndarray:
@@ -105,7 +107,8 @@ def _list_scan(queries_held, cutoff_held, most: int):
                 for i in range(0, len(own), ROWS):
                     scores = _products(queries[:, cols], vectors[i : i + ROWS]).astype(np.float64)
                     if cutoffs is not None:
-                        q, c = np.nonzero(scores >= (cutoffs / LISTS)[:, None])
+                        bound = np.where(np.isfinite(cutoffs), cutoffs / LISTS - ROUNDING * np.abs(cutoffs), cutoffs)
+                        q, c = np.nonzero(scores + ROUNDING * np.abs(scores) >= bound[:, None])
                         yield out(q, j, cids[i + c], scores[q, c])
                         continue
                     k = min(most + 1, scores.shape[1])
@@ -146,8 +149,9 @@ def exact_top_k(vectors: DataFrame, scratch: Scratch, k: int = TOP, every: int =
 
     ``vectors`` has vec_id and embedding. Components become floor(1024 x); scores are their integer inner products. A row
     isn't its own query's candidate; ties go to the smaller vec_id. Null and empty vectors, and those with null or
-    non-finite components, take no part, as rows without an id. A repeated id counts once for equal vectors. A table with
-    one usable row gives no rows; other columns are ignored. Vectors must have one length.
+    non-finite components, take no part, as rows without an id. A repeated id counts once for each of its scores. Scores
+    beyond double precision are whole numbers all the same; one beyond 64 bits is an error. A table with one usable row
+    gives no rows; other columns are ignored. Vectors must have one length.
     """
     spark = vectors.sparkSession
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id IS NOT NULL")
@@ -219,7 +223,9 @@ def _block(classes: DataFrame, lists: DataFrame, scratch: Scratch, held, k: int,
     sent = lists.mapInArrow(_list_scan(held, cutoff_held, k), entry)
     bounds = sent.groupBy("q", "cid").agg(F.sum("part").alias("known"), F.count("*").alias("lists"))
     cutoff = spark.createDataFrame([(i, float(c)) for i, c in enumerate(cutoffs)], "q int, cutoff double")
-    able = bounds.join(F.broadcast(cutoff), "q").where(F.col("known") + (LISTS - F.col("lists")) * F.col("cutoff") / LISTS >= F.col("cutoff"))
+    most = F.col("known") + (LISTS - F.col("lists")) * F.col("cutoff") / LISTS
+    slack = F.lit(ROUNDING) * (F.abs("known") + F.abs("cutoff"))
+    able = bounds.join(F.broadcast(cutoff), "q").where((F.col("cutoff") == float("-inf")) | (most + slack >= F.col("cutoff")))
     return scratch.keep(ranked(whole(able.select("q", "cid"))), "block")
 
 
