@@ -79,3 +79,43 @@ def test_edges(spark):
     assert {r.score for r in quality.score(docs, flat, Scratch(spark, "t")).collect()} == {0.5}
     assert quality.score(docs.limit(0), flat, Scratch(spark, "t")).count() == 0
     assert quality.fit(docs.limit(0), labels, Scratch(spark, "t")).scores(np.zeros(1))[0] > 0.5
+
+def test_counts_and_ratios_against_plain_counting(spark, monkeypatch):
+    """With a linear model of ones the coefficients are the log-count ratios."""
+    import math
+
+    docs, labels = [], []
+    for i in range(120):
+        good = i % 2
+        docs.append((i, " ".join(f"{'calm' if good else 'LOUD!!'}{(i * k) % 7} text" for k in range(1, 6 + i % 4))))
+        labels.append((i, good))
+    monkeypatch.setattr(quality, "dual_descent", lambda xs, y, dim, **k: (np.ones(dim), 0.0))
+    spark_docs = spark.createDataFrame(docs, "doc_id long, text string")
+    model = quality.fit(spark_docs, spark.createDataFrame(labels, "doc_id long, quality int"), Scratch(spark, "t"))
+    train = [i for i in range(120) if zlib.crc32(str(i).encode()) % 3 != 1]
+    counts = [[1.0] * quality.DIM, [1.0] * quality.DIM]
+    for i in train:
+        text = docs[i][1].encode()
+        for f in quality.features(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[1].tolist():
+            counts[i % 2][f] += 1
+    totals = [math.fsum(c) for c in counts]
+    want = [math.log(p / totals[1]) - math.log(n / totals[0]) for n, p in zip(*counts, strict=True)]
+    assert np.abs(model.coef - np.array(want)).max() < 1e-5
+
+
+def test_dual_descent_against_a_dense_solver():
+    """The hinge-loss objective of the fitted model is that of long projected gradient steps on the whole dual."""
+    r = np.random.default_rng(3)
+    n, dim = 60, 12
+    dense = np.where(r.random((n, dim)) < 0.4, r.normal(size=(n, dim)), 0)
+    y = np.where(dense[:, 0] + 0.5 * r.normal(size=n) > 0, 1.0, -1.0)
+    xs = [(np.flatnonzero(x), x[x != 0]) for x in dense]
+    w, b = quality.dual_descent(xs, y, dim, epochs=400)
+    full = np.hstack((dense, np.ones((n, 1)))) * y[:, None]
+    gram, alpha = full @ full.T, np.zeros(n)
+    step = 1 / np.linalg.eigvalsh(gram)[-1]
+    for _ in range(60_000):
+        alpha = np.clip(alpha - step * (gram @ alpha - 1), 0, quality.COST)
+    best = full.T @ alpha
+    loss = lambda v: 0.5 * v @ v + quality.COST * np.maximum(0, 1 - full @ v).sum()
+    assert abs(loss(np.append(w, b)) - loss(best)) < 0.01 * loss(best)
