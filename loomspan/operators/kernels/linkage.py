@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 
@@ -31,30 +33,51 @@ def shortest_path(n: int, edges: list[tuple[int, int, float]]) -> tuple[list[int
 def join_ends(contigs: list[str], pairs: list[tuple[str, str, tuple[float, float, float, float]]], threshold: float) -> list[list[tuple[str, bool, float | None]]]:
     """Chains of (contig, reversed, fraction to the next) by repeatedly joining the two nearest free ends.
 
-    ``pairs`` has the fractions (ss, se, es, ee) of a's and b's ends. Only fractions up to the threshold join. Of equal
-    fractions the pair with the smaller sum of its four wins, then the smaller names. The ends inside a chain are used up,
-    so a chain's own fractions are always some of its outer contigs' ends.
+    ``pairs`` has the fractions (ss, se, es, ee) of a's and b's ends. Only fractions up to the threshold join. The ends
+    inside a chain are used up, so a joined chain's four fractions to another are those of its two outer ends, and the
+    queue drops what they aren't. Of equal fractions, pair and orientation are the ones whose two other ends, which stay
+    free, have the least fractions to further ends (their sum); then the smaller names.
     """
     ends = ("s", "e")
-    rf: dict[frozenset, float] = {}
-    total: dict[frozenset, float] = {}
+    near: dict[tuple[str, str], dict[tuple[str, str], float]] = {(c, e): {} for c in contigs for e in ends}
+    queue: list[tuple[float, tuple[str, str], tuple[str, str]]] = []
     for a, b, four in pairs:
         for k, x in enumerate(four):
-            rf[frozenset(((a, ends[k // 2]), (b, ends[k % 2])))] = x
-        total[frozenset((a, b))] = float(np.nansum(four))
+            if x is not None and x == x:
+                p, q = sorted(((a, ends[k // 2]), (b, ends[k % 2])))
+                near[p][q] = near[q][p] = x
+                if x <= threshold:
+                    queue.append((x, p, q))
+    heapq.heapify(queue)
     chain_of = {c: c for c in contigs}
     chains: dict[str, list[tuple[str, bool, float | None]]] = {c: [(c, False, None)] for c in contigs}
 
-    def free(c: str) -> list[tuple[str, str]]:
+    def free(c: str) -> tuple[tuple[str, str], tuple[str, str]]:
         first, last = chains[c][0], chains[c][-1]
-        return [(first[0], "e" if first[1] else "s"), (last[0], "s" if last[1] else "e")]
+        return (first[0], "e" if first[1] else "s"), (last[0], "s" if last[1] else "e")
+
+    def open_(end: tuple[str, str]) -> bool:
+        return end in free(chain_of[end[0]])
+
+    def outward(end: tuple[str, str], other: tuple[str, str]) -> float:
+        """Least fraction of the chain's other end to a free end of a third chain."""
+        first, last = free(chain_of[end[0]])
+        own = {chain_of[end[0]], chain_of[other[0]]}
+        return min((x for q, x in near[last if first == end else first].items() if chain_of[q[0]] not in own and open_(q)), default=float("inf"))
 
-    queue = sorted((x, total[frozenset(c for c, _ in key)], sorted(key)) for key, x in rf.items() if x is not None and x <= threshold)
-    for x, _, ((a, ea), (b, eb)) in queue:
-        ca, cb = chain_of[a], chain_of[b]
-        if ca == cb or (a, ea) not in free(ca) or (b, eb) not in free(cb):
+    while queue:
+        tied = [heapq.heappop(queue)]
+        while queue and queue[0][0] == tied[0][0]:
+            tied.append(heapq.heappop(queue))
+        tied = [t for t in tied if chain_of[t[1][0]] != chain_of[t[2][0]] and open_(t[1]) and open_(t[2])]
+        if not tied:
             continue
-        left, right = chains.pop(ca), chains.pop(cb)
+        best = min(tied, key=lambda t: (outward(t[1], t[2]) + outward(t[2], t[1]), t[1], t[2])) if len(tied) > 1 else tied[0]
+        for t in tied:
+            if t is not best:
+                heapq.heappush(queue, t)
+        x, (a, ea), (b, eb) = best
+        left, right = chains.pop(chain_of[a]), chains.pop(chain_of[b])
         if (left[-1][0], "s" if left[-1][1] else "e") != (a, ea):
             left = _turned(left)
         if (right[0][0], "e" if right[0][1] else "s") != (b, eb):

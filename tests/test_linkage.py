@@ -106,6 +106,17 @@ def test_join_ends_rebuilds_a_row():
     assert len(linkage.join_ends(names, chain(names, flips), 0.01)) == 5
 
 
+def test_ties_go_to_the_pair_whose_other_ends_lead_on():
+    """a's end is as near to both ends of b; only b's start has a neighbour, so b's end is the one to join."""
+    far = 0.5
+    pairs = [("a", "b", (far, far, 0.1, 0.1)), ("b", "c", (0.15, far, far, far)), ("a", "c", (far, far, far, far))]
+    (found,) = linkage.join_ends(["a", "b", "c"], pairs, 0.2)
+    assert [(c, r) for c, r, _ in found] == [("a", False), ("b", True), ("c", False)] and [g for _, _, g in found] == [0.1, 0.15, None]
+    # ends inside a chain are used up: d is near to a's joined end alone
+    pairs += [("a", "d", (far, far, 0.12, 0.12)), ("b", "d", (far,) * 4), ("c", "d", (far,) * 4)]
+    assert [[c for c, _, _ in x] for x in linkage.join_ends(["a", "b", "c", "d"], pairs, 0.2)] == [["a", "b", "c"], ["d"]]
+
+
 @pytest.mark.parametrize("n", [5, 13])
 def test_order_rebuilds_a_row(n):
     r = random.Random(n)
