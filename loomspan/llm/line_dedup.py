@@ -39,7 +39,11 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _in_order(rows: DataFrame, by: list[str], scratch: Scratch, name: str) -> DataFrame:
-    """Distinct rows with ``ix``, their place in the order of ``by``: a range sort, then the sizes of its partitions."""
+    """Distinct rows with ``ix``, their place in the order of ``by``: a range sort, then the sizes of its partitions.
+
+    The rows are written before, since a range sort reads them twice.
+    """
+    rows = scratch.keep(rows, name)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = scratch.keep(rows.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("m", F.monotonically_increasing_id()), name)
     part = F.shiftright("m", 33)
