@@ -142,31 +142,51 @@ def communities(nodes: list, edges: list[tuple], passes: int = 20) -> dict:
         level_edges = [(a, b, w) for (a, b), w in merged.items()]
 
 
-def smacof(distance: np.ndarray, dims: int = 1, rounds: int = 200, seed: int = 0) -> tuple[np.ndarray, float]:
-    """Multidimensional scaling by majorisation, started from classical scaling; the points and their stress."""
+def smacof(distance: np.ndarray, dims: int = 1, rounds: int = 200, seed: int = 0, weights: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Multidimensional scaling by majorisation, started from classical scaling; the points and their stress-1."""
     n = len(distance)
     centre = np.eye(n) - 1 / n
     values, vectors = np.linalg.eigh(-0.5 * centre @ distance**2 @ centre)
     x = vectors[:, ::-1][:, :dims] * np.sqrt(np.maximum(values[::-1][:dims], 0))
     x = x + 1e-9 * np.random.default_rng(seed).normal(size=x.shape)
+    w = np.ones_like(distance) if weights is None else weights.astype(float).copy()
+    np.fill_diagonal(w, 0)
+    inverse = np.linalg.pinv(np.diag(w.sum(axis=1)) - w)
     for _ in range(rounds):
         d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
-        ratio = np.divide(distance, d, out=np.zeros_like(d), where=d > 1e-12)
-        b = -ratio
-        b[np.arange(n), np.arange(n)] = ratio.sum(axis=1)
-        new = b @ x / n
+        b = -w * np.divide(distance, d, out=np.zeros_like(d), where=d > 1e-12)
+        b[np.arange(n), np.arange(n)] = -b.sum(axis=1)
+        new = inverse @ (b @ x)
         if np.abs(new - x).max() < 1e-9:
             break
         x = new
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
-    return x, float(((d - distance) ** 2).sum() / max((distance**2).sum(), 1e-12))
+    return x, float(np.sqrt((w * (d - distance) ** 2).sum() / max((w * d**2).sum(), 1e-12)))
 
 
-def order(contigs: list[str], rf: dict[tuple[str, str], tuple[float, float, float, float]], exact: int = 9) -> list[tuple[str, bool, float]]:
+def scaled_axis(rf: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Places along the main axis of the scaling with the least stress-1 of twelve.
+
+    They are two and three dimensions, weights by the LOD and its square, and distances by either map function or none.
+    """
+    r = np.clip(rf, 0, 0.4999999)
+    maps = (100 * kosambi(r), -50 * np.log(1 - 2 * r), 100 * r)
+    best, points = np.inf, None
+    for distance in maps:
+        for power in (1, 2):
+            for dims in (2, 3):
+                x, stress = smacof(distance, min(dims, len(rf) - 1), weights=np.maximum(score, 1e-6) ** power)
+                if stress < best:
+                    best, points = stress, x
+    points = points - points.mean(axis=0)
+    return points @ np.linalg.svd(points, full_matrices=False)[2][0]
+
+
+def order(contigs: list[str], rf: dict[tuple[str, str], tuple[float, float, float, float]], exact: int = 9, scores: dict[tuple[str, str], float] | None = None) -> list[tuple[str, bool, float]]:
     """(contig, reversed, cM to the next) of the shortest walk through all contigs with either orientation.
 
-    Up to ``exact`` contigs by dynamic programming; more by nearest insertion along a scaled axis, then moves that turn,
-    shift or reverse stretches until none helps.
+    Up to ``exact`` contigs by dynamic programming; more by nearest insertion along a scaled axis (with ``scores``, LODs of
+    the pairs, the best of twelve scalings), then moves that turn, shift or reverse stretches until none helps.
     """
     n = len(contigs)
     cost = np.full((n, 2, n, 2), 25 * np.log((1 + 2 * 0.4999999) / (1 - 2 * 0.4999999)))
@@ -183,7 +203,20 @@ def order(contigs: list[str], rf: dict[tuple[str, str], tuple[float, float, floa
                         cost[i, ri, j, rj] = 100 * kosambi(four[2 * (1 - ri) + rj])
     if n == 1:
         return [(contigs[0], False, 0.0)]
-    walk = _exact(cost) if n <= exact else _search(cost)
+    if n <= exact:
+        walk = _exact(cost)
+    else:
+        axis = None
+        if scores:
+            least, score = np.full((n, n), 0.4999999), np.zeros((n, n))
+            np.fill_diagonal(least, 0)
+            at = {c: i for i, c in enumerate(contigs)}
+            for (a, b), four in rf.items():
+                i, j = at[a], at[b]
+                least[i, j] = least[j, i] = min(four)
+                score[i, j] = score[j, i] = scores.get((a, b), scores.get((b, a), 0.0))
+            axis = scaled_axis(least, score)
+        walk = _search(cost, axis)
     if (contigs[walk[0][0]] > contigs[walk[-1][0]]):
         walk = [(i, 1 - r) for i, r in walk[::-1]]
     return [(contigs[i], bool(r), float(cost[i, r, *walk[k + 1]]) if k + 1 < n else 0.0) for k, (i, r) in enumerate(walk)]
@@ -213,16 +246,17 @@ def _exact(cost):
     return walk[::-1]
 
 
-def _search(cost):
+def _search(cost, axis=None):
     """A short walk: insertion along a scaled axis, then turned and shifted stretches while one of them helps.
 
     A stretch costs the same in either direction, so every move is judged by the few steps at its ends.
     """
     n = cost.shape[0]
-    near = cost.min(axis=(1, 3))
-    near = np.minimum(near, near.T)
-    np.fill_diagonal(near, 0)
-    axis = smacof(near, 1)[0][:, 0]
+    if axis is None:
+        near = cost.min(axis=(1, 3))
+        near = np.minimum(near, near.T)
+        np.fill_diagonal(near, 0)
+        axis = smacof(near, 1)[0][:, 0]
     step = cost.tolist()
 
     def between(a, b):

@@ -81,11 +81,13 @@ def chimeras(pairs: DataFrame, groups: DataFrame, max_rf: float) -> DataFrame:
 def ordered_groups(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """lg, ord, contig, reversed, cm: the shortest walk through each group (cm: to the next contig)."""
     inside = pairs.join(groups.select(F.col("contig").alias("a"), "lg"), "a").join(groups.select(F.col("contig").alias("b"), F.col("lg").alias("other")), "b").where("lg = other")
-    rows = inside.select("lg", "a", "b", *RF).union(groups.select("lg", F.col("contig").alias("a"), F.col("contig").alias("b"), *[F.lit(0.0).alias(r) for r in RF]))
+    lod = F.col("lod") if "lod" in pairs.columns else F.lit(None).cast("double")
+    rows = inside.select("lg", "a", "b", *RF, lod.alias("lod")).union(groups.select("lg", F.col("contig").alias("a"), F.col("contig").alias("b"), *[F.lit(0.0).alias(r) for r in RF], F.lit(None).cast("double")))
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
         rf = {(a, b): tuple(four) for a, b, *four in pdf[["a", "b", *RF]].itertuples(index=False) if a != b}
-        walk = linkage.order(sorted({*pdf.a, *pdf.b}), rf)
+        scores = {(a, b): float(x) for a, b, x in zip(pdf.a, pdf.b, pdf.lod, strict=True) if a != b and x == x}
+        walk = linkage.order(sorted({*pdf.a, *pdf.b}), rf, scores=scores)
         return pd.DataFrame([(key[0], i, c, r, g) for i, (c, r, g) in enumerate(walk)], columns=["lg", "ord", "contig", "reversed", "cm"])
 
     return rows.groupBy("lg").applyInPandas(one, "lg long, ord int, contig string, reversed boolean, cm double")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import logging
+import resource
+import time
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,6 +14,7 @@ from pyspark.sql import functions as F
 from loomspan.operators import windows as W
 from loomspan.operators.kernels import hmm
 
+LOG = logging.getLogger(__name__)
 SCHEMA = """contig string, rep int, seed long, loglik double, iterations int, n_markers int, sample_ix int, sample string, dropped boolean,
 haplotypes array<array<int>>, dosage array<int>, emissions array<array<double>>, jumps array<double>, positions array<long>, part_logliks array<double>, single_state int"""
 
@@ -36,7 +41,9 @@ def fit_contigs(calls: DataFrame, parents: list[str], ploidy: int, repeats: int
         ref[row, col] = pdf["ref_depth"]
         alt[row, col] = pdf["alt_depth"]
         data = hmm.Data(ref, alt, markers["pos"].to_numpy(float), (names.index(parents[0]), names.index(parents[1])), ploidy, conjunctions, field)
+        began = time.monotonic()
         fit = hmm.fit(data, int(own) & 0x7FFFFFFF, max_iter)
+        LOG.info("%s run %d: %d samples, %d markers, %d rounds, %.1f s, %d MB", contig, rep, *data.shape, fit.iterations, time.monotonic() - began, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10)
         dosage, _ = hmm.calls(fit)
         return pd.DataFrame(
             {

@@ -100,3 +100,12 @@ def genotype_text(dosage: Column, ploidy: int) -> Column:
     """0/0, 0/1, ...; dots for a missing call."""
     alleles = F.concat(F.array_repeat(F.lit("0"), F.lit(ploidy) - dosage.cast("int")), F.array_repeat(F.lit("1"), dosage.cast("int")))
     return F.coalesce(F.array_join(alleles, "/"), F.lit("/".join("." * ploidy)))
+
+
+def call_text(dosage: Column, ref: Column, alt: Column, ploidy: int, pl: Column | None = None) -> Column:
+    """GT:AD:DP:GQ:PL of a call. Without likelihoods every other class has 30; with them (0 at the call) GQ is the second."""
+    flat = F.transform(F.sequence(F.lit(0), F.lit(ploidy)), lambda i: F.when(i == dosage, 0).otherwise(30))
+    values = flat if pl is None else pl
+    quality = F.lit(30) if pl is None else X.genotype_quality(pl)
+    texts = [genotype_text(dosage, ploidy), F.concat_ws(",", ref.cast("string"), alt.cast("string")), (ref + alt).cast("string"), quality.cast("string"), X.paste(values, ",")]
+    return F.when(dosage.isNull(), ".").otherwise(F.concat_ws(":", *texts))

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import combinatorics as C
 from loomspan.functions import scalar as X
+from loomspan.operators import filters as P
 from loomspan.operators import runs as R
+from loomspan.operators import sets as U
 from loomspan.operators import windows as W
 from loomspan.plans.catalog import micro, micro_sql, query
-from loomspan.plans.views import CALLS_SQL, ENDS_SQL, MARKERS_SQL, PAIRS_SQL, RUNS_SQL, ends, markers, runs, supplier_pairs, table
+from loomspan.plans.views import CALLS_SQL, ENDS_SQL, MARKERS_SQL, PAIRS_SQL, RUNS_SQL, VARIANTS_SQL, ends, markers, runs, supplier_pairs, table, variants
 from loomspan.sources import sequences, storage, tables, vcf
 
 SAMPLES = [f"S{i}" for i in range(10)]
@@ -505,3 +507,89 @@ def chromosome_file(spark, d):
     from loomspan.operators import simulate
 
     return simulate.chromosome_lines(table(spark, d, "nation").select(F.col("n_name").alias("chrom"), ((F.col("n_nationkey") + 1) * 123_000).alias("length")))
+
+
+# filters and sets that no other query calls
+
+
+@query("SELECT l_suppkey AS sample, count(*) AS missing FROM lineitem WHERE l_quantity < 10 GROUP BY 1 HAVING count(*) <= 155 - 46.5")
+def samples_kept(spark, d):
+    missing = table(spark, d, "lineitem").where("l_quantity < 10").groupBy(F.col("l_suppkey").alias("sample")).agg(F.count("*").alias("missing"))
+    return P.samples_kept(missing, 155)
+
+
+@query("SELECT l_orderkey AS run, count(DISTINCT l_suppkey) AS progeny FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) >= 4")
+def enough_progeny(spark, d):
+    return P.enough_progeny(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_suppkey").alias("sample")), "run", 4)
+
+
+@query("SELECT o_custkey AS run, count(DISTINCT o_orderpriority) AS labels FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) = 5")
+def all_founders(spark, d):
+    return P.all_founders(table(spark, d, "orders").select(F.col("o_custkey").alias("run"), F.col("o_orderpriority").alias("label")), "run", 5)
+
+
+@query("SELECT p_brand, p_partkey, p_size FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n, count(*) OVER (PARTITION BY p_brand) AS m FROM part) WHERE n > 1 AND n < m AND p_size >= 20")
+def inner_fragments(spark, d):
+    return P.inner_fragments(table(spark, d, "part").select("p_brand", "p_partkey", "p_size"), ["p_brand"], ["p_partkey"], F.col("p_size"), 20)
+
+
+@query(f"SELECT site FROM (SELECT site, sum((alt = 0)::INT) AS a, sum((ref > 0 AND alt > 0)::INT) AS b, sum((ref = 0 AND alt > 0)::INT) AS c, count(*) AS n, sum(ref + alt) AS depth FROM ({CALLS_SQL}) GROUP BY site) WHERE a >= 3 AND b >= 5 AND 5 * n >= 50 AND depth / n::DOUBLE / 10 BETWEEN 3 AND 50 AND (a > 0)::INT + (b > 0)::INT + (c > 0)::INT >= 2")
+def snp_filter(spark, d):
+    from loomspan.plans.catalog import segregation_counts
+
+    c = segregation_counts(spark, d)
+    classes = sum((F.col(f"class_{i}") > 0).cast("int") for i in range(3))
+    return c.where(P.snp_ok(F.col("class_0"), F.col("class_1"), 5 * F.col("called"), F.col("depth") / F.col("called") / 10, classes)).select("site")
+
+
+@query(f"SELECT contig, pos FROM ({VARIANTS_SQL}) WHERE alt NOT LIKE '%,%' AND depth < 30 AND pos % 10 NOT IN (3, 7)")
+def marker_filters(spark, d):
+    rows = variants(spark, d).where(P.biallelic(F.col("alt")))
+    return P.without_markers(P.first_samples(rows, "depth", 30).withColumn("ix", F.col("pos") % 10), "ix", [3, 7]).select("contig", "pos")
+
+
+@query("SELECT o_orderkey AS k FROM orders WHERE o_totalprice > 250000 UNION SELECT l_orderkey FROM lineitem WHERE l_quantity > 45")
+def set_union(spark, d):
+    return U.union(table(spark, d, "orders").where("o_totalprice > 250000").select(F.col("o_orderkey").alias("k")), table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("k")))
+
+
+@query(f"WITH s AS ({_STATES}) SELECT contig, sample, array_to_string(list_concat(CASE WHEN sample % 2 = 0 THEN list_reverse(st) ELSE st END, CASE WHEN sample % 3 = 0 THEN list_reverse(st) ELSE st END), ',') AS chained FROM s")
+def chained_arrays(spark, d):
+    chained = U.chain_arrays(F.col("st"), F.col("sample") % 2 == 0, F.col("st"), F.col("sample") % 3 == 0)
+    return _states(spark, d).select("contig", "sample", F.array_join(chained, ",").alias("chained"))
+
+
+@query("SELECT n_name AS contig, 'LG0' || (n_regionkey + 1) AS lg FROM nation")
+def renumbered_groups(spark, d):
+    return U.renumbered([table(spark, d, "nation").where(F.col("n_regionkey") == i).select(F.col("n_name").alias("contig")) for i in range(5)])
+
+
+@query(f"SELECT site, sample, CASE WHEN alt = 0 THEN '0/0' WHEN ref = 0 THEN '1/1' ELSE '0/1' END || ':' || ref || ',' || alt || ':' || (ref + alt) || ':30:' || CASE WHEN alt = 0 THEN '0,30,30' WHEN ref = 0 THEN '30,30,0' ELSE '30,0,30' END AS call FROM ({CALLS_SQL})")
+def call_strings(spark, d):
+    from loomspan.operators.segregation import call_text
+    from loomspan.plans.views import calls
+
+    dosage = F.when(F.col("alt") == 0, 0).when(F.col("ref") == 0, 2).otherwise(1)
+    return calls(spark, d).select("site", "sample", call_text(dosage, F.col("ref"), F.col("alt"), 2).alias("call"))
+
+
+@query("SELECT p_partkey, 'DP=' || p_size || ';AB=' || printf('%.3f', p_partkey % 100 / 100.0) || ';ER=0.010;OD=0.000;NS=' || (p_size % 9) || ';SG=' || (p_size % 3) || ',' || (p_size % 4) || ';PV=' || printf('%.3f', p_size / 50.0) AS info FROM part")
+def site_info(spark, d):
+    size = F.col("p_size")
+    info = vcf.snp_info(size, F.col("p_partkey") % 100 / 100.0, F.lit(0.01), F.lit(0.0), size % 9, F.array(size % 3, size % 4), size / 50.0)
+    return table(spark, d, "part").select("p_partkey", info.alias("info"))
+
+
+@query("SELECT count(*) AS files, CAST(sum(n) AS BIGINT) AS bytes FROM (SELECT n_regionkey, sum(length(n_name) + 1) AS n FROM nation WHERE n_regionkey < 3 GROUP BY 1)")
+def byte_files(spark, d):
+    """Files of some runs, chosen by their names, as bytes."""
+    path = _folder(spark, "bytes")
+    table(spark, d, "nation").select("n_name", F.concat(F.lit("run"), F.col("n_regionkey").cast("string")).alias("run")).repartition("run").write.partitionBy("run").text(path)
+    files = storage.read_bytes(spark, f"{path}/run=run[0-2]", "part*")
+    return files.agg(F.count("*").alias("files"), F.sum(F.octet_length("content")).cast("long").alias("bytes"))
+
+
+@query("SELECT 'groups : 5' AS value UNION ALL SELECT 'threshold : 0.25' UNION ALL SELECT '$cm' || chr(10) || string_agg('[' || (n_regionkey + 1) || '] ' || printf('%.6f', m), chr(10) ORDER BY n_regionkey) FROM (SELECT n_regionkey, max(n_nationkey) * 1.5 AS m FROM nation GROUP BY 1)")
+def map_settings_and_log(spark, d):
+    maps = table(spark, d, "nation").select((F.col("n_regionkey") + 1).alias("lg"), (F.col("n_nationkey") * 1.5).alias("cm_end"))
+    return tables.settings_lines(spark, {"groups": 5, "threshold": 0.25}).union(tables.map_log_lines(maps))

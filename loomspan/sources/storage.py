@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -15,3 +15,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir isn't set: name a folder that the driver and all executors share")
     return f"file://{tempfile.mkdtemp(prefix='loomspan-')}"
+
+
+def read_bytes(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """Files as they are: path, length, content (under 2 GB each); ``pattern`` selects names, as 'run*'."""
+    files = spark.read.format("binaryFile")
+    return (files.option("pathGlobFilter", pattern) if pattern else files).load(path).select("path", "length", "content")

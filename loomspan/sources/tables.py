@@ -132,6 +132,18 @@ def read_config(spark: SparkSession, path: str) -> dict[str, str]:
     return {r[0]: r[1] for r in rows.collect()}
 
 
+def settings_lines(spark: SparkSession, settings: dict) -> DataFrame:
+    """The settings of a map as 'K : V' lines, which ``read_config`` reads."""
+    return spark.createDataFrame([(f"{k} : {v}",) for k, v in settings.items()], "value string")
+
+
+def map_log_lines(maps: DataFrame) -> DataFrame:
+    """The log of a linkage map (lg, cm_end): '$cm' and the length of each group, which ``total_cm`` adds up."""
+    rows = maps.groupBy("lg").agg(F.max("cm_end").alias("cm"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("lg", "cm"))), lambda r: F.concat(F.lit("["), r["lg"].cast("string"), F.lit("] "), F.format_string("%.6f", r["cm"])))
+    return rows.agg(F.concat_ws("\n", F.lit("$cm"), F.array_join(texts, "\n")).alias("value"))
+
+
 def total_cm(spark: SparkSession, path: str) -> DataFrame:
     """Sum of the centimorgans on a log's $cm lines, by file."""
     rows = _lines(spark, path).where(F.col("value").rlike(r"^\s*\[?\d"))

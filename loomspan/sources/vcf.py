@@ -125,6 +125,13 @@ def vcf_lines(sites: DataFrame, samples: list[str], info: Column | None = None)
     return first.union(rows).orderBy("n", "contig", "pos").select("value")
 
 
+def snp_info(depth: Column, bias: Column, error: Column, dispersion: Column, samples: Column, classes: Column, p: Column) -> Column:
+    """INFO of a filtered site: DP;AB;ER;OD;NS;SG;PV, fractions in thousandths."""
+    number = lambda x: F.format_string("%.3f", x)
+    parts = {"DP": depth.cast("string"), "AB": number(bias), "ER": number(error), "OD": number(dispersion), "NS": samples.cast("string"), "SG": F.array_join(F.transform(classes, lambda c: c.cast("string")), ","), "PV": number(p)}
+    return F.concat_ws(";", *[F.concat(F.lit(f"{k}="), v) for k, v in parts.items()])
+
+
 def write_vcf(sites: DataFrame, samples: list[str], path: str, compression: str = "none") -> None:
     vcf_lines(sites, samples).write.option("compression", compression).text(path)
 

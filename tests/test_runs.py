@@ -126,3 +126,17 @@ def test_walks_are_near_the_optimum():
                 rf[names[i], names[j]] = tuple(min(0.49, abs(place[i] - place[j]) * 0.3 + 0.01 * (k % 3) + r.random() * 0.02) for k in range(4))
         best, found = (sum(x[2] for x in linkage.order(sorted(names), rf, exact=e)) for e in (10, 2))
         assert found <= 1.1 * best
+
+
+def test_scaled_axis_finds_a_row():
+    r = np.random.default_rng(9)
+    place = np.sort(r.random(15)) * 0.6
+    far = np.abs(place[:, None] - place[None])
+    rf = 0.5 * np.tanh(2 * far)
+    axis = linkage.scaled_axis(rf, 50 * (1 - 2 * rf))
+    order = np.argsort(axis).tolist()
+    assert order in (list(range(15)), list(range(15))[::-1])
+    names = [f"c{i:02d}" for i in range(15)]
+    pairs = {(names[i], names[j]): tuple(min(0.49, float(rf[i, j]) + 0.001 * k) for k in range(4)) for i in range(15) for j in range(i + 1, 15)}
+    walk = linkage.order(names, pairs, scores={k: 50 * (1 - 2 * v[0]) for k, v in pairs.items()})
+    assert [c for c, _, _ in walk] in (names, names[::-1])
