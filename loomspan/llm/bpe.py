@@ -25,18 +25,17 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import Scratch, give_back, table
 
 #: Bounds of a task's memory: states of the transducer, remembered pairs and pieces, and bytes of pieces that are remembered.
-MAX_STATES, MAX_PAIRS, MAX_PIECES, MAX_PIECE = 120_000, 200_000, 150_000, 64
+MAX_STATES, MAX_PAIRS, MAX_PIECES, MAX_PIECE = 180_000, 250_000, 300_000, 64
 #: Rows of a batch of results.
 OUT_ROWS = 250
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 class _State:
-    __slots__ = ("final", "live", "next", "once")
+    __slots__ = ("final", "live", "next")
 
     def __init__(self, live: tuple, final: tuple[int, ...]):
-        # once: a bit for each byte that was read here without its transition being kept
-        self.live, self.final, self.next, self.once = live, final, {}, 0
+        self.live, self.final, self.next = live, final, {}
 
 
 class Transducer:
@@ -171,15 +170,10 @@ class Transducer:
             to_live = tuple([(-1 if len(pending) > shared else last, pending[shared:], node) for _, pending, node in live])
         else:
             to_live = tuple([(-1 if pending else last, pending, node) for last, pending, node in live])
-        # a transition is kept when it is made again: most ends of words come once, and would only fill the memory
-        if state.once >> byte & 1:
-            if len(self.states) >= self.max_states:
-                self._reset()
-            to = self._state(to_live)
-            state.next[byte] = (to, emitted)
-        else:
-            state.once |= 1 << byte
-            to = self.states.get(to_live) or _State(to_live, to_live[-1][1])
+        if len(self.states) >= self.max_states:
+            self._reset()
+        to = self.states.get(to_live) or self._state(to_live)
+        state.next[byte] = (to, emitted)
         return to, emitted
 
     def feed(self, state: _State, data: bytes, out: list[int]) -> _State:
