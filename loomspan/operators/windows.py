@@ -79,6 +79,14 @@ def running_share(df: DataFrame, part: list[str], order: list, value: Column, na
     return df.withColumn(name, F.sum(value).over(ordered(part, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) / F.sum(value).over(whole))
 
 
+def mean_from_last(df: DataFrame, part: list[str], order: str, value: Column, name: str) -> DataFrame:
+    """One row a group: the mean of doubles whose sum starts at the last row by ``order`` (total, not null). A sum rounds
+    by its order, and a shuffle leaves that open. Nulls don't count."""
+    back = ordered(part, [F.desc(order)])
+    means = df.select(*part, F.avg(value).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias(name), F.lead(order).over(back).alias("_next"))
+    return means.where(F.col("_next").isNull()).drop("_next")
+
+
 def ranked(df: DataFrame, part: list[str], order: list, name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(ordered(part, order)).cast("long"))
 

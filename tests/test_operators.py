@@ -100,3 +100,41 @@ def test_global_index(spark):
     got = global_index(spark.createDataFrame([(v,) for v in values], "v int").repartition(7), ["v"])
     assert rows(got, "v", "n") == [(v, i) for i, v in enumerate(sorted(values))]
     assert global_index(got.limit(0).drop("n"), ["v"]).count() == 0
+
+
+def test_means_sum_from_the_last_row(spark):
+    """Sums of the same numbers in two orders differ in their last bits; groups of every length, in any order of rows."""
+    r = random.Random(5)
+    values = {(g, i): r.choice([None, r.randrange(1000) / 10]) if g % 5 == 0 else r.randrange(1000) / 10 for g in range(400) for i in range(1 + g % 9)}
+    cells = [(g, i, x) for (g, i), x in values.items()] + [(400, 0, None)]
+    r.shuffle(cells)
+    want = {400: None}
+    for g in range(400):
+        back = [x for i in range(g % 9, -1, -1) if (x := values[g, i]) is not None]
+        total = 0.0
+        for x in back:
+            total += x
+        want[g] = total / len(back) if back else None
+    found = W.mean_from_last(spark.createDataFrame(cells, "g long, i long, x double").repartition(7, "i"), ["g"], "i", F.col("x"), "mean")
+    assert dict(rows(found, "g", "mean")) == want
+
+
+def test_windows_at_the_bound_of_errors(spark, tmp_path):
+    """Nearest windows whose mean is five, up to the last bits: as in SQL."""
+    import duckdb
+
+    from loomspan.plans import catalog
+
+    r = random.Random(11)
+    steps = [s for s in ([r.randrange(1, 148) / 10 for _ in range(2)] for _ in range(4000)) if s[0] + s[1] < 14.9]
+    events = []
+    for user, (a, b) in enumerate(steps):
+        events += [(user, i, x) for i, x in enumerate([0.0, a, b, round(15 - a - b, 1)])] + [(user, 4 + i, 1000.0 * (i + 1) ** 2) for i in range(4)]
+    path = f"{tmp_path}/events.parquet"
+    frame = spark.createDataFrame(events, "user_id long, i long, value double")
+    frame.select((F.col("user_id") * 10 + F.col("i")).alias("event_id"), "user_id", F.lit("view").alias("event_type"), "value", F.timestamp_seconds(F.lit(1704067200) + F.col("i") * 100000).alias("ts")).coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{path}/*.parquet'")
+    want = {x[0]: x for x in con.execute(catalog.ORACLE_SQL["error_detection"]).fetchall()}
+    got = {x[0]: tuple(x) for x in catalog.error_detection(spark, str(tmp_path)).collect()}
+    assert 0 < len(want) < len(steps) and got == want
