@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomspan.operators.numbering import global_index
 
@@ -31,6 +32,24 @@ def shared_members(df: DataFrame, group: str, member: str, extra: list[str] | No
     return a.join(b, member).where("a < b").groupBy(*keys).agg(F.count("*").alias("common"))
 
 
+def overlaps(df: DataFrame, group: str, member: str, within: Column | None = None) -> DataFrame:
+    """a, b (a < b), common, n: every two groups that meet, with the size of their intersection and of the smaller of the two.
+
+    Pairs aren't shuffled one by one: a member sends each of its groups the list of those that follow it by (size, group),
+    so a pair is counted where its smaller group is. ``within``: an expression of the group ``g`` that both must share. A
+    null member adds to the size and meets none.
+    """
+    rows = df.select(F.col(group).alias("g"), F.col(member).alias("m")).where("g IS NOT NULL").repartition("g").distinct()
+    keys = ["m"] if within is None else ["m", "w"]
+    rows = rows.select("g", "m", F.count("*").over(Window.partitionBy("g")).alias("n"), *([] if within is None else [within.alias("w")])).where("m IS NOT NULL")
+    lists = rows.repartition(*keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("l")).where(F.size("l") > 1)
+    flat = lists.select(F.col("l.n").alias("ns"), F.col("l.g").alias("gs"))
+    sent = flat.select("ns", "gs", F.posexplode("gs").alias("i", "g")).where(F.col("i") < F.size("gs") - 1)
+    sent = sent.select("g", F.get("ns", F.col("i")).alias("n"), F.slice("gs", F.col("i") + 2, F.size("gs")).alias("others")).repartition("g")
+    counts = sent.select("g", "n", F.explode("others").alias("o")).groupBy("g", "n", "o").agg(F.count("*").alias("common"))
+    return counts.select(F.least("g", "o").alias("a"), F.greatest("g", "o").alias("b"), "common", "n")
+
+
 def band(df: DataFrame, part: list[str], ix: str, last: str, cols: list[str]) -> DataFrame:
     """Each row with the rows after it up to its own ``last`` (numbers without gaps): an equi-join on (group, index) after
     exploding a row's reach, so no more rows are made than there are pairs, and a long group isn't one key."""

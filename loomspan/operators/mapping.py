@@ -71,11 +71,16 @@ def linkage_groups(pairs: DataFrame, contigs: DataFrame, max_rf: float = GROUP_R
     return groups.join(ranked.select("name", "lg"), "name").select("contig", "lg")
 
 
-def chimeras(pairs: DataFrame, groups: DataFrame, max_rf: float) -> DataFrame:
+def nearest_in_group(pairs: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """contig, least: the least fraction to the rest of its group. Without ``groups`` all pairs are inside one."""
+    if groups is not None:
+        pairs = pairs.join(groups.select(F.col("contig").alias("a"), "lg"), "a").join(groups.select(F.col("contig").alias("b"), F.col("lg").alias("other")), "b").where("lg = other")
+    return pairs.select(F.explode(F.array("a", "b")).alias("contig"), "rf_min").groupBy("contig").agg(F.min("rf_min").alias("least"))
+
+
+def chimeras(pairs: DataFrame, groups: DataFrame | None, max_rf: float) -> DataFrame:
     """Contigs whose least fraction to the rest of their group is above ``max_rf``."""
-    ends = pairs.select("a", "b", "rf_min").union(pairs.select("b", "a", "rf_min"))
-    same = ends.join(groups.select(F.col("contig").alias("a"), "lg"), "a").join(groups.select(F.col("contig").alias("b"), F.col("lg").alias("other")), "b").where("lg = other")
-    return same.groupBy(F.col("a").alias("contig")).agg(F.min("rf_min").alias("least")).where(F.col("least") > max_rf)
+    return nearest_in_group(pairs, groups).where(F.col("least") > max_rf)
 
 
 def ordered_groups(pairs: DataFrame, groups: DataFrame) -> DataFrame:

@@ -60,15 +60,14 @@ def ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENDS_SQL = f"SELECT DISTINCT contig, sample, first_value(state) OVER w AS \"start\", last_value(state) OVER w AS stop FROM ({MARKERS_SQL}) WINDOW w AS (PARTITION BY contig, sample ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
 
 
-def supplier_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers of one nation as linked contigs: parts that both ship, and a fraction from them."""
-    from loomspan.operators.joins import shared_members
-
-    line = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("supp"), F.col("l_partkey").alias("part"))
-    sizes = line.distinct().groupBy("supp").agg(F.count("*").alias("n"))
-    common = shared_members(line, "supp", "part")
-    rows = common.join(sizes.select(F.col("supp").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("supp").alias("b"), F.col("n").alias("nb")), "b")
-    return rows.select("a", "b", "common", F.least("na", "nb").alias("n"), (0.5 * (1 - F.col("common") / F.least("na", "nb"))).alias("rf"))
+def supplier_pairs(spark: SparkSession, sf_dir: str, remainder: int | None = None) -> DataFrame:
+    """Suppliers of one nation as linked contigs: parts that both ship, and a fraction from them. ``remainder``: only pairs
+    of suppliers with one remainder by it."""
+    from loomspan.operators.joins import overlaps
+
+    line = table(spark, sf_dir, "lineitem")
+    rows = overlaps(line, "l_suppkey", "l_partkey", F.col("g") % remainder if remainder else None)
+    return rows.select("a", "b", "common", "n", (0.5 * (1 - F.col("common") / F.col("n"))).alias("rf"))
 
 
 PAIRS_SQL = """SELECT a.s AS a, b.s AS b, count(*) AS common, least(any_value(a.n), any_value(b.n)) AS n, 0.5 * (1 - count(*) / least(any_value(a.n), any_value(b.n))::DOUBLE) AS rf

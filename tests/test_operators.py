@@ -138,3 +138,35 @@ def test_windows_at_the_bound_of_errors(spark, tmp_path):
     want = {x[0]: x for x in con.execute(catalog.ORACLE_SQL["error_detection"]).fetchall()}
     got = {x[0]: tuple(x) for x in catalog.error_detection(spark, str(tmp_path)).collect()}
     assert 0 < len(want) < len(steps) and got == want
+
+
+def test_overlaps_by_brute_force(spark):
+    r = random.Random(3)
+    cells = [(r.randrange(40), r.choice([None, *range(25)])) for _ in range(400)] + [(None, 3), (50, 3), (51, 99)]
+    sets = {}
+    for g, m in cells:
+        if g is not None:
+            sets.setdefault(g, set()).add(m)
+    pairs = [(a, b, len(sets[a] & sets[b] - {None}), min(len(sets[a]), len(sets[b]))) for a in sets for b in sets if a < b]
+    want = sorted(p for p in pairs if p[2])
+    df = spark.createDataFrame(cells, "g_ long, m_ long")
+    assert rows(J.overlaps(df, "g_", "m_"), "a", "b", "common", "n") == want
+    assert rows(J.overlaps(df, "g_", "m_", F.col("g") % 3), "a", "b", "common", "n") == [p for p in want if p[0] % 3 == p[1] % 3]
+
+
+def test_pairs_of_suppliers_are_not_shuffled(spark, sf):
+    """Rows, lists by part, lists by supplier: no exchange after the lists are opened."""
+    from loomspan.plans.views import supplier_pairs
+
+    plan = supplier_pairs(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3 and "Join" not in plan
+
+
+def test_nearest_of_a_group(spark):
+    from loomspan.operators import mapping
+
+    pairs = spark.createDataFrame([("A", "B", 0.1), ("A", "C", 0.4), ("B", "D", 0.2), ("C", "D", 0.05)], "a string, b string, rf_min double")
+    groups = spark.createDataFrame([("A", 1), ("B", 2), ("C", 1), ("D", 2)], "contig string, lg long")
+    assert rows(mapping.nearest_in_group(pairs, groups), "contig", "least") == [("A", 0.4), ("B", 0.2), ("C", 0.4), ("D", 0.2)]
+    assert rows(mapping.nearest_in_group(pairs, None), "contig", "least") == [("A", 0.1), ("B", 0.1), ("C", 0.05), ("D", 0.05)]
+    assert rows(mapping.chimeras(pairs, groups, 0.3), "contig", "least") == [("A", 0.4), ("C", 0.4)]
