@@ -20,10 +20,16 @@ def read_rf(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.from_csv("value", F.lit(RF_SCHEMA), {"sep": "\t"}).alias("r")).select("r.*")
 
 
-def write_rf(pairs: DataFrame, path: str) -> None:
-    names = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
+def write_rf(pairs: DataFrame, path: str, contigs: DataFrame | None = None, in_order: bool = True, compression: str | None = None) -> None:
+    """'##' lines, then pairs by their names; ``in_order`` False leaves the order of the pairs to save their sorting.
+
+    ``contigs``: the names (contig), taken from the pairs if they aren't given. ``compression``: as 'gzip'; read_rf reads that too.
+    """
+    names = pairs.select(F.col("a").alias("c")).union(pairs.select("b")) if contigs is None else contigs.select(F.col("contig").alias("c"))
+    heads = names.distinct().select(F.lit(0).alias("k"), F.col("c").alias("a"), F.lit("").alias("b"), F.concat(F.lit("##"), "c").alias("value"))
     rows = pairs.select(F.lit(1).alias("k"), "a", "b", F.concat_ws("\t", *[F.col(c).cast("string") for c in ("rf_min", "rf0", "rf1", "rf2", "rf3", "a", "b", "n")]).alias("value"))
-    names.select(F.lit(0).alias("k"), F.col("c").alias("a"), F.lit("").alias("b"), F.concat(F.lit("##"), "c").alias("value")).union(rows).orderBy("k", "a", "b").select("value").write.text(path)
+    lines = heads.union(rows)
+    (lines.orderBy("k", "a", "b") if in_order else lines).select("value").write.text(path, compression=compression)
 
 
 def read_errors(spark: SparkSession, path: str) -> DataFrame:

@@ -105,3 +105,24 @@ def test_pseudomolecules_and_breaks(spark):
     molecules, parts = mapping.pseudomolecules(rows, seqs, errors, gap=2)
     assert molecules.first().seq == "AAAA" + "nn" + "CGT" + "nn" + "GGGG"
     assert parts.count() == 3
+
+
+def test_fractions_compressed_and_unsorted(spark, tmp_path):
+    """Each pair is computed once, names come from their own table, and packed texts read back whole."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    schema = "rf_min double, rf0 double, rf1 double, rf2 double, rf3 double, a string, b string, n int"
+    want = [(i / 70, i / 70, 0.1, 0.2 + i / 1000, 0.3, f"c{i % 7}", f"d{i}", i) for i in range(200)]
+    pairs = spark.createDataFrame(want, schema).repartition(5, "b").mapInPandas(count, schema)
+    names = spark.createDataFrame([(x,) for x in [f"c{i}" for i in range(8)] * 2], "contig string")
+    path = tmp_path / "rf"
+    tables.write_rf(pairs, str(path), names, in_order=False, compression="gzip")
+    assert seen.value == len(want)
+    assert all(f.name.endswith(".gz") for f in path.glob("part-*"))
+    assert sorted(r.value for r in spark.read.text(str(path)).where("value LIKE '##%'").collect()) == [f"##c{i}" for i in range(8)]
+    assert sorted(tuple(r) for r in tables.read_rf(spark, str(path)).collect()) == sorted(want)
