@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 CHUNK_BYTES = 1 << 19
 #: Rows of an Arrow batch: what a Python worker and the JVM hold of a task's input at once.
 ARROW_ROWS = 500
+#: Rows that a Parquet reader decodes at once: with texts, the usual 4096 are arrays of many megabytes, made anew for each task.
+READ_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,18 +37,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 @contextlib.contextmanager
 def small_batches(spark: SparkSession):
-    """While a result is written, Arrow batches are small: texts are long, and the usual 10,000 rows would fill an executor.
+    """While a result is written, Arrow's and the Parquet reader's batches are small: texts are long, and the usual numbers of
+    rows would fill an executor.
 
-    The session has its own setting again afterwards.
+    The session has its own settings again afterwards.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    own = spark.conf.get(key)
-    if not 0 < int(own) <= ARROW_ROWS:
-        spark.conf.set(key, ARROW_ROWS)
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": ARROW_ROWS, "spark.sql.parquet.columnarReaderBatchSize": READ_ROWS}
+    own = {key: spark.conf.get(key) for key in keys}
+    for key, most in keys.items():
+        if not 0 < int(own[key]) <= most:
+            spark.conf.set(key, most)
     try:
         yield
     finally:
-        spark.conf.set(key, own)
+        for key, value in own.items():
+            spark.conf.set(key, value)
 
 
 class Scratch:
