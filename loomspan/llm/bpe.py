@@ -2,9 +2,10 @@
 
 After a prefix w the next token of any continuation starts at a *live* boundary p, one where w[p:] is empty or begins
 some token. The encoding of each w[:p] is unique: a token sequence is the encoding of its bytes exactly when every
-adjacent pair is the encoding of its own bytes. A state is the set of live boundaries with what their encodings don't
-share; what all share is final and emitted, so lookahead is bounded by the longest token. States and transitions are
-made when first reached (lazy determinisation) and dropped when there are too many.
+adjacent pair is the encoding of its own bytes. A state is the set of live boundaries, each with the last token before
+it and the trie node of w[p:]. For each byte the transducer puts out the token that ends there when the text does; a
+piece's tokens are among these outputs and are read from its end, each telling where the one before it ends. States and
+transitions are made when first reached (lazy determinisation) and dropped when there are too many.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import sys
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +28,23 @@ from .common import Scratch, give_back, table
 
 #: Bounds of a task's memory: states of the transducer, remembered pairs and pieces, and bytes of pieces that are remembered.
 MAX_STATES, MAX_PAIRS, MAX_PIECES, MAX_PIECE = 180_000, 250_000, 300_000, 64
+#: Parts of decoded text that are hashed at once.
+PART = 1 << 14
 #: Rows of a batch of results.
 OUT_ROWS = 250
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
-class _State:
-    __slots__ = ("final", "live", "next")
+class _State(dict):
+    """Transitions by byte, each made when it is first taken; ``last`` is the token that ends here."""
 
-    def __init__(self, live: tuple, final: tuple[int, ...]):
-        self.live, self.final, self.next = live, final, {}
+    __slots__ = ("last", "live", "owner")
+
+    def __init__(self, owner: Transducer, live: tuple[int, ...], last: int):
+        self.owner, self.live, self.last = owner, live, last
+
+    def __missing__(self, byte: int) -> _State:
+        return self.owner._step(self, byte)
 
 
 class Transducer:
@@ -60,16 +69,19 @@ class Transducer:
                     self.token_at.append(-1)
                     self.inner.append(False)
             self.token_at[node] = k
-        self._pairs: dict[tuple[int, int], bool] = {}
+        # a live boundary is one number: the token before it plus one (0: none), then the node in the lower bits; a pair likewise
+        self.bits = max(len(self.token_at), len(self.vocabulary)).bit_length()
+        self.lengths = [len(token) for token in self.vocabulary]
+        self._pairs: dict[int, bool] = {}
         self._heads: dict[int, list[tuple[bytes, int]]] = {}
         self._tails: dict[int, list[tuple[bytes, int]]] = {}
         self._reset()
 
     def _reset(self) -> None:
         for state in getattr(self, "states", {}).values():
-            state.next.clear()  # states refer to each other; so they go without the garbage collector
-        self.states: dict[tuple, _State] = {}
-        self.start = self._state(((-1, (), 0),))
+            state.clear()  # states refer to each other; so they go without the garbage collector
+        self.states: dict[tuple[int, ...], _State] = {}
+        self.start = self.states[(0,)] = _State(self, (0,), -1)
 
     def forget(self) -> None:
         self._pairs.clear()
@@ -77,12 +89,6 @@ class Transducer:
         self._tails.clear()
         self._reset()
 
-    def _state(self, live: tuple) -> _State:
-        found = self.states.get(live)
-        if found is None:
-            found = self.states[live] = _State(live, live[-1][1])
-        return found
-
     def merge(self, data: bytes, below: int | None = None) -> list[bytes]:
         """The merges themselves: join the adjacent pair of lowest rank, the leftmost first, until none is a token."""
         ranks, none = self.ranks, len(self.vocabulary)
@@ -114,96 +120,91 @@ class Transducer:
         Their own merges go on as if each stood alone, by rank, until a merge over the boundary comes first; of equal
         ranks the leftmost goes first.
         """
-        if left < 0:
-            return True
-        found = self._pairs.get((left, right))
-        if found is None:
-            if len(self._pairs) >= MAX_PAIRS:
-                self._pairs.clear()
-            tail, head = self._edge(left, -1, self._tails), self._edge(right, 0, self._heads)
-            i = j = 0
-            ranks = self.ranks
-            while True:
-                (a, a_ends), (b, b_ends) = tail[i], head[j]
-                over = ranks.get(a + b)
-                if over is not None and over < a_ends and over <= b_ends:
-                    found = False
-                    break
-                if i + 1 == len(tail) and j + 1 == len(head):
-                    found = True
-                    break
-                if a_ends <= b_ends:
-                    i += 1
-                else:
-                    j += 1
-            self._pairs[left, right] = found
-        return found
-
-    def _step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
-        children, token_at, inner = self.children, self.token_at, self.inner
-        live, done, fits = [], None, self._fits
-        for last, pending, node in state.live:
+        tail, head = self._edge(left, -1, self._tails), self._edge(right, 0, self._heads)
+        i = j = 0
+        ranks = self.ranks
+        while True:
+            (a, a_ends), (b, b_ends) = tail[i], head[j]
+            over = ranks.get(a + b)
+            if over is not None and over < a_ends and over <= b_ends:
+                return False
+            if i + 1 == len(tail) and j + 1 == len(head):
+                return True
+            if a_ends <= b_ends:
+                i += 1
+            else:
+                j += 1
+
+    def _step(self, state: _State, byte: int) -> _State:
+        children, token_at, inner, pairs, bits = self.children, self.token_at, self.inner, self._pairs, self.bits
+        low = (1 << bits) - 1
+        live, last = [], -1
+        for at in state.live:
+            node = at & low
             grown = children.get(node << 8 | byte)
             if grown is None:
                 continue
             if inner[grown]:
-                live.append((last, pending, grown))
-            if done is None and (token := token_at[grown]) >= 0 and fits(pending[-1] if pending else last, token):
-                done = (last, (*pending, token), 0)
-        if done is None:
+                live.append(at - node + grown)
+            if last < 0 and (token := token_at[grown]) >= 0:
+                pair = at - node + token
+                fits = at <= low or pairs.get(pair)
+                if fits is None:
+                    if len(pairs) >= MAX_PAIRS:
+                        pairs.clear()
+                    fits = pairs[pair] = self._fits((at >> bits) - 1, token)
+                if fits:
+                    last = token
+        if last < 0:
             raise ValueError("the vocabulary isn't closed under its merges")
-        first = done[1]
-        shared = len(first)
-        for _, pending, _ in live:
-            n = 0
-            for x, y in zip(pending, first):  # noqa: B905
-                if x != y:
-                    break
-                n += 1
-            if n < shared:
-                shared = n
-        live.append(done)
-        emitted = first[:shared]
-        # the token before the pending ones matters only while there are none
-        if shared:
-            last = emitted[-1]
-            to_live = tuple([(-1 if len(pending) > shared else last, pending[shared:], node) for _, pending, node in live])
-        else:
-            to_live = tuple([(-1 if pending else last, pending, node) for last, pending, node in live])
-        if len(self.states) >= self.max_states:
-            self._reset()
-        to = self.states.get(to_live) or self._state(to_live)
-        state.next[byte] = (to, emitted)
-        return to, emitted
-
-    def feed(self, state: _State, data: bytes, out: list[int]) -> _State:
-        for byte in data:
-            state, emitted = state.next.get(byte) or self._step(state, byte)
-            if emitted:
-                out.extend(emitted)
-        return state
+        live.append(last + 1 << bits)
+        key = tuple(live)
+        to = self.states.get(key)
+        if to is None:
+            if len(self.states) >= self.max_states:
+                self._reset()
+            to = self.states[key] = _State(self, key, last)
+        state[byte] = to
+        return to
 
     def encode(self, piece: bytes) -> list[int]:
-        out: list[int] = []
-        out.extend(self.feed(self.start, piece, out).final)
+        state, ends, lengths = self.start, [], self.lengths
+        for byte in piece:
+            state = state[byte]
+            ends.append(state.last)
+        out, i = [], len(ends)
+        while i:
+            token = ends[i - 1]
+            out.append(token)
+            i -= lengths[token]
+        out.reverse()
         return out
 
 
 class _Pieces(dict):
-    """Little-endian ids of the pieces met so far; emptied when there are too many."""
+    """Little-endian ids of the pieces met lately: when half of what may be kept is new, what wasn't met since the last time goes."""
 
     def __init__(self, transducer: Transducer):
         super().__init__()
         self.transducer = transducer
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = array("I", self.transducer.encode(piece.encode())).tobytes()
-        if len(piece) <= MAX_PIECE:
-            if len(self) >= MAX_PIECES:
-                self.clear()
-            self[piece] = ids
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = array("I", self.transducer.encode(piece.encode())).tobytes()
+            if len(piece) > MAX_PIECE:
+                return ids
+        if len(self) >= MAX_PIECES // 2:
+            self.older = self.copy()
+            self.clear()
+        self[piece] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
 
 class Utf8:
     """Incremental UTF-8 state machine: bytes in, complete characters out; ill-formed bytes become U+FFFD.
@@ -244,6 +245,12 @@ class Utf8:
                 out.append("\ufffd")
         return "".join(out), (need, low, high, bits)
 
+    @classmethod
+    def over(cls, state: tuple[int, int, int, int], data: bytes) -> tuple[str, tuple[int, int, int, int]]:
+        """As ``step``; the start state is always the same object."""
+        text, to = cls.step(state, data)
+        return text, to if to[0] else cls.START
+
     def push(self, data: bytes, last: bool = False) -> str:
         text, self.state = self.step(self.state, data)
         if last and self.state[0]:
@@ -251,17 +258,28 @@ class Utf8:
         return text
 
 
+class _Plain(dict):
+    """What a token gives in the start state of the decoder, with the state after it; its step is made once."""
+
+    def __init__(self, vocabulary: list[bytes]):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, token: int) -> tuple[str, tuple]:
+        found = self[token] = Utf8.over(Utf8.START, self.vocabulary[token])
+        return found
+
+
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
         self.find = regex.compile(pattern).findall
         self.pieces = _Pieces(self.transducer)
-        # what a token gives in the start state of the decoder, with the state after it
-        self.plain: dict[int, tuple[str, tuple]] = {}
+        self.plain = _Plain(self.transducer.vocabulary)
 
     def forget(self) -> None:
         """Drop what was remembered: the worker's next task may be another operator's."""
-        self.pieces.clear()
+        self.pieces.forget()
         self.plain.clear()
         self.transducer.forget()
 
@@ -271,33 +289,21 @@ class Codec:
         return b"".join(map(self.pieces.__getitem__, self.find(text)))
 
     def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
-        """Text as it becomes complete, token by token; its step over a token from the start state is made once."""
-        plain, vocabulary, state = self.plain, self.transducer.vocabulary, Utf8.START
+        """Text as it becomes complete, token by token."""
+        plain, vocabulary, start = self.plain, self.transducer.vocabulary, Utf8.START
+        state = start
         for k in ids:
-            if state is Utf8.START:
-                found = plain.get(k)
-                if found is None:
-                    text, to = Utf8.step(state, vocabulary[k])
-                    found = plain[k] = (text, to if to[0] else Utf8.START)
-            else:
-                text, to = Utf8.step(state, vocabulary[k])
-                found = (text, to if to[0] else Utf8.START)
-            text, state = found
+            text, state = plain[k] if state is start else Utf8.over(state, vocabulary[k])
             if text:
                 yield text
-        if state is not Utf8.START:
+        if state is not start:
             yield "\ufffd"
 
     def decoded_sha256(self, ids: bytes) -> str:
         """Checksum of the text as the stream gives it, piece by piece."""
-        out, held, size = hashlib.sha256(), [], 0
-        for text in self.decode_stream(memoryview(ids).cast("I")):
-            held.append(text)
-            size += len(text)
-            if size >= 1 << 16:
-                out.update("".join(held).encode())
-                held, size = [], 0
-        out.update("".join(held).encode())
+        out, stream = hashlib.sha256(), self.decode_stream(memoryview(ids).cast("I"))
+        while text := "".join(islice(stream, PART)):
+            out.update(text.encode())
         return out.hexdigest()
 
 

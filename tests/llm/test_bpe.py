@@ -48,6 +48,29 @@ def test_few_states_give_the_same_ids():
         assert small.encode(word.encode()) == [RANKS[x] for x in small.merge(word.encode())]
 
 
+def test_states_are_live_boundaries_with_the_token_before(spark, sf):
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    pieces = {piece.encode() for text in texts for piece in CODEC.find(text or "")}
+    begins = {token[:i] for token in RANKS for i in range(len(token))}
+    transducer, wanted = bpe.Transducer(RANKS), set()
+    for prefix in {piece[:i] for piece in pieces for i in range(len(piece) + 1)}:
+        live = [i for i in range(len(prefix) + 1) if prefix[i:] in begins]
+        wanted.add(tuple((prefix[:i] and TRUTH._encode_single_piece(prefix[:i])[-1], prefix[i:]) for i in live))
+    for piece in pieces:
+        transducer.encode(piece)
+    assert len(transducer.states) == len(wanted)
+
+
+def test_frequent_pieces_stay_when_there_are_too_many(monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_PIECES", 8)
+    codec, met = bpe.Codec(RANKS, PATTERN), []
+    encode = codec.transducer.encode
+    monkeypatch.setattr(codec.transducer, "encode", lambda piece: met.append(piece) or encode(piece))
+    text = "".join(f" the {word}" for word in "abcdefghijklmnopqrstuvwxyz")
+    assert list(memoryview(codec.encode(text)).cast("I")) == TRUTH.encode_ordinary(text)
+    assert met.count(b" the") == 1 and len(codec.pieces) + len(codec.pieces.older) <= 8
+
+
 def test_edge_rows(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (None, "the end", None), (4, "in " * 30000, "y"), (4, "in " * 30000, "y")], "doc_id long, text string, ids string")
     rows = bpe.encode_documents(docs, PATH, PATTERN, Scratch(spark, "t")).collect()
