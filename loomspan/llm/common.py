@@ -19,6 +19,8 @@ CHUNK_BYTES = 1 << 19
 ARROW_ROWS = 500
 #: Rows that a Parquet reader decodes at once: with texts, the usual 4096 are arrays of many megabytes, made anew for each task.
 READ_ROWS = 512
+#: Bytes of file lists that Spark remembers on the driver.
+FILE_LISTS = "spark.sql.hive.filesourcePartitionFileCacheSize"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,10 +44,16 @@ def small_batches(spark: SparkSession):
 
     The session has its own settings again afterwards.
     """
-    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": ARROW_ROWS, "spark.sql.parquet.columnarReaderBatchSize": READ_ROWS}
-    own = {key: spark.conf.get(key) for key in keys}
-    for key, most in keys.items():
-        if not 0 < int(own[key]) <= most:
+    with _at_most(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": ARROW_ROWS, "spark.sql.parquet.columnarReaderBatchSize": READ_ROWS}):
+        yield
+
+
+@contextlib.contextmanager
+def _at_most(spark: SparkSession, settings: dict[str, int]):
+    """Within it the session's settings are lowered to these bounds. A session's own zero or less (no bound) is replaced too."""
+    own = {key: spark.conf.get(key) for key in settings}
+    for key, most in settings.items():
+        if not min(most, 1) <= int(own[key]) <= most:
             spark.conf.set(key, most)
     try:
         yield
@@ -64,10 +72,13 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         path = self.path(name)
-        writer = df.write.option("compression", "zstd")
+        # no marker of success: a failed write raises, and each file that the driver makes on a local disk starts processes there
+        writer = df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
         with small_batches(self.spark):
             (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        # Spark's cache of file lists never finds this table again, and keeps up to 250 MB of such lists on the driver's heap
+        with _at_most(self.spark, {FILE_LISTS: 0}):
+            return self.spark.read.schema(df.schema).parquet(path)
 
     def path(self, name: str) -> str:
         self.n += 1

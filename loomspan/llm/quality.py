@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _SPACE, Scratch, lower_ascii, ngram_hashes, released, span_hashes, table, text_chunks, words
+from .common import _SPACE, Scratch, give_back, lower_ascii, ngram_hashes, released, small_batches, span_hashes, table, text_chunks, words
 
 #: Shapes of a byte: a, A, 0, non-ASCII, space, control, and each punctuation mark.
 _SHAPE = np.full(256, 5, np.int64)
@@ -155,7 +155,17 @@ def held_out(ident: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = SAMPLE) -> Model:
-    """A model of quality from the labelled rows that aren't held out. Without both classes it gives the classes' share."""
+    """A model of quality from the labelled rows that aren't held out. Without both classes it gives the classes' share.
+
+    The sampled rows are on the driver while it fits; afterwards its Python gives their memory back.
+    """
+    try:
+        return _fit(docs, labels, scratch, sample)
+    finally:
+        give_back()
+
+
+def _fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int) -> Model:
     known = scratch.keep(labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y")).where(~held_out(F.col("doc_id"))), "labels")
     share = known.agg(F.count("*").alias("n"), F.sum("y").alias("pos")).first()
     n, pos = share["n"], share["pos"] or 0
@@ -171,7 +181,9 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = SAMP
         counts[c, sums.column("indicator").to_numpy()] = sums.column(name).to_numpy()
     counts += ALPHA
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    drawn = [np.frombuffer(r["packed"], "<i4") for r in counted.where("indicator < 0").select("packed").limit(2 * sample).collect()]
+    with small_batches(docs.sparkSession):
+        packed = counted.where("indicator < 0").select("packed").limit(2 * sample).toArrow().column("packed")
+    drawn = [np.frombuffer(x.as_buffer(), "<i4") for x in packed]
     drawn.sort(key=lambda x: x.tobytes())
     y = np.array([1.0 if x[0] else -1.0 for x in drawn])
     if len(set(y)) < 2:

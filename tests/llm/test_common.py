@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 from loomspan.llm import common
@@ -43,3 +45,21 @@ def test_smaller_settings_of_a_session_stay_and_come_back_after_a_failure(spark)
         assert watched.seen[READ] == 7 and spark.conf.get(READ) == "7"
     finally:
         spark.conf.set(READ, own)
+
+
+def test_the_driver_keeps_no_file_lists_of_written_tables(spark):
+    key = common.FILE_LISTS
+    own = spark.conf.get(key)
+    kept = Scratch(spark, "t").keep(spark.range(5), "rows")
+    index = kept._jdf.queryExecution().analyzed().relation().location()
+    field = next(x for x in index.getClass().getDeclaredFields() if x.getName().endswith("fileStatusCache"))
+    field.setAccessible(True)
+    assert "NoopCache" in field.get(index).toString()
+    assert spark.conf.get(key) == own and int(own) > 0
+    assert sorted(r.id for r in kept.collect()) == list(range(5))
+
+
+def test_written_tables_have_no_marker_file(spark):
+    kept = Scratch(spark, "t").keep(spark.range(5), "rows")
+    folder = kept.inputFiles()[0].split("://")[-1].rsplit("/", 1)[0]
+    assert not [x for x in os.listdir(folder) if "_SUCCESS" in x]

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from loomspan.llm import quality
 from loomspan.llm.common import Scratch, text_chunks
@@ -119,3 +120,21 @@ def test_dual_descent_against_a_dense_solver():
     best = full.T @ alpha
     loss = lambda v: 0.5 * v @ v + quality.COST * np.maximum(0, 1 - full @ v).sum()
     assert abs(loss(np.append(w, b)) - loss(best)) < 0.01 * loss(best)
+
+
+def test_the_driver_gives_the_sample_back_after_a_fit(spark, sf, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))
+    calls, inner = [], quality._fit
+
+    def fitted(*args):
+        found = inner(*args)
+        calls.append("fitted")
+        return found
+
+    monkeypatch.setattr(quality, "_fit", fitted)
+    monkeypatch.setattr(quality, "give_back", lambda: calls.append("given back"))
+    model = quality.fit(docs, labels, Scratch(spark, "t"))
+    assert calls == ["fitted", "given back"] and model.coef.any()
+    with pytest.raises(Exception):
+        quality.fit(docs, labels.drop("quality"), Scratch(spark, "t"))
+    assert calls == ["fitted", "given back", "given back"]
